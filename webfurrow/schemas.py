@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Where a frontier item comes from.
 UNKNOWN, PRIORITY, NORMAL, REFETCH = 0, 1, 2, 3
@@ -143,5 +145,7 @@ def spider_config(spark, rows: list[dict]) -> DataFrame:
         if unknown:
             raise ValueError(f"unknown spider options: {sorted(unknown)}")
         values = {**SPIDER_DEFAULTS, **row}
-        full.append(tuple(values.get(n) for n in names))
-    return with_defaults(spark.createDataFrame(full, SPIDER_CONFIG))
+        full.append({n: values.get(n) for n in names})
+    # An Arrow table becomes a local relation, whose size the planner knows.
+    arrow = pa.Table.from_pylist(full, schema=to_arrow_schema(SPIDER_CONFIG))
+    return with_defaults(spark.createDataFrame(arrow, SPIDER_CONFIG))
