@@ -113,7 +113,7 @@ def json_roundtrip(spark, sf):
 
 QUERIES = {
     "document_history": (document_history, merge_sql("true")),
-    "document_size_guard": (document_size_guard, merge_sql(f"octet_length(encode(raw_html)) <= {MAX_BYTES}")),
+    "document_size_guard": (document_size_guard, merge_sql(f"octet_length(encode(raw.raw_html)) <= {MAX_BYTES}")),
     "document_read": (document_read, _read_sql + " SELECT * FROM r"),
     "document_short": (document_short, _read_sql + " SELECT key, url, fetched_time, status, domain, comments FROM r"),
     "document_delete": (document_delete, f"WITH {i.fetches_sql}, {i.site_seen_sql}, bad AS (SELECT DISTINCT spider, key FROM fe WHERE event_type = 'error' AND value > 100) "

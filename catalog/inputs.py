@@ -42,8 +42,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table whose rows are costly to compute on. If its files give fewer tasks
+    than there are cores, its rows are dealt out first; a large input never is."""
+    df = table(spark, sf, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").withColumn("spider", F.concat(F.lit("s"), F.col("page_id") % 3))
+    return texts(spark, sf, "pages").withColumn("spider", F.concat(F.lit("s"), F.col("page_id") % 3))
 
 
 pages_sql = "pg AS (SELECT page_id, url, html, 's' || (page_id % 3) AS spider FROM pages)"

@@ -113,18 +113,18 @@ def body_decode(spark, sf):
 
 
 def page_tokens(spark, sf):
-    d = i.table(spark, sf, "documents").select("doc_id", fingerprint.tokens(F.lower("text")).alias("t"))
+    d = i.texts(spark, sf, "documents").select("doc_id", fingerprint.tokens(F.lower("text")).alias("t"))
     return d.select("doc_id", F.size("t").alias("n_tokens"), F.md5(F.array_join("t", "|")).alias("digest"))
 
 
 def doc_simhash(spark, sf):
-    return i.table(spark, sf, "documents").select("doc_id", fingerprint.simhash(F.lower("text")).alias("hash"))
+    return i.texts(spark, sf, "documents").select("doc_id", fingerprint.simhash(F.lower("text")).alias("hash"))
 
 
 def hash_distance(spark, sf):
     """Distance between the hash of a text and that of its lower-case form."""
     a, b = fingerprint.token_hash(F.col("text")), fingerprint.token_hash(F.lower("text"))
-    return i.table(spark, sf, "documents").select("doc_id", fingerprint.distance(a, b).alias("distance"))
+    return i.texts(spark, sf, "documents").select("doc_id", fingerprint.distance(a, b).alias("distance"))
 
 
 def change_detect(spark, sf):

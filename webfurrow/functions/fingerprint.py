@@ -25,37 +25,46 @@ def _shift_right(value: Column, bits: Column) -> Column:
     return F.call_function("shiftrightunsigned", value, bits)
 
 
-def _majority(hashes: Column, total: Column, width: int) -> Column:
-    """Per-bit majority over hashes, with the counters of ``64 / width`` bits packed
-    in each of ``width`` numbers. Exact for fewer than ``2**width`` hashes."""
-    lanes = 64 // width
-    # Bit ``i`` of lane ``j`` of counter ``i`` counts hash bit ``i + j * width``.
-    mask = F.lit(sum(1 << (j * width) for j in range(lanes)))
-    zero = F.lit(0).cast("bigint")
-    counters = F.aggregate(
-        hashes, F.array_repeat(zero, width),
-        lambda acc, h: F.transform(acc, lambda c, i: c + _shift_right(h, i).bitwiseAND(mask)))
-    field = F.lit((1 << width) - 1)
-    one = F.lit(1).cast("bigint")
-
-    def bits(counter, i):
-        out = zero
-        for j in range(lanes):
-            ones = _shift_right(counter, F.lit(j * width)).bitwiseAND(field)
-            bit = F.call_function("shiftleft", one, i + F.lit(j * width))
-            out = out.bitwiseOR(F.when(ones * 2 > total, bit).otherwise(zero))
-        return out
-
-    return F.aggregate(F.transform(counters, bits), zero, lambda a, b: a.bitwiseOR(b))
+# Hashes counted at a time: eight byte-wide counters share a signed number, so the
+# top one may reach 127.
+_BLOCK = 127
+
+
+def _block_counts(block: Column) -> Column:
+    """Eight numbers; byte ``j`` of number ``k`` counts bit ``k + 8 j`` of the hashes."""
+    low_bits = F.lit(0x0101010101010101)
+    return F.aggregate(
+        block, F.array_repeat(F.lit(0).cast("bigint"), 8),
+        lambda acc, h: F.transform(acc, lambda c, k: c + _shift_right(h, k).bitwiseAND(low_bits)))
 
 
 def simhash_of(hashes: Column) -> Column:
-    """Fingerprint of an array of token hashes."""
-    def body(hs):
-        total = F.size(hs).cast("bigint")
-        return F.when(total < 65536, _majority(hs, total, 16)).otherwise(_majority(hs, total, 32))
+    """Fingerprint of an array of token hashes: bits set in more than half of them.
+
+    Counters of 32 bits, two to a number, hold the totals, which is more than an
+    array can have elements; number ``i`` counts bits ``i`` and ``i + 32``.
+    """
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    half = F.lit(0xFFFFFFFF)
+
+    def add(totals, block):
+        return bind(_block_counts(block), lambda counts: F.transform(
+            totals, lambda t, i: t + _shift_right(F.get(counts, i % 8), i - i % 8).bitwiseAND(F.lit(0x000000FF000000FF))))
+
+    def vote(hs):
+        n = F.size(hs)
+        starts = F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(_BLOCK))
+        totals = F.aggregate(
+            F.transform(starts, lambda s: F.slice(hs, s, F.lit(_BLOCK))), F.array_repeat(zero, 32), add)
+
+        def bits(total, i):
+            low = F.when(total.bitwiseAND(half) * 2 > n, F.call_function("shiftleft", one, i)).otherwise(zero)
+            high = F.when(_shift_right(total, F.lit(32)) * 2 > n, F.call_function("shiftleft", one, i + 32)).otherwise(zero)
+            return low.bitwiseOR(high)
+
+        return F.aggregate(F.transform(totals, bits), zero, lambda a, b: a.bitwiseOR(b))
 
-    return bind(hashes, body)
+    return bind(hashes, vote)
 
 
 def simhash(text: Column) -> Column:

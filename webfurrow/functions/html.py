@@ -18,6 +18,8 @@ _TAG = rf"<[/!?a-z]{_INSIDE}>"
 MARKUP = rf"(?is){_COMMENT}|{_RAW}|{_TAG}"
 PIECES = rf"{MARKUP}|[^<]+|<"
 _ATTRIBUTE = r"""(?s)[^\s=>"'/<]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]*))?"""
+# An attribute as written, with its value in one of three groups.
+_UNQUOTE = r"""(?s)^[^\s=]+(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|(.*)))?$"""
 _KEPT_TAGS = r"(?i)^<(?:a|base|link|meta)[\s/>]"
 
 # Entities common enough for plain replacement; '&amp;' goes last.
@@ -30,20 +32,8 @@ _OTHER_ENTITY = rf"&(?!(?:{'|'.join(COMMON_ENTITIES)});)[#A-Za-z]"
 
 def _character(code: Column) -> Column:
     """Character of a code point, U+FFFD if there is none."""
-    def byte(value):
-        return F.hex(value)
-
-    def tail(shift):
-        return F.shiftright(code, shift).bitwiseAND(F.lit(63)).bitwiseOR(F.lit(128)) if shift else \
-            code.bitwiseAND(F.lit(63)).bitwiseOR(F.lit(128))
-
-    encoded = (
-        F.when(code < 0x80, F.lpad(byte(code), 2, "0"))
-        .when(code < 0x800, F.concat(byte(F.shiftright(code, 6).bitwiseOR(F.lit(0xC0))), byte(tail(0))))
-        .when(code < 0x10000, F.concat(byte(F.shiftright(code, 12).bitwiseOR(F.lit(0xE0))), byte(tail(6)), byte(tail(0))))
-        .otherwise(F.concat(byte(F.shiftright(code, 18).bitwiseOR(F.lit(0xF0))), byte(tail(12)), byte(tail(6)), byte(tail(0)))))
     valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-    return F.when(valid, F.unhex(encoded).cast("string")).otherwise("�")
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
 
 
 def _any_entity(text: Column) -> Column:
@@ -54,10 +44,11 @@ def _any_entity(text: Column) -> Column:
     def decode(piece):
         decimal = F.regexp_extract(piece, r"^&#(\d{1,8});?$", 1)
         hexadecimal = F.regexp_extract(piece, r"^&#[xX]([0-9A-Fa-f]{1,7});?$", 1)
+        code = F.coalesce(F.conv(F.nullif(decimal, F.lit("")), 10, 10), F.conv(F.nullif(hexadecimal, F.lit("")), 16, 10))
         named = F.try_element_at(table, F.regexp_extract(piece, "^&([A-Za-z0-9]+);?$", 1))
+        numbered = bind(code.cast("int"), lambda c: F.when(c.isNotNull(), _character(c)))
         return (F.when(~piece.startswith("&"), piece)
-                .when(decimal != "", _character(decimal.cast("int")))
-                .when(hexadecimal != "", _character(F.conv(hexadecimal, 16, 10).cast("int")))
+                .when(piece.startswith("&#"), F.coalesce(numbered, piece))
                 .otherwise(F.coalesce(named, piece)))
 
     pieces = F.regexp_extract_all(text, F.lit(r"(?s)&#?[A-Za-z0-9]{1,32};?|[^&]+|&"), F.lit(0))
@@ -94,7 +85,7 @@ def text_content(html: Column) -> Column:
     stripped = F.regexp_replace(html, MARKUP, "$2")
     # Decoding after stripping is the same unless an entity meets a tag or a
     # script holds '&'; then every piece is decoded on its own.
-    mixed = html.rlike(r"(?is)&[#a-z0-9]*<|<(?:script|style)\b.*?&.*?</(?:script|style)")
+    mixed = html.rlike(r"(?i)&[#a-z0-9]*+<|<(?:script|style)\b(?:[^<&]++|<(?!/(?:script|style)))*+&")
     return (F.when(F.instr(html, "&") == 0, stripped)
             .when(mixed, _text_by_pieces(html))
             .otherwise(decode_entities(stripped)))
@@ -106,23 +97,27 @@ def page_text(html: Column) -> Column:
 
 
 def head_and_link_tags(html: Column) -> Column:
-    """The ``a``, ``base``, ``link`` and ``meta`` start tags of a page, in order.
-    Tags inside comments, scripts and styles do not count."""
-    tags = F.regexp_extract_all(html, F.lit(MARKUP), F.lit(0))
-    return F.filter(tags, lambda t: t.rlike(_KEPT_TAGS))
+    """The ``a``, ``base``, ``link`` and ``meta`` start tags of a page, in order, as
+    ``(tag, attributes)`` with attributes ``(name, value)``. Tags inside comments,
+    scripts and styles do not count. Keep the result in a column of its own, so
+    that a page is read once for all its tags."""
+    def attributes(tag):
+        written = F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(0))
+        return F.transform(
+            F.slice(written, F.lit(2), F.greatest(F.size(written) - 1, F.lit(0))),
+            lambda a: F.struct(
+                F.lower(F.regexp_extract(a, r"^[^\s=]+", 0)).alias("name"),
+                decode_entities(F.regexp_replace(a, _UNQUOTE, "$1$2$3")).alias("value")))
+
+    found = F.filter(F.regexp_extract_all(html, F.lit(MARKUP), F.lit(0)), lambda t: t.rlike(_KEPT_TAGS))
+    return F.transform(found, lambda t: F.struct(
+        F.lower(F.regexp_extract(t, "^<([A-Za-z]+)", 1)).alias("tag"), attributes(t).alias("attributes")))
 
 
 def attribute(tag: Column, name: str) -> Column:
-    """Decoded value of an attribute of a start tag: '' without value, NULL if absent."""
-    found = F.try_element_at(F.filter(
-        F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(0)),
-        lambda a: a.rlike(rf"(?is)^{name}\s*(?:=|$)")), F.lit(1))
-    written = F.regexp_replace(found, rf"(?is)^{name}\s*=?\s*", "")
-    return decode_entities(F.regexp_replace(written, """(?s)^(?:"(.*)"|'(.*)')$""", "$1$2"))
-
-
-def _is(tag: Column, name: str) -> Column:
-    return tag.rlike(rf"(?i)^<{name}[\s/>]")
+    """Value of an attribute of a start tag: '' without value, NULL if absent."""
+    found = F.filter(tag["attributes"], lambda a: a["name"] == name)
+    return F.get(found, F.lit(0))["value"]
 
 
 def _has_rel(tag: Column, token: str) -> Column:
@@ -133,31 +128,29 @@ def meta_content(tags: Column, name: Column | str) -> Column:
     """``content`` of the first meta tag with this ``name``, else ``property``,
     else ``http-equiv``; the first attribute with a tag decides."""
     name = name if isinstance(name, Column) else F.lit(name)
-    metas = F.filter(tags, lambda t: _is(t, "meta"))
 
     def first(attr):
-        return F.try_element_at(F.filter(metas, lambda t: attribute(t, attr) == name), F.lit(1))
+        return F.get(F.filter(tags, lambda t: (t["tag"] == "meta") & (attribute(t, attr) == name)), F.lit(0))
 
-    tag = F.coalesce(first("name"), first("property"), first("http-equiv"))
-    return attribute(tag, "content")
+    return attribute(F.coalesce(first("name"), first("property"), first("http-equiv")), "content")
 
 
 def canonical_href(tags: Column) -> Column:
     """``href`` of the first canonical link, as written; NULL if there is none."""
-    hits = F.filter(tags, lambda t: _is(t, "link") & _has_rel(t, "canonical") & attribute(t, "href").isNotNull())
-    return attribute(F.try_element_at(hits, F.lit(1)), "href")
+    hits = F.filter(tags, lambda t: (t["tag"] == "link") & _has_rel(t, "canonical") & attribute(t, "href").isNotNull())
+    return attribute(F.get(hits, F.lit(0)), "href")
 
 
 def base_href(tags: Column) -> Column:
     """``href`` of the first base tag; NULL if there is none."""
-    hits = F.filter(tags, lambda t: _is(t, "base") & attribute(t, "href").isNotNull())
-    return attribute(F.try_element_at(hits, F.lit(1)), "href")
+    hits = F.filter(tags, lambda t: (t["tag"] == "base") & attribute(t, "href").isNotNull())
+    return attribute(F.get(hits, F.lit(0)), "href")
 
 
 def anchors(tags: Column) -> Column:
     """Array of ``(href, nofollow)`` of all anchors with a target, href stripped."""
     found = F.transform(
-        F.filter(tags, lambda t: _is(t, "a")),
+        F.filter(tags, lambda t: t["tag"] == "a"),
         lambda t: F.struct(
             F.regexp_replace(attribute(t, "href"), r"^\s+|\s+$", "").alias("href"),
             _has_rel(t, "nofollow").alias("nofollow")))

@@ -25,15 +25,13 @@ def parse_pages(pages: DataFrame) -> DataFrame:
         pages = decode_bodies(pages, F.col("default_encoding")).drop("content", "encoding")
     page, params = F.col("raw_html"), F.col("normalize_params")
     response = urls.normalize(F.col("response_url"), params)
-    tagged = (pages.withColumn("page_url", response)
-              .withColumn("_tags", html.head_and_link_tags(page)))
+    tagged = pages.withColumns({"page_url": response, "_tags": html.head_and_link_tags(page)})
     tagged = tagged.withColumn("_base", links.base_url(F.col("page_url"), F.col("_tags")))
     tagged = tagged.withColumn("_parts", urls.split_uri(F.col("_base")))
     found = links.resolved_anchors(F.col("_base"), F.col("_parts"), F.col("_tags"))
     canonical = F.when(F.col("use_canonical"), urls.normalize(html.canonical_href(F.col("_tags")), params))
     follow = (F.col("depth") < F.col("max_depth")) & page.isNotNull()
-    tagged = (tagged.withColumn("_found", F.when(follow, found))
-              .withColumn("canonical", canonical))
+    tagged = tagged.withColumns({"_found": F.when(follow, found), "canonical": canonical})
     outgoing = links.allowed(
         links.followed(F.col("_found"), F.col("nofollow_compliant")),
         F.col("allowed_domains"), F.col("exclude_re"), params)
