@@ -23,17 +23,16 @@ KEY = sn.KEY
 Stage = Callable[[DataFrame, str], DataFrame]
 
 
-def in_cache(df: DataFrame, name: str) -> DataFrame:
-    """Keep a result for its several readers; lost blocks are computed again."""
-    return df.persist()
+def staged_under(folder: str) -> Stage:
+    """A stage that writes a result under ``folder`` and reads it back. Each reader
+    then scans only its columns, the plans stay short, and nothing is computed again
+    if an executor is lost. The folder must be one all executors share."""
+    def stage(df: DataFrame, name: str) -> DataFrame:
+        path = f"{folder}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def in_shared_folder(df: DataFrame, name: str) -> DataFrame:
-    """Write a result to the shared folder and read it back. Readers then scan only
-    their columns, and nothing is computed again if an executor is lost."""
-    path = staging_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return stage
 
 
 @dataclass(frozen=True)
@@ -102,14 +101,16 @@ def _next_seen(seen: DataFrame, gone: DataFrame, added: DataFrame, written: Data
 
 
 def crawl_step(log: DataFrame, seen: DataFrame, frontier: DataFrame, document_state: DataFrame,
-               config: DataFrame, robots_rules: DataFrame, now: Column, stage: Stage = in_cache,
+               config: DataFrame, robots_rules: DataFrame, now: Column, stage: Stage | None = None,
                max_doc_bytes: int | None = None) -> StepResult:
     """New tables after a batch of fetch results.
 
     ``document_state``: spider, key, history of the stored documents. ``now`` may
     use columns of the log, such as the fetch time. Every row reads the tables as
     they were before the batch; a batch of one fetch is the sequential crawl.
+    Results several branches need are staged, by default in the shared folder.
     """
+    stage = stage or staged_under(staging_path(log.sparkSession, "crawl-step"))
     visits = stage(visit_batch(log, config), "visits")
     links = stage(counted_links(visits, robots_rules), "links")
     seen_rows = visits.filter("visited").withColumn("requested", F.col("url")).withColumn("url", F.col("visit_url")) \

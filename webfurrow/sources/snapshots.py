@@ -45,6 +45,12 @@ class Snapshots:
         schema = T.StructType([*SCHEMAS[table].fields, T.StructField("version", T.LongType())])
         return self.spark.read.schema(schema).parquet(self.path(table)).filter(F.col("version") <= up_to)
 
+    def discard(self, table: str, version: int) -> None:
+        """Delete the files of a version no longer needed."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path(table, version))
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
     def start(self, seen: DataFrame | None = None, frontier: DataFrame | None = None,
               documents: DataFrame | None = None) -> None:
         """Write the tables before the first batch as version -1."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from webfurrow.operators.frontier import enqueue_seeds, reset_start_urls
-from webfurrow.plans.crawl_step import Stage, crawl_step, in_shared_folder
+from webfurrow.plans.crawl_step import crawl_step, staged_under
 from webfurrow.sources.snapshots import SCHEMAS, Snapshots
 
 
@@ -21,10 +21,11 @@ def start_tables(store: Snapshots, config: DataFrame, seeds: DataFrame, seen: Da
 
 
 def apply_batch(store: Snapshots, version: int, log: DataFrame, config: DataFrame, robots_rules: DataFrame,
-                stage: Stage = in_shared_folder, max_doc_bytes: int | None = None) -> None:
+                max_doc_bytes: int | None = None) -> None:
     """Write version ``version`` of all tables from the version before and a batch.
     Time is the fetch time of each row, so a repeated batch gives the same rows."""
     before = version - 1
+    stage = staged_under(store.path("_staging", version))
     result = crawl_step(
         log, store.read("seen", before), store.read("frontier", before),
         store.read("document_state", before).select("spider", "key", "history"),
@@ -33,6 +34,7 @@ def apply_batch(store: Snapshots, version: int, log: DataFrame, config: DataFram
     store.write("seen", version, result.seen)
     store.write("frontier", version, result.frontier)
     store.write("change_feed", version, result.change_feed)
+    store.discard("_staging", version)
 
 
 def start_crawl(log: DataFrame, store: Snapshots, config: DataFrame, robots_rules: DataFrame,
