@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _EXTRACTORS: dict[str, list[tuple[str | None, Callable[[Column], Column]]]] = {}
+_changes = count(1)
+_version = 0
 
 
 def register_extractor(name: str, extract: Callable[[Column], Column], spider: str | None = None) -> None:
@@ -16,11 +19,20 @@ def register_extractor(name: str, extract: Callable[[Column], Column], spider: s
     ``text`` replaces the text the fingerprint is made of; ``comments``, ``social``
     and ``blocked`` fill the document; any other name is added as a column.
     """
+    global _version
     _EXTRACTORS.setdefault(name, []).append((spider, extract))
+    _version = next(_changes)
 
 
 def clear_extractors() -> None:
+    global _version
     _EXTRACTORS.clear()
+    _version = next(_changes)
+
+
+def hooks_version() -> int:
+    """Changes whenever a hook is added or all are removed."""
+    return _version
 
 
 def extracted(name: str, html: Column, spider: Column, default: Column) -> Column:

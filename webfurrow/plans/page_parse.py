@@ -2,18 +2,51 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webfurrow.functions import fingerprint, html, links, urls
 from webfurrow.functions.encoding import decode_bodies
 from webfurrow.operators.documents import time_text
-from webfurrow.plans.extensions import extra_fields, extracted
+from webfurrow.plans.extensions import extra_fields, extracted, hooks_version
 
 PARSE_OPTIONS = ["normalize_params", "use_canonical", "nofollow_compliant", "robots_compliant",
                  "allowed_domains", "exclude_re", "default_encoding", "max_depth"]
 
 
+@lru_cache(maxsize=8)
+def _expressions(application: str, hooks: int) -> tuple[dict, dict, dict, dict, dict]:
+    """The columns of each parse stage. They name their inputs only, so a running
+    crawl builds them once and not for every batch."""
+    page, params, spider = F.col("raw_html"), F.col("normalize_params"), F.col("spider")
+    tags, base, parts = F.col("_tags"), F.col("_base"), F.col("_parts")
+    read = {"page_url": urls.normalize(F.col("response_url"), params), "_tags": html.head_and_link_tags(page)}
+    located = {"_base": links.base_url(F.col("page_url"), tags)}
+    split = {"_parts": urls.split_uri(base)}
+    follow = (F.col("depth") < F.col("max_depth")) & page.isNotNull()
+    found = {
+        "_found": F.when(follow, links.resolved_anchors(base, parts, tags)),
+        "canonical": F.when(F.col("use_canonical"), urls.normalize(html.canonical_href(tags), params))}
+    outgoing = links.allowed(
+        links.followed(F.col("_found"), F.col("nofollow_compliant")),
+        F.col("allowed_domains"), F.col("exclude_re"), params)
+    text = extracted("text", page, spider, html.page_text(page))
+    aliases = F.concat("alternatives", F.array("page_url"), F.array("canonical"))
+    fields = {
+        "hash": fingerprint.simhash(text),
+        "domain": urls.domain(F.col("page_url")),
+        "blocked": extracted("blocked", page, spider, F.lit(False)),
+        "comments": extracted("comments", page, spider, F.lit(0)).cast("int"),
+        "social": extracted("social", page, spider, F.from_json(F.lit("{}"), "map<string,string>")),
+        "fetched_time": time_text(F.col("fetched_at")),
+        "alternatives": F.array_distinct(F.array_compact(aliases)),
+        "links": F.coalesce(outgoing, F.array().cast("array<string>")),
+        **{n: extracted(n, page, spider, F.lit(None)) for n in extra_fields()}}
+    return read, located, split, found, fields
+
+
 def parse_pages(pages: DataFrame) -> DataFrame:
     """Parsed pages, row by row and without a shuffle.
 
@@ -23,30 +56,8 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     """
     if "raw_html" not in pages.columns:
         pages = decode_bodies(pages, F.col("default_encoding")).drop("content", "encoding")
-    page, params = F.col("raw_html"), F.col("normalize_params")
-    response = urls.normalize(F.col("response_url"), params)
-    tagged = pages.withColumns({"page_url": response, "_tags": html.head_and_link_tags(page)})
-    tagged = tagged.withColumn("_base", links.base_url(F.col("page_url"), F.col("_tags")))
-    tagged = tagged.withColumn("_parts", urls.split_uri(F.col("_base")))
-    found = links.resolved_anchors(F.col("_base"), F.col("_parts"), F.col("_tags"))
-    canonical = F.when(F.col("use_canonical"), urls.normalize(html.canonical_href(F.col("_tags")), params))
-    follow = (F.col("depth") < F.col("max_depth")) & page.isNotNull()
-    tagged = tagged.withColumns({"_found": F.when(follow, found), "canonical": canonical})
-    outgoing = links.allowed(
-        links.followed(F.col("_found"), F.col("nofollow_compliant")),
-        F.col("allowed_domains"), F.col("exclude_re"), params)
-    spider = F.col("spider")
-    text = extracted("text", page, spider, html.page_text(page))
-    aliases = F.concat("alternatives", F.array("page_url"), F.array("canonical"))
-    parsed = tagged.select(
-        *[c for c in tagged.columns if not c.startswith("_") and c not in ("alternatives", "links", "hash")],
-        fingerprint.simhash(text).alias("hash"),
-        urls.domain(F.col("page_url")).alias("domain"),
-        extracted("blocked", page, spider, F.lit(False)).alias("blocked"),
-        extracted("comments", page, spider, F.lit(0)).cast("int").alias("comments"),
-        extracted("social", page, spider, F.from_json(F.lit("{}"), "map<string,string>")).alias("social"),
-        time_text(F.col("fetched_at")).alias("fetched_time"),
-        F.array_distinct(F.array_compact(aliases)).alias("alternatives"),
-        F.coalesce(outgoing, F.array().cast("array<string>")).alias("links"),
-        *[extracted(n, page, spider, F.lit(None)).alias(n) for n in extra_fields()])
-    return parsed
+    *stages, fields = _expressions(pages.sparkSession.sparkContext.applicationId, hooks_version())
+    for columns in stages:
+        pages = pages.withColumns(columns)
+    kept = [c for c in pages.columns if not c.startswith("_") and c not in fields]
+    return pages.select(*kept, *[value.alias(name) for name, value in fields.items()])
