@@ -15,12 +15,12 @@ def changes_in_log(fetches: DataFrame, at: str = "fetched_at", dhash: str = "dha
                    tie: Sequence[str] = ("url",), bucket: Column | None = None) -> DataFrame:
     """Fetches whose page was new or differed from the fetch before it.
 
-    The previous hash is found in two levels. Inside a time bucket (a day by
+    The previous hash is found in two levels. Inside a time bucket (an hour by
     default) it is the row before; the first row of a bucket takes the last hash
     of the bucket before. So no task sorts all fetches of a URL, and what is
     sorted per URL is one row per bucket.
     """
-    bucket = F.to_date(F.col(at)) if bucket is None else bucket
+    bucket = F.date_trunc("hour", F.col(at)) if bucket is None else bucket
     rows = fetches.withColumn("_bucket", bucket)
     order = [at, *tie]
     inside = Window.partitionBy(*KEY, "_bucket").orderBy(*order)

@@ -29,6 +29,9 @@ def build_session(app_name: str = "webfurrow", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
+_local_roots: dict[str, str] = {}
+
+
 def staging_root(spark: SparkSession) -> str:
     """Folder shared by all executors for checkpoints and staged tables.
 
@@ -40,9 +43,10 @@ def staging_root(spark: SparkSession) -> str:
         return root
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    root = tempfile.mkdtemp(prefix="webfurrow-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    application = spark.sparkContext.applicationId
+    if application not in _local_roots:
+        _local_roots[application] = tempfile.mkdtemp(prefix="webfurrow-")
+    return _local_roots[application]
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
