@@ -130,7 +130,8 @@ _LEXER = (r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</st
 def text_sql(source: str, name: str = "txt", columns: str = "page_id") -> str:
     """CTE with the lower-case text of each page of ``source``."""
     piece = (r"CASE WHEN regexp_matches(p, '(?is)^<(script|style)\b') THEN regexp_extract(p, '(?is)^<[^>]*>(.*)</[^>]*>$', 1) "
-             r"WHEN p[1] = '<' THEN '' ELSE replace(replace(replace(replace(replace(p, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&quot;', chr(34)), '&amp;', '&') END")
+             r"WHEN p[1] = '<' THEN '' ELSE replace(regexp_replace(replace(replace(replace(replace(p, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), "
+             r"'&quot;', chr(34)), '&amp($|[^A-Za-z0-9;])', '&\1', 'g'), '&amp;', '&') END")
     return (f"{name} AS (SELECT {columns}, lower(array_to_string(list_transform("
             f"regexp_extract_all(html, '{_LEXER}', 0), lambda p: {piece}), '')) AS text FROM {source})")
 
