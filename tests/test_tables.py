@@ -113,6 +113,7 @@ def test_next_items_order_and_limits(spark):
     assert [r.planned_at for r in plan.collect()] == [100, 120, 140, 160]
     rest = fr.remove_items(frontier, out)
     assert rest.count() == 4 and fr.clear(rest, 2).count() == 2
+    assert {r.url for r in frontier.join(fr.drop_seen(frontier, seen), fr.COLUMNS, "left_anti").collect()} == {"http://old"}
     assert of_spiders(frontier, config.filter("spider = 't'")).count() == 1
 
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from webfurrow.functions.binding import bind
 from webfurrow.schemas import PRIORITY
 
 # First refetch of fresh news, and the delay below which a changed
@@ -99,4 +100,5 @@ def next_delay(strategy: Column, visit: Visit) -> Column:
         value = policy(visit).cast("bigint")
         chosen = F.when(name == key, value) if chosen is None else chosen.when(name == key, value)
     chosen = chosen.otherwise(F.raise_error(F.concat(F.lit("unknown refetching strategy "), name)).cast("bigint"))
-    return F.when(chosen <= 0, F.raise_error(F.lit("refetch delay must be positive")).cast("bigint")).otherwise(chosen)
+    refused = F.raise_error(F.lit("refetch delay must be positive")).cast("bigint")
+    return bind(chosen, lambda delay: F.when(delay <= 0, refused).otherwise(delay))

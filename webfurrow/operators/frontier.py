@@ -93,6 +93,14 @@ def remove_items(frontier: DataFrame, items: DataFrame) -> DataFrame:
     return frontier.join(items.select(*COLUMNS).distinct(), COLUMNS, "left_anti")
 
 
+def drop_seen(frontier: DataFrame, seen: DataFrame) -> DataFrame:
+    """Frontier without the normal items that ``next_items`` would pass over for good
+    because their page is seen by now. Run it now and then to keep the table small."""
+    normal = with_key(frontier.filter(F.col("source") == NORMAL))
+    open_items = normal.join(seen.select(*KEY), KEY, "left_anti")
+    return frontier.filter(F.col("source") != NORMAL).select(*COLUMNS).unionByName(open_items.select(*COLUMNS))
+
+
 def clear(frontier: DataFrame, source: int) -> DataFrame:
     """Frontier without one class."""
     return frontier.filter(F.col("source") != source)
