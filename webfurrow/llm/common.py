@@ -104,12 +104,12 @@ def connected(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame
         took = (labels.join(near, labels.id == near.a, "left")
                 .select("id", F.least("label", F.coalesce("near", "label")).alias("new"), F.col("label").alias("old")))
         # A node lowers its label and, through it, the label of the node it used to point to.
-        hooked = (took.select(F.col("old").alias("node"), F.col("new").alias("to"))
-                  .unionByName(took.select(F.col("id").alias("node"), F.col("new").alias("to")))
-                  .groupBy("node").agg(F.min("to").alias("to")))
-        jump = hooked.select(F.col("node").alias("via"), F.col("to").alias("far"))
-        after = stage(hooked.join(jump, hooked.to == jump.via, "left")
-                      .select(F.col("node").alias("id"), F.least("to", F.coalesce("far", "to")).alias("label")), "labels")
+        hooked = (took.select(F.col("old").alias("node"), F.col("new").alias("goal"))
+                  .unionByName(took.select(F.col("id").alias("node"), F.col("new").alias("goal")))
+                  .groupBy("node").agg(F.min("goal").alias("goal")))
+        jump = hooked.select(F.col("node").alias("via"), F.col("goal").alias("far"))
+        after = stage(hooked.join(jump, hooked.goal == jump.via, "left")
+                      .select(F.col("node").alias("id"), F.least("goal", F.coalesce("far", "goal")).alias("label")), "labels")
         changed = after.join(labels, ["id"], "left").filter(~after.label.eqNullSafe(labels.label)).limit(1).count()
         labels = after
         if not changed:

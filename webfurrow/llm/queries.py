@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webfurrow.llm import byte_bpe, decontamination, language_id, licenses, pii, sharding, token_counts, toxicity
+from webfurrow.llm import (byte_bpe, decontamination, embedding_join, language_id, licenses, ngram_join, pii, sharding,
+                           token_counts, toxicity)
 from webfurrow.llm.common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -32,6 +33,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(texts(spark, sf_dir)).drop("text")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.group_near_duplicates(texts(spark, sf_dir))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(texts(spark, sf_dir), PIECES).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
@@ -47,6 +52,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op7_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(texts(spark, sf_dir)).drop("text")
 
@@ -62,6 +71,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op2_license_scan, op4_token_counts, op5_decontamination, op6_toxicity, op8_sharding, op9_byte_bpe,
-    op10_pii)}
+    op1_language_id, op2_license_scan, op3_ngram_join, op4_token_counts, op5_decontamination, op6_toxicity,
+    op7_embedding_join, op8_sharding, op9_byte_bpe, op10_pii)}
 SQL: dict[str, str] = {}
