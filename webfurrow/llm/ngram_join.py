@@ -29,7 +29,7 @@ PERCENT = 80
 SPREAD = 1.25
 #: Attempts with another deal and twice the blocks for sets that fill too few blocks; the last has a block for each shingle.
 DEALS = 4
-#: 64-bit words of the dense sketch.
+#: 64-bit words of the shortest dense sketch.
 DENSE = 8
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -60,9 +60,9 @@ class Shingler:
         h = np.fromiter(map(self.memo.__getitem__, words), dtype=np.uint64, count=len(words))
         k = min(self.size, len(h))
         out = np.full(len(h) - k + 1, k, dtype=np.uint64)
-        for i in range(k):
-            out = mix(out + h[i:len(h) - k + 1 + i], i)
-        return np.unique(out)
+        for i in range(k):  # a polynomial over the words' hashes
+            out += h[i:len(h) - k + 1 + i] * np.uint64(pow(0x9E3779B97F4A7C15, i + 1, 1 << 64))
+        return np.unique(mix(out))
 
 
 def most_apart(n: int, percent: int = PERCENT) -> int:
@@ -96,7 +96,7 @@ def keys_of(hashes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
                 order = np.argsort(block, kind="stable")
                 block = block[order]
                 first = np.flatnonzero(np.diff(block.astype(np.int64), prepend=-1))
-                parity = np.bitwise_xor.reduceat(mix(hashes[order], 200), first)
+                parity = np.bitwise_xor.reduceat(hashes[order], first)
                 filled = parity ^ mix(block[first], 300)
             keys = np.sort(mix(filled ^ np.uint64(b * 16 + deal), 400))
             # A pair that only empty blocks would have shown is looked for in the next deal, by both.
@@ -106,11 +106,24 @@ def keys_of(hashes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
+def dense_words(n: int) -> int:
+    """64-bit words of the dense sketch of a set of ``n``: about two bits for each shingle, and a power of two,
+    so that a longer sketch folds onto a shorter one."""
+    return max(DENSE, (1 << band_of(n)) // 32)
+
+
 def dense_sketch(hashes: np.ndarray) -> np.ndarray:
-    """Parities of ``64 * DENSE`` bits, each shingle flipping one."""
-    bit = mix(hashes, 500) % np.uint64(64 * DENSE)
-    odd = np.bincount(bit.astype(np.int64), minlength=64 * DENSE) & 1
-    return np.packbits(odd.astype(np.uint8)).view("<u8").view(np.int64)
+    """Parities of ``64 * dense_words(n)`` bits, each shingle flipping one. The low bits of a bit's place
+    tell the place within a word's column, so folding halves keeps parities right."""
+    bits = 64 * dense_words(len(hashes))
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    while len(sketch) > words:
+        sketch = sketch[:len(sketch) // 2] ^ sketch[len(sketch) // 2:]
+    return sketch
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -118,44 +131,26 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n, same, sketch, twin``: size, hash of the set, dense sketch and, for a set that its task
-    had before, the document that brought it (which then stands for both)."""
+    """``doc_id, n, same, sketch, short, keys``: size and hash of the set, dense sketch, the same folded to
+    ``DENSE`` words, and join keys. A set that its task has had before brings no sketch and no keys again."""
     small_batches(docs.sparkSession)
 
     def run(batches):
-        shingle, seen = Shingler(), {}
+        shingle, seen = Shingler(), set()
         for rows in batches:
             out = []
             for doc, text in zip(rows.doc_id, rows.text, strict=True):
                 h = shingle(text)
                 same = int(_signed(np.bitwise_xor.reduce(mix(h, 600), keepdims=True))[0]) if len(h) else 0
-                twin = seen.setdefault((len(h), same), doc) if len(h) else doc
-                out.append((doc, len(h), same, dense_sketch(h).tolist() if len(h) and twin == doc else None, twin))
-            yield pd.DataFrame(out, columns=["doc_id", "n", "same", "sketch", "twin"])
-
-    return docs.mapInPandas(run, "doc_id long, n long, same long, sketch array<long>, twin long")
-
-
-def exploded_keys(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``key, doc_id`` of every document but those whose set its task had before."""
-    small_batches(docs.sparkSession)
-
-    def run(batches):
-        shingle, seen = Shingler(), set()
-        for rows in batches:
-            ids, keys = [], []
-            for doc, text in zip(rows.doc_id, rows.text, strict=True):
-                h = shingle(text)
-                same = (len(h), int(np.bitwise_xor.reduce(mix(h, 600))) if len(h) else 0)
-                if not len(h) or same in seen:
+                if not len(h) or (len(h), same) in seen:
+                    out.append((doc, len(h), same, None, None, None))
                     continue
-                seen.add(same)
-                ids.append(doc)
-                keys.append(keys_of(h, percent))
-            if ids:
-                yield pd.DataFrame({"key": _signed(np.concatenate(keys)), "doc_id": np.repeat(ids, [len(k) for k in keys])})
+                seen.add((len(h), same))
+                sketch = dense_sketch(h)
+                out.append((doc, len(h), same, sketch, folded(sketch, DENSE), _signed(keys_of(h, percent))))
+            yield pd.DataFrame(out, columns=["doc_id", "n", "same", "sketch", "short", "keys"])
 
-    return docs.mapInPandas(run, "key long, doc_id long")
+    return docs.mapInPandas(run, "doc_id long, n long, same long, sketch array<long>, short array<long>, keys array<long>")
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
@@ -170,20 +165,37 @@ def sets_of(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(run, "doc_id long, hashes array<long>")
 
 
+def _sizes_allow(n: Column, m: Column, percent: int) -> Column:
+    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+
+
+def _distance_allows(distance: Column, n: Column, m: Column, percent: int) -> Column:
+    """|A xor B| <= (100 - percent) / (100 + percent) * (|A| + |B|) for a link."""
+    return distance * (100 + percent) <= (n + m) * (100 - percent)
+
+
 def _near(a: str, b: str, percent: int) -> Column:
-    """Whether sizes and dense sketches allow a link of two described documents."""
+    """Whether sizes and folded sketches allow a link of two described documents; generated code throughout."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    distance = sum((F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(DENSE)), F.lit(0))
-    # |A xor B| <= (100 - percent) / (100 + percent) * (|A| + |B|) for a link.
-    return ((F.least(n, m) * 100 >= F.greatest(n, m) * percent)
-            & (distance * (100 + percent) <= (n + m) * (100 - percent)))
+    distance = sum((F.bit_count(F.col(f"{a}.short")[i].bitwiseXOR(F.col(f"{b}.short")[i])) for i in range(DENSE)), F.lit(0))
+    return _sizes_allow(n, m, percent) & _distance_allows(distance, n, m, percent)
+
+
+def possible(pairs: DataFrame, leads: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (``a``, ``b``) that pass the size bound and the bound of the whole sketches."""
+    left = leads.select(F.col("doc_id").alias("a"), F.struct("n", "sketch").alias("x"))
+    right = leads.select(F.col("doc_id").alias("b"), F.struct("n", "sketch").alias("y"))
 
+    def halved(sketch: Column, other: Column) -> Column:
+        half = (F.size(sketch) / 2).cast("int")  # sizes that allow a link differ by one band at most
+        return F.when(F.size(sketch) > F.size(other), F.zip_with(
+            F.slice(sketch, F.lit(1), half), F.slice(sketch, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(sketch)
 
-def possible(pairs: DataFrame, described: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (``a``, ``b``) that pass the size and sketch bounds."""
-    left = described.select(F.col("doc_id").alias("a"), F.struct("n", "sketch").alias("x"))
-    right = described.select(F.col("doc_id").alias("b"), F.struct("n", "sketch").alias("y"))
-    return pairs.join(left, ["a"]).join(right, ["b"]).filter(_near("x", "y", percent)).select("a", "b")
+    x, y = F.col("x.sketch"), F.col("y.sketch")
+    distance = F.aggregate(F.zip_with(halved(x, y), halved(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q))),
+                           F.lit(0), lambda total, n: total + n)
+    sized = pairs.join(left, ["a"]).join(right, ["b"]).filter(_sizes_allow(F.col("x.n"), F.col("y.n"), percent))
+    return sized.filter(_distance_allows(distance, F.col("x.n"), F.col("y.n"), percent)).select("a", "b")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -221,12 +233,14 @@ def group_near_duplicates(docs: DataFrame, percent: int = PERCENT, column: str =
     described = stage(describe(rows, percent), "described")
     filled = described.filter("n > 0 and doc_id is not null")
     # Documents of equal sets: the least of them stands for all, with the sketch of any.
-    alone = stage(filled.groupBy("n", "same").agg(F.min("doc_id").alias("lead"), F.first("sketch", True).alias("sketch")), "alone")
-    leads = alone.select(F.col("lead").alias("doc_id"), "n", "sketch")
-    copies = stage(filled.join(alone.drop("sketch"), ["n", "same"]).filter("doc_id <> lead").select("doc_id", "lead"), "copies")
+    alone = stage(filled.groupBy("n", "same").agg(F.min("doc_id").alias("lead")), "alone")
+    led = filled.join(alone, ["n", "same"])
+    leads = stage(led.filter("sketch is not null").select(F.col("lead").alias("doc_id"), "n", "sketch", "short")
+                  .dropDuplicates(["doc_id"]), "leads")
+    copies = stage(led.filter("doc_id <> lead").select("doc_id", "lead").distinct(), "copies")
     # Keys held by one document only are dropped at once. Those of copies count as their lead's.
     raw = rows.filter("doc_id is not null")
-    keyed = exploded_keys(raw, percent)
+    keyed = filled.filter("keys is not null").select(F.explode("keys").alias("key"), "doc_id")
     of_key = Window.partitionBy("key")
     several = keyed.withColumn("held", F.count("*").over(of_key)).filter("held > 1").select("key", "doc_id")
     several = several.join(copies.withColumnRenamed("lead", "_lead"), ["doc_id"], "left").select(
@@ -238,10 +252,11 @@ def group_near_duplicates(docs: DataFrame, percent: int = PERCENT, column: str =
     placed = stage(connected(leads.select(F.col("doc_id").alias("id")), links), "placed")
     # Then, in keys whose members are not all together yet, every member outside the largest
     # component of the key against the others. Members of one component need no further look.
-    more = stage(verified(cross_pairs(shared.select("key", "doc_id"), placed, leads, percent), raw, percent), "more")
+    more = stage(verified(
+        possible(cross_pairs(shared.select("key", "doc_id"), placed, leads, percent), leads, percent), raw, percent), "more")
     every = links.unionByName(more)
     joined = connected(leads.select(F.col("doc_id").alias("id")), every)
-    return (described.join(alone.drop("sketch"), ["n", "same"], "left")
+    return (described.select("doc_id", "n", "same").join(alone, ["n", "same"], "left")
             .join(joined.withColumnRenamed("id", "lead"), ["lead"], "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")))
 
@@ -253,7 +268,7 @@ def cross_pairs(shared: DataFrame, placed: DataFrame, leads: DataFrame, percent:
     the bounds rule out is never a row, and members that are together already never meet.
     """
     located = (shared.join(placed.withColumnRenamed("id", "doc_id"), ["doc_id"])
-               .join(leads.select("doc_id", F.struct("n", "sketch").alias("d")), ["doc_id"]))
+               .join(leads.select("doc_id", F.struct("n", "short").alias("d")), ["doc_id"]))
     largest = (located.groupBy("key", "component").agg(F.count("*").alias("n"))
                .groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts"))
                .filter("parts > 1").drop("parts"))
