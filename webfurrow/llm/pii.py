@@ -317,7 +317,8 @@ def redact(docs: DataFrame, models: dict[str, Boosted], text: str = "text") -> D
     """Replaces every span of ``text`` by its kind in brackets; overlapping spans become one mark.
 
     The mark is of the span that starts first (the longer one, then the first kind by name, on a tie).
-    Texts without spans, null among them, stay as they are.
+    Texts without spans, null among them, stay as they are. Write the result before other expressions
+    on its text: Spark would put this one in the place of each mention of the column.
     """
     df = _with_spans(docs, models, text)
     order = F.array_sort(F.transform("_all", lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("back"), s["kind"].alias("kind"))))
