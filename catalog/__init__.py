@@ -9,7 +9,7 @@ _TYPES = {
     "body_decode": {"n_chars": "INTEGER"}, "page_tokens": {"n_tokens": "INTEGER"}, "hash_distance": {"distance": "INTEGER"},
     "frontier_list": _ITEM, "frontier_enqueue": _ITEM, "frontier_bootstrap": _ITEM, "frontier_seed": _ITEM,
     "frontier_remove": _ITEM, "frontier_clear": _ITEM, "reschedule": _ITEM, "fetch_plan": {"rank": "INTEGER"},
-    "frontier_next": {**_ITEM, "rank": "INTEGER"}, "multi_site": {**_ITEM, "rank": "INTEGER"},
+    "frontier_next": {**_ITEM, "rank": "INTEGER"}, "frontier_next_many": {**_ITEM, "rank": "INTEGER"}, "multi_site": {**_ITEM, "rank": "INTEGER"},
     "json_roundtrip": {"comments": "INTEGER"},
 }
 

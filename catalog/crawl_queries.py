@@ -147,8 +147,9 @@ fresh AS (SELECT DISTINCT spider, link, depth + 1 AS depth FROM lk ANTI JOIN cur
 vk AS (SELECT vr.*, {key('visit_url')} AS main, CASE WHEN parsed THEN simhead.hash ELSE 0 END AS dhash,
   list_distinct(list_transform(list_filter([nurl, CASE WHEN parsed THEN visit_url END, CASE WHEN parsed AND use_canonical AND page_id % 3 = 0 THEN normal END],
     lambda x: x IS NOT NULL), lambda n: {key('n')})) AS alts FROM vr JOIN simhead USING (page_id) WHERE visited),
-jd AS (SELECT vk.*, s.key IS NULL AS is_new, coalesce(bit_count(xor(dhash, s.page_hash)) >= 3, true) AS is_changed, refetching_delay AS d, restart_delay AS restart
-  FROM vk LEFT JOIN cur s ON s.spider = vk.spider AND s.key = vk.main),
+jd AS (SELECT vk.*, s.key IS NULL AND row_number() OVER visits = 1 AS is_new,
+  coalesce(bit_count(xor(dhash, coalesce(lag(dhash) OVER visits, s.page_hash))) >= 3, true) AS is_changed, refetching_delay AS d, restart_delay AS restart
+  FROM vk LEFT JOIN cur s ON s.spider = vk.spider AND s.key = vk.main WINDOW visits AS (PARTITION BY vk.spider, vk.main ORDER BY tm, visit_url)),
 tv AS (SELECT *, CASE WHEN strategy = 'base' THEN {policy_sql('base', 'd', 'restart', quiet, 'is_new')} ELSE {policy_sql('news', 'd', 'restart', quiet, 'is_new')} END AS nd FROM jd),
 wr AS (SELECT v.spider, unnest(list_distinct(v.alts || coalesce(p.alternatives, []))) AS key, v.tm, v.visit_url, v.dhash, list_distinct(v.alts || coalesce(p.alternatives, [])) AS alternatives
   FROM vk v LEFT JOIN cur p ON p.spider = v.spider AND p.key = v.main),
@@ -156,8 +157,9 @@ up AS (SELECT spider, key, dhash AS page_hash, alternatives FROM wr QUALIFY row_
 ns AS (SELECT spider, key, page_hash, 1 AS count, alternatives FROM up UNION ALL
   SELECT spider, key, page_hash, count + coalesce(n, 0), alternatives FROM cur LEFT JOIN inc USING (spider, key) ANTI JOIN up USING (spider, key)),
 fr0 AS (SELECT DISTINCT spider, source, score + {i.NOW} AS score, url, delay AS next_delay, depth FROM lg),
-nf AS (SELECT * FROM fr0 UNION SELECT spider, 2, depth, link, 0, depth FROM fresh UNION
-  SELECT spider, CASE WHEN source = 1 THEN 1 ELSE 3 END, {i.NOW} + nd, visit_url, nd, depth FROM tv WHERE nd IS NOT NULL),
+nf AS (SELECT * FROM fr0 UNION ((SELECT spider, 2, depth, link, 0, depth FROM fresh UNION
+  SELECT spider, CASE WHEN source = 1 THEN 1 ELSE 3 END, {i.NOW} + nd, visit_url, nd, depth FROM tv WHERE nd IS NOT NULL)
+  EXCEPT SELECT spider, source, score, url, delay, depth FROM lg)),
 db AS (SELECT *, epoch_us(make_timestamp(tm * 1000000)) AS us, strftime(make_timestamp(tm * 1000000), '%Y-%m-%dT%H:%M') || '=' || answer AS entry FROM vk WHERE parsed),
 body AS (SELECT spider, main, visit_url, dhash, md5(html) AS digest FROM db
   QUALIFY row_number() OVER (PARTITION BY spider, main ORDER BY answer = 200 DESC, CASE WHEN answer = 200 THEN -us ELSE us END, visit_url DESC) = 1),

@@ -17,6 +17,7 @@ _fe, _fr, _ss, _cfg, _pg = i.fetches_sql, i.frontier_sql, i.site_seen_sql, i.con
 _cols = "spider, source, score, url, next_delay, depth"
 # Items per spider that one call takes from the frontier.
 TAKE = 50
+TAKE_MANY = 5000
 
 
 def seed_load(spark, sf):
@@ -56,6 +57,11 @@ def frontier_next(spark, sf):
     return _next(spark, sf)
 
 
+def frontier_next_many(spark, sf):
+    """More items than Spark's own limit for cutting each task early."""
+    return fr.next_items(i.frontier(spark, sf), i.site_seen(spark, sf), F.lit(i.NOW), TAKE_MANY)
+
+
 def fetch_plan(spark, sf):
     return fr.fetch_plan(_next(spark, sf), i.config(spark), F.lit(i.NOW)).select("spider", "rank", "url", "planned_at")
 
@@ -115,7 +121,7 @@ def visits(spark, sf):
     failed = F.col("status") == 503
     f = f.withColumn("dhash", F.when(failed, F.lit(0).cast("bigint")).otherwise(F.col("dhash")))
     f = f.withColumn("status", F.when(~failed, F.col("status")))
-    return with_config(f, i.config(spark), ["restart_delay", "refetching_delay", "refetching_strategy"], ["url", "event_id"])
+    return with_config(f, i.config(spark), ["restart_delay", "refetching_delay", "refetching_strategy"])
 
 
 def reschedule(spark, sf):
@@ -189,8 +195,11 @@ def _timing_sql(s):
 
 
 judged_sql = """vs AS (SELECT fe.* REPLACE (CASE WHEN status = 503 THEN 0 ELSE dhash END AS dhash), c.strategy, c.refetching_delay AS d,
-  c.restart_delay AS restart, s.key IS NULL AS is_new, coalesce(bit_count(xor(CASE WHEN status = 503 THEN 0 ELSE dhash END, s.page_hash)) >= 3, true) AS is_changed
-  FROM fe JOIN config c USING (spider) LEFT JOIN site_seen s ON s.spider = fe.spider AND s.key = fe.key)"""
+  c.restart_delay AS restart, s.key IS NULL AND row_number() OVER visits = 1 AS is_new,
+  coalesce(bit_count(xor(CASE WHEN status = 503 THEN 0 ELSE dhash END,
+    coalesce(lag(CASE WHEN status = 503 THEN 0 ELSE dhash END) OVER visits, s.page_hash))) >= 3, true) AS is_changed
+  FROM fe JOIN config c USING (spider) LEFT JOIN site_seen s ON s.spider = fe.spider AND s.key = fe.key
+  WINDOW visits AS (PARTITION BY fe.spider, fe.key ORDER BY fetched_at, fe.url))"""
 _quiet = "(NOT is_changed OR (status <> 503 AND status <> 200))"
 timed_sql = f"""tv AS (SELECT *, CASE WHEN strategy = 'base' THEN {policy_sql('base', 'd', 'restart', _quiet, 'is_new')}
   ELSE {policy_sql('news', 'd', 'restart', _quiet, 'is_new')} END AS nd FROM vs)"""
@@ -206,6 +215,7 @@ QUERIES = {
     "frontier_seed": (frontier_seed, f"WITH {_fe}, {_fr}, {_cfg} SELECT DISTINCT {_cols} FROM fr WHERE source <> 1 UNION "
                       "SELECT spider, 1, 1, unnest(start_urls), coalesce(restart_delay, 0), 0 FROM config"),
     "frontier_next": (frontier_next, _next_sql),
+    "frontier_next_many": (frontier_next_many, _next_sql.replace(f"rank <= {TAKE}", f"rank <= {TAKE_MANY}")),
     "fetch_plan": (fetch_plan, f"WITH {_fe}, {_fr}, {_ss}, {_cfg}, {_due_sql} SELECT spider, rank, url, ({i.NOW} + (rank - 1) * spider_delay)::BIGINT AS planned_at "
                    "FROM nx JOIN config USING (spider)"),
     "multi_site": (multi_site, _next_sql + " WHERE spider IN ('s0', 's2')"),

@@ -43,11 +43,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table whose rows are costly to compute on. If its files give fewer tasks
-    than there are cores, its rows are dealt out first; a large input never is."""
-    df = table(spark, sf, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    """A table with long texts; the reader splits it into tasks."""
+    return table(spark, sf, name)
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:

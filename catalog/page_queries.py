@@ -59,7 +59,7 @@ _OPTIONS = ["allowed_domains", "exclude_re", "normalize_params", "nofollow_compl
 
 
 def _allowed(spark, sf):
-    known = with_config(_with_links(spark, sf), i.config(spark), _OPTIONS, ["page_id"])
+    known = with_config(_with_links(spark, sf), i.config(spark), _OPTIONS)
     followed = links.followed(F.col("found"), F.col("nofollow_compliant"))
     return known.withColumn("followed", followed).withColumn("allowed", links.allowed(
         F.col("followed"), F.col("allowed_domains"), F.col("exclude_re"), F.col("normalize_params")))
@@ -90,7 +90,7 @@ def parse_input(spark, sf):
         F.regexp_replace("url", "^http:", "https:").alias("response_url"), F.array("url").alias("alternatives"),
         F.when(pid % 11 == 0, 304).otherwise(200).alias("status_code"), at.alias("fetched_at"),
         (pid % 4).cast("int").alias("depth"))
-    return with_config(rows, i.config(spark), PARSE_OPTIONS, ["page_id"])
+    return with_config(rows, i.config(spark), PARSE_OPTIONS)
 
 
 def page_parse(spark, sf):

@@ -11,7 +11,7 @@ from webfurrow.operators.lookup import with_config
 
 def _checked(spark, sf):
     known = with_config(i.pages(spark, sf), i.config(spark),
-                        ["allowed_domains", "exclude_re", "normalize_params"], ["page_id"])
+                        ["allowed_domains", "exclude_re", "normalize_params"])
     return known.withColumn("c", urls.check(F.col("url"), F.col("allowed_domains"), F.col("exclude_re"), F.col("normalize_params")))
 
 
@@ -64,12 +64,12 @@ SELECT page_id, pos, unnest([0,1,2,3,4,5,6,7]) AS form, unnest([site || h, site
 
 
 def url_exclude(spark, sf):
-    known = with_config(i.pages(spark, sf), i.config(spark), ["exclude_re"], ["page_id"])
+    known = with_config(i.pages(spark, sf), i.config(spark), ["exclude_re"])
     return known.select("page_id", urls.is_excluded(F.col("url"), F.col("exclude_re")).alias("excluded"))
 
 
 def url_allowed(spark, sf):
-    known = with_config(i.pages(spark, sf), i.config(spark), ["allowed_domains"], ["page_id"])
+    known = with_config(i.pages(spark, sf), i.config(spark), ["allowed_domains"])
     return known.filter(urls.is_allowed(urls.domain(F.col("url")), F.col("allowed_domains"))).select("page_id", "url")
 
 

@@ -13,12 +13,9 @@ def content(value, page, name):
 
 
 @pytest.mark.parametrize("page,name,want", [
-    ('<html><head><meta property="prova" content="prova" /></head></html>', "prova", "prova"),
-    ('<html><head><meta http-equiv="prova" content="prova" /></head></html>', "prova", "prova"),
-    ('<html><head><meta name="prova" content="prova" /></head></html>', "prova", "prova"),
-    ('<meta http-equiv="Content-Type" content="text/html; charset=UTF-8">', "Content-Type", "text/html; charset=UTF-8"),
-    ("", "summary", None),
-    ('<meta name="twitter:card" content="summary"/>', "twitter:card", "summary"),
+    ('<head><meta property="og:title" content="Tea"></head>', "og:title", "Tea"),
+    ("<meta http-equiv=refresh content='5; url=/next'>", "refresh", "5; url=/next"),
+    ("<p>no tag</p>", "author", None),
     ('<meta property="a" content="1"><meta name="a" content="2">', "a", "2"),
     ('<meta name="a"><meta property="a" content="2">', "a", None),
     ('<!-- <meta name="a" content="1"> --><META NAME=a CONTENT=2>', "a", "2"),
@@ -39,6 +36,9 @@ def test_meta(value, page, name, want):
     ("T&eacute;&#233;&#xE9;&euro;&#128512;&nosuch;&#0;", "Tééé€😀&nosuch;�"),
     ("&nbsp;&copy;&middot;&quot;&apos;", " ©·\"'"),
     ("<!DOCTYPE html><title>T</title>", "T"),
+    ("&#00000000065;&#x00000041;&#999999999;&#xFFFFFFFFFF;&#0000;", "AA���"),
+    ("a<!-- never closed <b>c</b>", "a"),
+    ("a<style>never closed <b>", "anever closed <b>"),
     ("", ""),
 ])
 def test_text(value, page, want):
@@ -79,6 +79,11 @@ def test_links(spark):
     assert sorted(out.ok) == ["http://h/d/p", "http://o/z?k=v"]
 
 
+def test_a_script_without_end_holds_no_links(spark):
+    page = "<a href=/y>1</a><script>a<a href=x>b"
+    assert found(spark, page).select(links.extracted(F.col("found")).alias("l")).first().l == ["http://h/y"]
+
+
 def test_links_of_a_page_without_host_are_dropped(spark):
     assert found(spark, '<a href="/y">', url="p").select(links.extracted(F.col("found")).alias("l")).first().l == []
 
@@ -98,6 +103,10 @@ def test_robots_first_rule_wins(spark):
 def test_bodies(spark):
     rows = [(1, "é".encode(), None, "é"), (2, b"\xffa\xc3(b", "utf-8", "a(b"), (3, "é".encode("latin-1"), "ISO-8859-1", "é"),
             (4, "€".encode("cp1252"), "windows-1252", "€"), (5, "ж".encode("koi8-r"), "koi8-r", "ж"),
-            (6, "�x".encode() + b"\xff", "UTF-8", "�x"), (7, b"abc", "nosuch", "abc"), (8, None, "koi8-r", None), (9, b"x", "", "x")]
+            (6, "�x".encode() + b"\xff", "UTF-8", "�x"), (7, b"abc", "nosuch", "abc"), (8, None, "koi8-r", None), (9, b"x", "", "x"),
+            (10, "жŁ".encode("utf-16"), "UTF-16", "жŁ"), (11, "Łódź".encode("cp1250"), "Windows-1250", "Łódź"),
+            (12, b"a\x81b\x80", "cp1252", "ab€"), (13, "日本".encode("shift_jis"), "shift_jis", "日本")]
     df = spark.createDataFrame(rows, "id int, content binary, encoding string, want string")
     assert decode_bodies(df).filter("not (raw_html <=> want)").collect() == []
+    # Without a declared charset and without a default, no row is lost.
+    assert decode_bodies(df, F.lit(None).cast("string")).count() == len(rows)

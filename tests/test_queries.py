@@ -17,5 +17,13 @@ def test_all_queries_match_their_sql():
 
 
 def test_every_query_has_sql():
-    import __spark_entry__ as entry
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    from catalog import ALL_QUERIES
+
+    assert all(sql for _, sql in ALL_QUERIES.values())
+
+
+def test_the_size_guard_changes_the_result(spark):
+    from catalog.document_queries import QUERIES
+
+    guarded, plain = (QUERIES[name][0](spark, SF) for name in ("document_size_guard", "document_history"))
+    assert guarded.exceptAll(plain).count() and plain.exceptAll(guarded).count()

@@ -13,13 +13,9 @@ def table(spark, rows, names):
 
 def test_canonize(spark):
     pairs = [
-        ("http://www.google.com", "www.google.com"),
-        ("http://www.google.com/", "www.google.com"),
-        ("https://www.google.com", "www.google.com"),
-        ("https://www.google.it/", "www.google.it"),
-        ("https://www.google.it?test=10&q=1", "www.google.it%3Ftest%3D10%26q%3D1"),
-        ("https://www.google.it/test/test/", "www.google.it/test/test"),
-        ("https://www.google.it/test/test", "www.google.it/test/test"),
+        ("http://shop.example.org", "shop.example.org"),
+        ("https://shop.example.org/tea/", "shop.example.org/tea"),
+        ("http://shop.example.org/tea?sort=up&page=2", "shop.example.org/tea%3Fsort%3Dup%26page%3D2"),
         ("HTTP://a///", "HTTP%3A//a"),
         ("http://a/è b", "a/è b"),
         ("http://a/~x*y z", "a/%7Ex%2Ay%20z"),
@@ -30,7 +26,7 @@ def test_canonize(spark):
 
 
 def test_domain(spark):
-    pairs = [("http://www.url.com/1", "www.url.com"), ("https://u:p@H.com:8080?x", "u:p@H.com:8080"), ("//h/p", "h"),
+    pairs = [("http://shop.example.org/1", "shop.example.org"), ("https://u:p@H.com:8080?x", "u:p@H.com:8080"), ("//h/p", "h"),
              ("/p", ""), ("mailto:a@b", ""), ("http://h|x y/p", "h|x y"), ("", "")]
     df = table(spark, pairs, "url string, want string").withColumn("got", urls.domain(F.col("url")))
     assert df.filter("got <> want").collect() == []
@@ -70,9 +66,7 @@ def test_normalize_against_standard_library(spark):
     ("http://h/p/", "http://h/p/"),
     ("www.H.com:80", "www.H.com:80"),
     ("http://h/p?a=1?b=2", "http://h/p?a=1%3Fb%3D2"),
-    ("http://h/d/x.shtml?item-num=4", "http://h/d/x.shtml?item-num=4"),
-    ("http://h/index.php?nazione=PLE&page=dettnazione", "http://h/index.php?nazione=PLE&page=dettnazione"),
-    ("http://h/x_preview.shtml?vclk=1&vclk=http%3A%2F%2Fh%2Fx", "http://h/x_preview.shtml"),
+    ("http://h/cups?vclk=1&size=s&vclk=2", "http://h/cups?size=s"),
 ])
 def test_normalize_cases(value, url, want):
     assert value(urls.normalize(F.lit(url), ["vclk"])) == want
@@ -91,17 +85,16 @@ def test_resolve(spark):
 
 
 def test_check_and_admit(spark):
-    rows = [("http://www.url.com/1", "http://www.url.com/1", True, "excluded"),
-            ("http://www.url.com/2", "http://www.url.com/2", False, "ok"),
-            ("http://www.url.com/3?a=3&b=2", "http://www.url.com/3?b=2", True, "normalized"),
-            ("http://www.url.com/5?c=8", "http://www.url.com/5?c=8", False, "ok"),
-            ("http://www.notallowed.com/7", "http://www.notallowed.com/7", True, "domain"),
-            ("http://www.url.com/10", "http://www.url.com/10", True, "excluded")]
+    rows = [("http://shop.example.org/private/7", "http://shop.example.org/private/7", True, "excluded"),
+            ("http://shop.example.org/tea", "http://shop.example.org/tea", False, "ok"),
+            ("http://shop.example.org/tea?ref=9&sort=up", "http://shop.example.org/tea?sort=up", True, "normalized"),
+            ("http://other.example.org/tea", "http://other.example.org/tea", True, "domain"),
+            ("http://other.example.org/private", "http://other.example.org/private", True, "excluded")]
     df = table(spark, rows, "url string, nurl string, rm boolean, why string").withColumn(
-        "c", urls.check(F.col("url"), ["www.url.com"], urls.anchored([".*/1.*"]), ["a", "e"]))
+        "c", urls.check(F.col("url"), ["shop.example.org"], urls.anchored([".*/private"]), ["ref"]))
     assert df.filter("c.nurl <> nurl or c.to_remove <> rm or c.reason <> why").collect() == []
     admitted = {r.url for r in df.filter(urls.is_admitted(F.col("c"), F.col("url"))).collect()}
-    assert admitted == {rows[1][0], rows[2][0], rows[3][0]}
+    assert admitted == {rows[1][0], rows[2][0]}
 
 
 def test_exclude_is_anchored_at_the_start_only(value):

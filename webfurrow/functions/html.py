@@ -12,8 +12,9 @@ from webfurrow.functions.binding import bind
 
 # Inside a tag a quote opens a value only right after '=', so '>' may stand in it.
 _INSIDE = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
-_COMMENT = r"<!--.*?-->"
-_RAW = rf"<(script|style)\b{_INSIDE}>(.*?)</\1\s*>"
+# A comment, script or style without its end reaches to the end of the page.
+_COMMENT = r"<!--.*?(?:-->|\z)"
+_RAW = rf"<(script|style)\b{_INSIDE}>(.*?)(?:</\1\s*>|\z)"
 _TAG = rf"<[/!?a-z]{_INSIDE}>"
 MARKUP = rf"(?is){_COMMENT}|{_RAW}|{_TAG}"
 PIECES = rf"{MARKUP}|[^<]+|<"
@@ -42,16 +43,19 @@ def _any_entity(text: Column) -> Column:
     table = F.from_json(F.lit(json.dumps(names)), "map<string,string>")
 
     def decode(piece):
-        decimal = F.regexp_extract(piece, r"^&#(\d{1,8});?$", 1)
-        hexadecimal = F.regexp_extract(piece, r"^&#[xX]([0-9A-Fa-f]{1,7});?$", 1)
-        code = F.coalesce(F.conv(F.nullif(decimal, F.lit("")), 10, 10), F.conv(F.nullif(hexadecimal, F.lit("")), 16, 10))
+        # Leading zeros do not count; a number too long for a code point is none.
+        decimal = F.nullif(F.regexp_extract(piece, r"^&#0*(\d+);?$", 1), F.lit(""))
+        hexadecimal = F.nullif(F.regexp_extract(piece, r"^&#[xX]0*([0-9A-Fa-f]+);?$", 1), F.lit(""))
+        none = F.lit(str(0x110000))
+        code = F.coalesce(F.when(F.length(decimal) > 7, none).otherwise(decimal),
+                          F.when(F.length(hexadecimal) > 6, none).otherwise(F.conv(hexadecimal, 16, 10)))
         named = F.try_element_at(table, F.regexp_extract(piece, "^&([A-Za-z0-9]+);?$", 1))
         numbered = bind(code.cast("int"), lambda c: F.when(c.isNotNull(), _character(c)))
         return (F.when(~piece.startswith("&"), piece)
                 .when(piece.startswith("&#"), F.coalesce(numbered, piece))
                 .otherwise(F.coalesce(named, piece)))
 
-    pieces = F.regexp_extract_all(text, F.lit(r"(?s)&#?[A-Za-z0-9]{1,32};?|[^&]+|&"), F.lit(0))
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s)&#?[A-Za-z0-9]+;?|[^&]+|&"), F.lit(0))
     return F.array_join(F.transform(pieces, decode), "")
 
 

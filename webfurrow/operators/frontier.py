@@ -25,12 +25,19 @@ def _normal(depth: Column) -> list[Column]:
     return _item(NORMAL, depth, F.col("url"), F.lit(0), depth)
 
 
+def _same(items: DataFrame, others: DataFrame, how: str) -> DataFrame:
+    """Items with (``left_semi``) or without (``left_anti``) an equal item in ``others``; NULL equals NULL."""
+    right = others.select(*[F.col(c).alias(f"_{c}") for c in COLUMNS])
+    equal = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in COLUMNS]
+    return items.join(right, equal, how)
+
+
 def push(frontier: DataFrame, items: DataFrame) -> DataFrame:
     """Frontier with the items added; an equal item is kept once. Only the new items
     are made distinct, the stored ones are looked up and passed on."""
     fresh = items.select(*COLUMNS).distinct()
-    present = frontier.select(*COLUMNS).join(fresh, COLUMNS, "left_semi")
-    return frontier.select(*COLUMNS).unionByName(fresh.join(present, COLUMNS, "left_anti"))
+    present = _same(frontier.select(*COLUMNS), fresh, "left_semi")
+    return frontier.select(*COLUMNS).unionByName(_same(fresh, present, "left_anti"))
 
 
 def link_items(links: DataFrame, seen: DataFrame) -> DataFrame:
@@ -77,20 +84,20 @@ def due_items(frontier: DataFrame, seen: DataFrame, now: Column) -> DataFrame:
 def next_items(frontier: DataFrame, seen: DataFrame, now: Column, n: int) -> DataFrame:
     """The next ``n`` items of each spider in fetch order, with their ``rank``."""
     order = [F.col(c) for c in ("source", "score", "url", "next_delay", "depth")]
-    return first_n(due_items(frontier, seen, now), ["spider"], order, n, spread=["url"])
+    return first_n(due_items(frontier, seen, now), ["spider"], order, n)
 
 
 def fetch_plan(items: DataFrame, config: DataFrame, now: Column) -> DataFrame:
     """Ranked items with the second each may be fetched at: the pause of the spider
     between two fetches."""
-    planned = with_config(items, config, ["spider_delay"], ["url"])
+    planned = with_config(items, config, ["spider_delay"])
     return planned.select(
         *items.columns, (now + (F.col("rank") - 1) * F.col("spider_delay")).cast("bigint").alias("planned_at"))
 
 
 def remove_items(frontier: DataFrame, items: DataFrame) -> DataFrame:
-    """Frontier without the given items, compared by their whole value."""
-    return frontier.join(items.select(*COLUMNS).distinct(), COLUMNS, "left_anti")
+    """Frontier without the given items, compared by their whole value, NULL equal to NULL."""
+    return _same(frontier, items.select(*COLUMNS).distinct(), "left_anti")
 
 
 def drop_seen(frontier: DataFrame, seen: DataFrame) -> DataFrame:

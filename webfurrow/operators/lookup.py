@@ -7,39 +7,34 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 8
 
-
-def lookup_join(facts: DataFrame, lookup: DataFrame, keys: Sequence[str], spread: Sequence[str],
-                how: str = "left", salts: int = SALTS) -> DataFrame:
+def lookup_join(facts: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join many rows to a lookup with one row per key.
 
-    The rows of one key are spread over ``salts`` parts by the ``spread`` columns,
-    and the lookup is repeated for each part. A lookup below the broadcast
-    threshold is broadcast by Spark, which checks its size; a larger one shuffles
-    without putting a hot key into one task.
+    A lookup below the broadcast threshold is broadcast by Spark, which checks its size. A
+    larger one shuffles, and adaptive execution splits the partition of a hot key by its
+    measured size, repeating the key's one lookup row for each part.
     """
-    left = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
-    right = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    return facts.join(lookup, list(keys), how)
 
 
-def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank",
-            spread: Sequence[str] | None = None) -> DataFrame:
+def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
     """First ``n`` rows of each key in ``order``, numbered from 1.
 
-    Spark cuts each task to ``n`` rows per key before the shuffle up to its limit
-    for that rule; above it the cut is made here over parts of each key.
+    One plan for every ``n``: each key is cut to ``n`` in parts first, as many as a shuffle
+    has, so that what meets in one task is ``n`` rows of each part.
     """
-    spark = df.sparkSession
-    limit = int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if n > limit and spread:
-        part = F.pmod(F.xxhash64(*spread), F.lit(64))
-        within = Window.partitionBy(*keys, "_part").orderBy(*order)
-        df = (df.withColumn("_part", part).withColumn("_r", F.row_number().over(within))
-              .filter(F.col("_r") <= n).drop("_part", "_r"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    within = Window.partitionBy(*keys, "_part").orderBy(*order)
+    cut = (df.withColumn("_part", F.pmod(F.xxhash64(*order_columns(df)), F.lit(parts)))
+           .withColumn("_r", F.row_number().over(within)).filter(F.col("_r") <= n).drop("_part", "_r"))
     over = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(over)).filter(F.col(rank) <= n)
+    return cut.withColumn(rank, F.row_number().over(over)).filter(F.col(rank) <= n)
+
+
+def order_columns(df: DataFrame) -> list[str]:
+    """Columns a hash can be taken of."""
+    return [f.name for f in df.schema.fields if "map" not in f.dataType.simpleString()]
 
 
 CONFIG_COLUMNS = ["allowed_domains", "exclude_re", "normalize_params", "use_canonical", "nofollow_compliant",
@@ -47,14 +42,16 @@ CONFIG_COLUMNS = ["allowed_domains", "exclude_re", "normalize_params", "use_cano
                   "refetching_delay", "refetching_strategy"]
 
 
-def with_config(df: DataFrame, config: DataFrame, columns: Sequence[str], spread: Sequence[str]) -> DataFrame:
+def with_config(df: DataFrame, config: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Adds options of the row's spider. ``depth`` and ``delay`` of the config are
-    called ``max_depth`` and ``spider_delay``, as rows have their own."""
+    called ``max_depth`` and ``spider_delay``, as rows have their own. A row whose
+    spider has no config fails the query, so that no row is lost unseen."""
     renamed = config.withColumnsRenamed({"depth": "max_depth", "delay": "spider_delay"})
-    return lookup_join(df, renamed.select("spider", *columns), ["spider"], spread, how="inner")
+    joined = lookup_join(df, renamed.select("spider", *columns, F.lit(True).alias("_known")), ["spider"])
+    missing = F.raise_error(F.concat(F.lit("no config for spider "), F.coalesce("spider", F.lit("NULL"))))
+    return joined.filter(F.when(F.col("_known"), True).otherwise(missing.cast("boolean"))).drop("_known")
 
 
 def of_spiders(df: DataFrame, names: DataFrame) -> DataFrame:
     """Rows of the chosen spiders only; ``names`` has a ``spider`` column."""
-    return lookup_join(df, names.select("spider").distinct(), ["spider"],
-                       [c for c in df.columns if c != "spider"][:2] or ["spider"], how="left_semi")
+    return lookup_join(df, names.select("spider").distinct(), ["spider"], how="left_semi")

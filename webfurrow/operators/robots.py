@@ -36,5 +36,5 @@ def permitted_links(links: DataFrame, rules: DataFrame, compliant: Column | None
     test off per row. ``links`` has the URL in ``url``."""
     compliant = F.lit(True) if compliant is None else compliant
     keyed = links.withColumn("domain", urls.domain(F.col("url")))
-    joined = lookup_join(keyed, rules_by_domain(rules), ["domain"], ["url"])
+    joined = lookup_join(keyed, rules_by_domain(rules), ["domain"])
     return joined.filter(~compliant | may_fetch(F.col("url"), F.col("rules"))).drop("domain", "rules")

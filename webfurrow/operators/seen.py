@@ -100,7 +100,7 @@ def upserts(pages: DataFrame, seen: DataFrame) -> DataFrame:
     writes = own.select("spider", F.explode("alts").alias("key"), "ord", value.alias("value")).unionByName(
         last.join(prev, ["spider", "main"]).select("spider", F.explode("prev").alias("key"), "ord", "value"))
     winners = writes.groupBy(*KEY).agg(F.max_by("value", "ord").alias("value")).select(*KEY, "value.*")
-    joined = lookup_join(winners, prev, ["spider", "main"], ["key"])
+    joined = lookup_join(winners, prev, ["spider", "main"])
     names = F.concat("alts", F.coalesce("prev", F.array().cast("array<string>")))
     return joined.select(
         *KEY, "page_hash", F.lit(1).cast("bigint").alias("count"),

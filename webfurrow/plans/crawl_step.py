@@ -54,7 +54,7 @@ def visit_batch(log: DataFrame, config: DataFrame) -> DataFrame:
     """
     resolved = route(resolve_attempts(log))
     options = [*PARSE_OPTIONS, "restart_delay", "refetching_delay", "refetching_strategy"]
-    known = with_config(resolved, config, options, ["url", "score"])
+    known = with_config(resolved, config, options)
     checked = known.withColumn("checked", urls.check(
         F.col("url"), F.col("allowed_domains"), F.col("exclude_re"), F.col("normalize_params")))
     admitted = checked.withColumn("admitted", urls.is_admitted(F.col("checked"), F.col("url")))
@@ -106,8 +106,9 @@ def crawl_step(log: DataFrame, seen: DataFrame, frontier: DataFrame, document_st
     """New tables after a batch of fetch results.
 
     ``document_state``: spider, key, history of the stored documents. ``now`` may
-    use columns of the log, such as the fetch time. Every row reads the tables as
-    they were before the batch; a batch of one fetch is the sequential crawl.
+    use columns of the log, such as the fetch time. A visit is judged against the one
+    before it in the batch, the first of a page against the table; links are looked up
+    in the table as it was. A batch of one fetch is the sequential crawl.
     Results several branches need are staged, by default in the shared folder.
     """
     stage = stage or staged_under(staging_path(log.sparkSession, "crawl-step"))
@@ -131,7 +132,8 @@ def crawl_step(log: DataFrame, seen: DataFrame, frontier: DataFrame, document_st
 
     fetched = visits.select("spider", "source", "score", "url", F.col("delay").alias("next_delay"), "depth")
     fresh = fr.link_items(links, current).unionByName(refetch_items(plan))
-    next_frontier = fr.push(fr.remove_items(frontier, fetched), fresh)
+    # An item of the batch is spent, also if an earlier visit of the batch asked for it.
+    next_frontier = fr.push(fr.remove_items(frontier, fetched), fr.remove_items(fresh, fetched))
 
     return StepResult(
         seen=_next_seen(seen, gone, added, written),

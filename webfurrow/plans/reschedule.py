@@ -8,22 +8,26 @@ from pyspark.sql import functions as F
 from webfurrow.functions import fingerprint, refetch
 from webfurrow.operators.lookup import lookup_join
 from webfurrow.operators.seen import KEY, with_key
+from webfurrow.plans.change_log import with_previous
 from webfurrow.schemas import PRIORITY, REFETCH
 
 
 def judge(visits: DataFrame, seen: DataFrame) -> DataFrame:
-    """Adds ``is_new`` and ``is_changed`` against the stored hash of each visit's URL.
+    """Adds ``is_new`` and ``is_changed`` of each visit, as if the visits came one by one.
 
-    ``visits``: spider, url, dhash, fetched_at. The table is cut to the visited
-    keys first; then a key with many visits is spread over several tasks.
+    A visit is held against the visit of the same page before it in the batch, in order of
+    ``(fetched_at, url)``; the first one against the stored hash, and only that one can be new.
+    ``visits``: spider, url, dhash, fetched_at. The table is cut to the visited keys first.
     """
     keyed = with_key(visits)
     known = (seen.select(*KEY, "page_hash")
              .join(keyed.select(*KEY).distinct(), KEY, "left_semi").withColumn("known", F.lit(True)))
-    joined = lookup_join(keyed, known, KEY, ["fetched_at", "dhash"])
+    joined = lookup_join(with_previous(keyed), known, KEY)
+    first = F.col("_previous").isNull()
+    before = F.when(first, F.col("page_hash")).otherwise(F.col("_previous.dhash"))
     return joined.select(
-        *keyed.columns, F.col("known").isNull().alias("is_new"),
-        fingerprint.is_changed(F.col("dhash"), F.col("page_hash")).alias("is_changed"))
+        *keyed.columns, (first & F.col("known").isNull()).alias("is_new"),
+        fingerprint.is_changed(F.col("dhash"), before).alias("is_changed"))
 
 
 def timed(judged: DataFrame, now: Column) -> DataFrame:

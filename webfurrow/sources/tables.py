@@ -28,7 +28,7 @@ def read_seed_file(spark: SparkSession, path: str, spider: str) -> DataFrame:
 def usable_seeds(seeds: DataFrame, config: DataFrame) -> DataFrame:
     """Seeds on an allowed domain that are no start URL of their spider."""
     known = with_config(seeds.filter(F.col("url").isNotNull()),
-                        config.withColumnRenamed("start_urls", "starts"), ["allowed_domains", "starts"], ["url"])
+                        config.withColumnRenamed("start_urls", "starts"), ["allowed_domains", "starts"])
     kept = known.filter(urls.is_allowed(urls.domain(F.col("url")), F.col("allowed_domains"))
                         & ~F.array_contains("starts", F.col("url")))
     return kept.select("spider", "url", "depth")
