@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from webfurrow.llm import (byte_bpe, decontamination, embedding_join, language_id, licenses, ngram_join, pii, sharding,
                            token_counts, toxicity)
 from webfurrow.llm.common import table
+from webfurrow.llm.sql import SQL  # noqa: F401  with the queries
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -73,4 +74,3 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_license_scan, op3_ngram_join, op4_token_counts, op5_decontamination, op6_toxicity,
     op7_embedding_join, op8_sharding, op9_byte_bpe, op10_pii)}
-SQL: dict[str, str] = {}
