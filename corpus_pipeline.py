@@ -33,7 +33,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows that repeat an id with the same text are one document. Rows without id stay.
     """
     groups = stage(ngram_join.group_near_duplicates(docs), "groups")
-    later = groups.filter("doc_id <> component_id").select("doc_id").distinct()
+    # The ids to drop grow with the corpus, so they are never broadcast: one plan at every size.
+    later = groups.filter("doc_id <> component_id").select("doc_id").distinct().hint("merge")
     kept = docs.join(later, ["doc_id"], "left_anti").select(*docs.columns)
     repeated = groups.groupBy("doc_id").count().filter("count > 1 and doc_id is not null")
     return kept.dropDuplicates(["doc_id", "text"]) if repeated.limit(1).count() else kept
