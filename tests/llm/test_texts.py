@@ -179,6 +179,16 @@ def test_toxicity_on_held_out_documents(spark):
     assert {r["predicted"] for r in toxicity.score_toxicity(odd, none).collect()} == {0}
 
 
+def test_inputs_tell_how_many_words_share_a_term():
+    memo = {w: toxicity.terms(w) for w in ("fooled", "foolish", "foolery")}
+    n = len(toxicity.LEVELS)
+    begins = toxicity.terms("fooled")[1]  # the first four letters, which all three share
+    assert begins in toxicity.terms("foolish") and begins in toxicity.terms("foolery")
+    reached = [{k % n for k in toxicity.inputs_of(t, memo) if k // n == begins}
+               for t in ("fooled", "fooled fooled", "fooled Foolish", "fooled foolish, foolery", None)]
+    assert reached == [{0}, {0}, {0, 1}, {0, 1, 2}, set()]
+
+
 def test_machine_learns_a_pair_that_weights_cannot():
     rng = np.random.default_rng(0)
     x = (rng.random((400, 2)) < 0.5).astype(float)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Mapping
 
 import numpy as np
 import pandas as pd
@@ -13,12 +15,15 @@ from webfurrow.llm.common import Memo, per_text, small_batches
 
 #: Labelled documents of each class the model learns from at most, chosen by a hash of the id.
 SAMPLE_PER_CLASS = 5000
-#: Terms are hashed to so many buckets; the most telling of them become the machine's inputs.
+#: Terms are hashed to so many buckets; the most telling of them, with their levels, are the machine's inputs.
 BUCKETS = 1 << 22
 INPUTS = 512
 FACTORS = 8
 STEPS = 250
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7)
+#: A term is an input once for each of these numbers of different words of the text that share it: one
+#: chance word with a telling beginning says less than three.
+LEVELS = (1, 2, 3)
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -30,23 +35,28 @@ def terms(word: str) -> tuple[int, ...]:
     return tuple(dict.fromkeys(xxhash.xxh3_64_intdigest(n) % BUCKETS for n in names))
 
 
+def inputs_of(text: str | None, memo: Mapping[str, tuple[int, ...]]) -> set[int]:
+    """Inputs of a text: ``bucket * len(LEVELS) + level`` of each bucket and each level it reaches."""
+    held: Counter[int] = Counter()
+    for hit in filter(None, map(memo.__getitem__, set(WORD.findall((text or "").lower())))):
+        held.update(hit)
+    return {bucket * len(LEVELS) + i for bucket, n in held.items() for i, least in enumerate(LEVELS) if n >= least}
+
+
 class Machine:
-    """P(toxic) of a set of terms: a bias, a weight per term and a factor vector per term, whose
-    inner products are the weights of pairs of terms."""
+    """P(toxic) of a set of inputs: a bias, a weight and a factor vector per input; the inner products
+    of the vectors are the weights of pairs."""
 
-    def __init__(self, buckets: list[int], bias: float, weights: np.ndarray, factors: np.ndarray):
-        self.buckets, self.bias, self.weights, self.factors = buckets, bias, weights, factors
-        self.place = {b: i for i, b in enumerate(buckets)}
+    def __init__(self, names: list[int], bias: float, weights: np.ndarray, factors: np.ndarray):
+        self.names, self.bias, self.weights, self.factors = names, bias, weights, factors
+        self.place = {n: i for i, n in enumerate(names)}
 
     def inputs(self, memo: Memo, text: str | None) -> set[int]:
-        found: set[int] = set()
-        for hit in filter(None, map(memo.__getitem__, set(WORD.findall((text or "").lower())))):
-            found.update(hit)
-        return found
+        return {self.place[n] for n in inputs_of(text, memo) if n in self.place}
 
     def memo(self) -> Memo:
-        place = self.place
-        return Memo(lambda word: tuple(place[b] for b in terms(word) if b in place))
+        buckets = {n // len(LEVELS) for n in self.names}
+        return Memo(lambda word: tuple(b for b in terms(word) if b in buckets))
 
     def probability(self, found: set[int]) -> float:
         rows = sorted(found)
@@ -81,7 +91,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS,
     """Learns from ``labels`` (``doc_id``, ``toxic``) and the texts of the same ids.
 
     At most about ``per_class`` labelled ids of each class are used. Their ids, at most a few
-    thousand, are what the texts are filtered by. The most telling buckets are chosen by how
+    thousand, are what the texts are filtered by. The most telling inputs are chosen by how
     unevenly the two classes hold them, then the machine is fitted in one task over the bounded
     sample. Labels that are null, and ids without text, teach nothing; without one class the
     machine is a constant.
@@ -95,27 +105,22 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS,
     chosen = usable.filter(chance < share).limit(4 * per_class)
     small_batches(docs.sparkSession)
 
-    def buckets_of(batches):
+    def described(batches):
         memo = Memo(terms)
         for rows in batches:
-            found = []
-            for text in rows.text:
-                own: set[int] = set()
-                for hit in map(memo.__getitem__, set(WORD.findall((text or "").lower()))):
-                    own.update(hit)
-                found.append(np.array(sorted(own), dtype=np.int32))
-            yield pd.DataFrame({"doc_id": rows.doc_id, "toxic": rows.toxic, "buckets": found})
+            found = [np.array(sorted(inputs_of(text, memo)), dtype=np.int32) for text in rows.text]
+            yield pd.DataFrame({"doc_id": rows.doc_id, "toxic": rows.toxic, "inputs": found})
 
     # The chosen ids are at most 4 * per_class rows of two numbers: a proven bound.
     sample = (docs.select("doc_id", "text").join(F.broadcast(chosen), ["doc_id"])
               .select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
-              .mapInPandas(buckets_of, "doc_id long, toxic int, buckets array<int>"))
+              .mapInPandas(described, "doc_id long, toxic int, inputs array<int>"))
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "toxic"], kind="stable")
         y = rows.toxic.to_numpy()
-        flat = np.concatenate([*rows.buckets, np.zeros(0, dtype=np.int32)]).astype(np.int64)
-        owner = np.repeat(np.arange(len(rows)), [len(b) for b in rows.buckets])
+        flat = np.concatenate([*rows.inputs, np.zeros(0, dtype=np.int32)]).astype(np.int64)
+        owner = np.repeat(np.arange(len(rows)), [len(b) for b in rows.inputs])
         names, of = np.unique(flat, return_inverse=True)
         held = np.bincount(of, weights=y[owner], minlength=len(names))
         clean = np.bincount(of, weights=1 - y[owner], minlength=len(names))
@@ -128,15 +133,15 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS,
         hit = column[of] >= 0
         x[owner[hit], column[of[hit]]] = 1.0
         bias, weights, factors = fit(x, y)
-        return pd.DataFrame({"buckets": [names[top].astype(np.int32)], "bias": [bias], "weights": [weights],
+        return pd.DataFrame({"names": [names[top].astype(np.int32)], "bias": [bias], "weights": [weights],
                              "factors": [factors.ravel()]})
 
     model = sample.groupBy().applyInPandas(
-        learn, "buckets array<int>, bias double, weights array<double>, factors array<double>").collect()
+        learn, "names array<int>, bias double, weights array<double>, factors array<double>").collect()
     if not model:
         return Machine([], 0.0, np.zeros(0), np.zeros((0, FACTORS)))
     m = model[0]
-    return Machine(list(m["buckets"]), m["bias"], np.array(m["weights"]), np.array(m["factors"]).reshape(-1, FACTORS))
+    return Machine(list(m["names"]), m["bias"], np.array(m["weights"]), np.array(m["factors"]).reshape(-1, FACTORS))
 
 
 def score_toxicity(docs: DataFrame, model: Machine, threshold: float = 0.7, column: str = "text") -> DataFrame:
@@ -146,7 +151,7 @@ def score_toxicity(docs: DataFrame, model: Machine, threshold: float = 0.7, colu
     text is read, whole; rows are never moved; existing columns of the two names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(
-        (model.buckets, model.bias, model.weights, model.factors))  # bounded by INPUTS
+        (model.names, model.bias, model.weights, model.factors))  # bounded by INPUTS
 
     def make():
         machine = Machine(*shared.value)
