@@ -47,16 +47,16 @@ class Machine:
     """P(toxic) of a set of inputs: a bias, a weight and a factor vector per input; the inner products
     of the vectors are the weights of pairs."""
 
-    def __init__(self, names: list[int], bias: float, weights: np.ndarray, factors: np.ndarray):
-        self.names, self.bias, self.weights, self.factors = names, bias, weights, factors
-        self.place = {n: i for i, n in enumerate(names)}
+    def __init__(self, buckets: list[int], bias: float, weights: np.ndarray, factors: np.ndarray):
+        self.buckets, self.bias, self.weights, self.factors = buckets, bias, weights, factors
+        self.place = {b: i for i, b in enumerate(buckets)}
 
     def inputs(self, memo: Memo, text: str | None) -> set[int]:
         return {self.place[n] for n in inputs_of(text, memo) if n in self.place}
 
     def memo(self) -> Memo:
-        buckets = {n // len(LEVELS) for n in self.names}
-        return Memo(lambda word: tuple(b for b in terms(word) if b in buckets))
+        kept = {b // len(LEVELS) for b in self.buckets}
+        return Memo(lambda word: tuple(b for b in terms(word) if b in kept))
 
     def probability(self, found: set[int]) -> float:
         rows = sorted(found)
@@ -133,15 +133,15 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS,
         hit = column[of] >= 0
         x[owner[hit], column[of[hit]]] = 1.0
         bias, weights, factors = fit(x, y)
-        return pd.DataFrame({"names": [names[top].astype(np.int32)], "bias": [bias], "weights": [weights],
+        return pd.DataFrame({"buckets": [names[top].astype(np.int32)], "bias": [bias], "weights": [weights],
                              "factors": [factors.ravel()]})
 
     model = sample.groupBy().applyInPandas(
-        learn, "names array<int>, bias double, weights array<double>, factors array<double>").collect()
+        learn, "buckets array<int>, bias double, weights array<double>, factors array<double>").collect()
     if not model:
         return Machine([], 0.0, np.zeros(0), np.zeros((0, FACTORS)))
     m = model[0]
-    return Machine(list(m["names"]), m["bias"], np.array(m["weights"]), np.array(m["factors"]).reshape(-1, FACTORS))
+    return Machine(list(m["buckets"]), m["bias"], np.array(m["weights"]), np.array(m["factors"]).reshape(-1, FACTORS))
 
 
 def score_toxicity(docs: DataFrame, model: Machine, threshold: float = 0.7, column: str = "text") -> DataFrame:
@@ -151,7 +151,7 @@ def score_toxicity(docs: DataFrame, model: Machine, threshold: float = 0.7, colu
     text is read, whole; rows are never moved; existing columns of the two names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(
-        (model.names, model.bias, model.weights, model.factors))  # bounded by INPUTS
+        (model.buckets, model.bias, model.weights, model.factors))  # bounded by INPUTS
 
     def make():
         machine = Machine(*shared.value)
