@@ -15,7 +15,7 @@ from webfurrow.schemas import FETCH_LOG
 from webfurrow.session import staging_path
 from webfurrow.sources.snapshots import Snapshots
 from webfurrow.sources.tables import stream_fetch_log
-from webfurrow.streaming.change_feed import change_stream
+from webfurrow.streaming.change_feed import start_change_feed
 from webfurrow.streaming.crawl import start_crawl, start_tables
 
 _fe, _pg, _hp, _cfg = i.fetches_sql, i.pages_sql, i.head_pages_sql, i.config_sql
@@ -44,15 +44,14 @@ def _written(spark, df, name):
 
 
 def change_feed_stream(spark, sf):
-    """The fetches as a stream through the stateful operator, its output read back."""
+    """The fetches as a stream against the last hash of each page, its output read back."""
     rows = i.fetches(spark, sf).select("spider", "key", "url", "dhash", "fetched_at")
     path = _written(spark, rows, "fetches")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
-    out, checkpoint = staging_path(spark, "feed"), staging_path(spark, "feed-checkpoint")
-    query = (change_stream(stream).writeStream.format("parquet").option("path", out)
-             .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start())
+    store = Snapshots(spark, staging_path(spark, "feed"))
+    query = start_change_feed(stream, store)
     query.awaitTermination()
-    return _feed_rows(spark.read.parquet(out))
+    return _feed_rows(store.read_all("fetch_feed", query.lastProgress["batchId"]))
 
 
 def page_log(spark, sf):

@@ -9,6 +9,7 @@ from webfurrow.functions import outcomes, refetch
 from webfurrow.operators import frontier as fr
 from webfurrow.operators.fetches import resolve_attempts, route
 from webfurrow.operators.lookup import of_spiders, with_config
+from webfurrow.plans.take import IN_FLIGHT, take_items
 from webfurrow.plans.reschedule import judge, refetch_items, timed
 from webfurrow.sources.tables import read_seed_file, usable_seeds
 from webfurrow.session import staging_path
@@ -62,6 +63,23 @@ def frontier_next_many(spark, sf):
     return fr.next_items(i.frontier(spark, sf), i.site_seen(spark, sf), F.lit(i.NOW), TAKE_MANY)
 
 
+def frontier_take(spark, sf):
+    """Two calls in a row on a frontier in which every second depth has another form of its URLs."""
+    url = F.when(F.col("depth") % 2 == 1, F.concat("url", F.lit("?ref=1#x"))).otherwise(F.col("url"))
+    frontier = i.frontier(spark, sf).withColumn("url", url).select(*fr.COLUMNS).distinct()
+    seen, config, now = i.site_seen(spark, sf), i.config(spark), F.lit(i.NOW)
+    one = take_items(frontier, spark.createDataFrame([], IN_FLIGHT), seen, config, now, TAKE)
+    two = take_items(one.frontier, one.in_flight, seen, config, now, TAKE)
+
+    def rows(df, call, kind, nurl=F.lit(""), number=F.lit(0)):
+        return df.select(F.lit(call).alias("call"), F.lit(kind).alias("kind"), "spider", "url", nurl.alias("nurl"),
+                         number.cast("bigint").alias("number"))
+
+    return (rows(one.items, 1, "item", F.col("nurl"), F.col("rank")).unionByName(rows(one.removed, 1, "removed"))
+            .unionByName(rows(two.items, 2, "item", F.col("nurl"), F.col("rank"))).unionByName(rows(two.removed, 2, "removed"))
+            .unionByName(rows(two.frontier, 2, "left", number=F.col("score"))).unionByName(rows(two.in_flight, 2, "out", number=F.col("score"))))
+
+
 def fetch_plan(spark, sf):
     return fr.fetch_plan(_next(spark, sf), i.config(spark), F.lit(i.NOW)).select("spider", "rank", "url", "planned_at")
 
@@ -174,6 +192,29 @@ nx AS (SELECT *, row_number() OVER (PARTITION BY spider ORDER BY source, score,
 _next_sql = f"WITH {_fe}, {_fr}, {_ss}, {_due_sql} SELECT spider, source, score, url, next_delay, depth, rank FROM nx"
 
 
+def _taken_sql(call: int, source: str, waiting: str) -> str:
+    """CTE ``t<call>``: the items one call takes, with the result of the check."""
+    return f"""t{call} AS (SELECT n.*, CASE WHEN reason = 'normalized' THEN normal ELSE url END AS nurl, reason IN ('ok', 'normalized') AS admitted FROM (
+  SELECT d.*, {i.normalize_sql('url')} AS normal, CASE WHEN coalesce(regexp_matches(url, exclude_re), false) THEN 'excluded'
+    WHEN NOT (len(allowed) = 0 OR list_contains(allowed, {i.domain_sql('url')})) THEN 'domain' WHEN {i.normalize_sql('url')} <> url THEN 'normalized' ELSE 'ok' END AS reason
+  FROM (SELECT *, row_number() OVER (PARTITION BY spider ORDER BY source, score, url, next_delay, depth) AS rank FROM (
+    SELECT * FROM {source} WHERE source <> 2 AND score <= {i.NOW} UNION ALL
+    (SELECT * FROM {source} f WHERE source = 2 AND NOT EXISTS (SELECT 1 FROM site_seen s WHERE s.spider = f.spider AND s.key = replace(f.url, 'http://', ''))
+     {waiting} QUALIFY row_number() OVER (PARTITION BY spider, url ORDER BY score, depth) = 1)) QUALIFY rank <= {TAKE}) d JOIN config c USING (spider)) n)"""
+
+
+_take_sql = f"""WITH {_fe}, {_fr}, {_ss}, {_cfg}, f1 AS (SELECT DISTINCT spider, source, score::BIGINT AS score,
+  CASE WHEN depth % 2 = 1 THEN url || '?ref=1#x' ELSE url END AS url, next_delay, depth FROM fr), {_taken_sql(1, 'f1', '')},
+f2 AS (SELECT * FROM f1 EXCEPT SELECT {_cols} FROM t1),
+{_taken_sql(2, 'f2', 'AND NOT EXISTS (SELECT 1 FROM t1 WHERE t1.source = 2 AND t1.admitted AND t1.spider = f.spider AND t1.url = f.url)')}
+SELECT 1 AS call, 'item' AS kind, spider, url, nurl, rank AS number FROM t1 WHERE admitted UNION ALL
+SELECT DISTINCT 1, 'removed', spider, url, '', 0 FROM t1 WHERE reason <> 'ok' UNION ALL
+SELECT 2, 'item', spider, url, nurl, rank FROM t2 WHERE admitted UNION ALL
+SELECT DISTINCT 2, 'removed', spider, url, '', 0 FROM t2 WHERE reason <> 'ok' UNION ALL
+SELECT 2, 'left', spider, url, '', score FROM (SELECT * FROM f2 EXCEPT SELECT {_cols} FROM t2) UNION ALL
+SELECT 2, 'out', spider, url, '', score FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2) WHERE admitted"""
+
+
 def policy_sql(strategy: str, d: str, restart: str, unchanged: str, is_new: str) -> str:
     first = f"WHEN {is_new} OR delay = 0 THEN {d if strategy == 'base' else 7200}"
     if strategy == "base":
@@ -216,6 +257,7 @@ QUERIES = {
                       "SELECT spider, 1, 1, unnest(start_urls), coalesce(restart_delay, 0), 0 FROM config"),
     "frontier_next": (frontier_next, _next_sql),
     "frontier_next_many": (frontier_next_many, _next_sql.replace(f"rank <= {TAKE}", f"rank <= {TAKE_MANY}")),
+    "frontier_take": (frontier_take, _take_sql),
     "fetch_plan": (fetch_plan, f"WITH {_fe}, {_fr}, {_ss}, {_cfg}, {_due_sql} SELECT spider, rank, url, ({i.NOW} + (rank - 1) * spider_delay)::BIGINT AS planned_at "
                    "FROM nx JOIN config USING (spider)"),
     "multi_site": (multi_site, _next_sql + " WHERE spider IN ('s0', 's2')"),

@@ -72,12 +72,12 @@ def due_items(frontier: DataFrame, seen: DataFrame, now: Column) -> DataFrame:
     """Items that may be fetched now: due priority and refetch items, and unseen
     normal ones, each canonical URL once with its smallest depth."""
     timed = frontier.filter(F.col("source").isin(PRIORITY, REFETCH) & (F.col("score") <= now)).select(*COLUMNS)
-    best = F.struct("score", "url", "depth")
+    best = F.struct("score", "url", "depth", "next_delay")
     normal = (with_key(frontier.filter(F.col("source") == NORMAL))
               .groupBy(*KEY).agg(F.min(best).alias("best"))
               .join(seen.select(*KEY), KEY, "left_anti"))
     normal = normal.select("spider", F.lit(NORMAL).cast("tinyint").alias("source"), F.col("best.score"),
-                           F.col("best.url"), F.lit(0).cast("bigint").alias("next_delay"), F.col("best.depth"))
+                           F.col("best.url"), F.col("best.next_delay"), F.col("best.depth"))
     return timed.unionByName(normal)
 
 

@@ -17,7 +17,11 @@ DOCUMENT_STATE = T.StructType([
     T.StructField("body_version", T.LongType()),
 ])
 _BODIES = T.StructType([f for f in DOCUMENTS.fields if f.name in KEY + BODY])
-SCHEMAS = {"seen": SEEN, "frontier": FRONTIER, "change_feed": CHANGE_FEED, "document_state": DOCUMENT_STATE,
+_HASH = T.StructType([T.StructField("spider", T.StringType()), T.StructField("key", T.StringType()),
+                      T.StructField("dhash", T.LongType())])
+_FEED = T.StructType([*_HASH.fields[:2], T.StructField("url", T.StringType()), _HASH["dhash"],
+                      T.StructField("fetched_at", T.TimestampType())])
+SCHEMAS = {"last_hash": _HASH, "fetch_feed": _FEED, "seen": SEEN, "frontier": FRONTIER, "change_feed": CHANGE_FEED, "document_state": DOCUMENT_STATE,
            "document_bodies": _BODIES}
 
 

@@ -1,40 +1,56 @@
-"""Change feed of a fetch stream with the last hash of each page as its state."""
+"""Change feed of a fetch stream, against a table with the last hash of each page."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from webfurrow.functions.fingerprint import SIMILARITY_THRESHOLD
+from webfurrow.functions import fingerprint
+from webfurrow.operators.seen import KEY
+from webfurrow.plans.change_log import with_previous
+from webfurrow.plans.crawl_step import staged_under
+from webfurrow.sources.snapshots import SCHEMAS, Snapshots
 
-FEED = "spider string, key string, url string, dhash long, fetched_at timestamp"
+#: A version of the hash table holds the pages of its batch; each of this many holds all pages.
+FULL_EVERY = 20
 
 
-def change_stream(fetches: DataFrame) -> DataFrame:
-    """Fetches whose page was new or changed, as a stream in append mode.
+def last_hashes(store: Snapshots, version: int) -> DataFrame:
+    """Last hash of each page before batch ``version``: the latest full version and what came after it."""
+    if version == 0:
+        return store.spark.createDataFrame([], SCHEMAS["last_hash"])
+    first = (version - 1) // FULL_EVERY * FULL_EVERY
+    written = [store.read("last_hash", v).withColumn("version", F.lit(v)) for v in range(first, version)]
+    rows = written[0]
+    for more in written[1:]:
+        rows = rows.unionByName(more)
+    return rows.groupBy(*KEY).agg(F.max_by("dhash", "version").alias("dhash"))
 
-    ``fetches``: spider, key, url, dhash, fetched_at. The state per page is one
-    number and is kept for good. A page's rows of one micro-batch are ordered by
-    time here, since a shuffle keeps no order; the rate limit of the source bounds
-    how many there can be.
+
+def apply_fetches(store: Snapshots, version: int, fetches: DataFrame) -> None:
+    """Write the feed of a batch and its last hashes. ``fetches``: spider, key, url, dhash, fetched_at.
+
+    Fetches of a page in the batch are compared in the order of time, the first with the stored
+    hash; a missing hash counts as changed. What is written grows with the batch but for every
+    ``FULL_EVERY``-th version, and a repeated batch writes the same files.
     """
-    threshold = SIMILARITY_THRESHOLD
-
-    def step(key, batches, state):
-        import numpy as np
-        import pandas as pd
-
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["fetched_at", "url"], kind="stable")
-        hashes = rows["dhash"].to_numpy(dtype="int64").view("uint64")
-        known = state.exists
-        last = np.array([state.get[0] if known else 0], dtype="int64").view("uint64")
-        differing = np.bitwise_count(hashes ^ np.concatenate([last, hashes[:-1]]))
-        changed = differing >= threshold
-        if not known:
-            changed[0] = True
-        state.update((int(rows["dhash"].iloc[-1]),))
-        yield rows.loc[changed, ["spider", "key", "url", "dhash", "fetched_at"]]
-
-    chosen = fetches.select("spider", "key", "url", "dhash", F.col("fetched_at").cast("timestamp").alias("fetched_at"))
-    return chosen.groupBy("spider", "key").applyInPandasWithState(
-        step, outputStructType=FEED, stateStructType="last long", outputMode="append", timeoutConf="NoTimeout")
+    rows = staged_under(store.path("_staging", version))(
+        fetches.select("spider", "key", "url", "dhash", F.col("fetched_at").cast("timestamp").alias("fetched_at")), "fetches")
+    stored = last_hashes(store, version)
+    touched = stored.join(rows.select(*KEY).distinct(), KEY, "left_semi")
+    stepped = with_previous(rows).join(touched.withColumnRenamed("dhash", "_stored"), KEY, "left")
+    previous = F.when(F.col("_previous").isNotNull(), F.col("_previous.dhash")).otherwise(F.col("_stored"))
+    store.write("fetch_feed", version, stepped.filter(fingerprint.is_changed(F.col("dhash"), previous)))
+    ends = rows.groupBy(*KEY).agg(F.max_by("dhash", F.struct("fetched_at", "url")).alias("dhash"))
+    full = version > 0 and version % FULL_EVERY == 0
+    kept = stored.join(ends.select(*KEY), KEY, "left_anti").unionByName(ends) if full else ends
+    store.write("last_hash", version, kept)
+    store.discard("_staging", version)
+
+
+def start_change_feed(fetches: DataFrame, store: Snapshots, available_now: bool = True) -> StreamingQuery:
+    """Publish the fetches of a stream whose page was new or changed as table ``fetch_feed`` of ``store``."""
+    writer = (fetches.writeStream.foreachBatch(lambda batch, version: apply_fetches(store, version, batch))
+              .option("checkpointLocation", f"{store.root}/_checkpoint"))
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
