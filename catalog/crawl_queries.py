@@ -94,7 +94,7 @@ vr AS (SELECT *, CASE WHEN parsed THEN {i.normalize_sql('response_url')} ELSE nu
 
 
 def step_seen(spark, sf):
-    """Seen table before the step: the https pages with the hash of their text now."""
+    """Seen table before the step: half of the pages with the hash of their text now."""
     return i.page_seen(spark, sf, fingerprint.simhash(html.page_text(F.col("html"))))
 
 
@@ -132,7 +132,7 @@ def step_sql() -> str:
     quiet = "(NOT is_changed OR (parsed AND answer <> 200))"
     return f"""WITH {_pg}, {_hp}, {links}, {page_log_sql}, {text}, {i.simhash_sql('txt', 'page_id', 'simhead')},
 {i.text_sql('pg', 'ptxt')}, {i.simhash_sql('ptxt', 'page_id', 'simpg')}, {i.robots_sql},
-sm AS (SELECT spider, {key('url')} AS main, max(hash) AS page_hash FROM pg JOIN simpg USING (page_id) WHERE url LIKE 'https:%' GROUP BY ALL),
+sm AS (SELECT spider, {key('url')} AS main, max(hash) AS page_hash FROM pg JOIN simpg USING (page_id) WHERE md5({key('url')}) < '8' GROUP BY ALL),
 seen AS (SELECT spider, unnest([main, 'm.' || main]) AS key, page_hash, 1::BIGINT AS count, [main, 'm.' || main] AS alternatives FROM sm),
 rm AS (SELECT DISTINCT spider, {key('url')} AS key FROM vr WHERE to_remove),
 gone AS (SELECT DISTINCT spider, unnest(alternatives) AS key FROM seen SEMI JOIN rm USING (spider, key)),
@@ -144,7 +144,7 @@ lk AS (SELECT page_id, spider, link, depth, {key('link')} AS key FROM plh GROUP
 inc AS (SELECT spider, a AS key, count(*) AS n FROM (SELECT spider, unnest(alternatives) AS a FROM lk JOIN cur USING (spider, key)) GROUP BY 1, 2),
 fresh AS (SELECT DISTINCT spider, link, depth + 1 AS depth FROM lk ANTI JOIN cur USING (spider, key)),
 vk AS (SELECT vr.*, {key('visit_url')} AS main, CASE WHEN parsed THEN simhead.hash ELSE 0 END AS dhash,
-  list_distinct(list_transform(list_filter([nurl, CASE WHEN parsed THEN visit_url END, CASE WHEN parsed AND use_canonical AND page_id % 3 = 0 THEN normal END],
+  list_distinct(list_transform(list_filter([nurl, CASE WHEN parsed THEN visit_url END, CASE WHEN parsed AND use_canonical AND page_id % 5 < 2 THEN normal END],
     lambda x: x IS NOT NULL), lambda n: {key('n')})) AS alts FROM vr JOIN simhead USING (page_id) WHERE visited),
 jd AS (SELECT vk.*, s.key IS NULL AND row_number() OVER visits = 1 AS is_new,
   coalesce(bit_count(xor(dhash, coalesce(lag(dhash) OVER visits, s.page_hash))) >= 3, true) AS is_changed, refetching_delay AS d, restart_delay AS restart

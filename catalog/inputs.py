@@ -103,7 +103,7 @@ def head_pages(spark: SparkSession, sf: str) -> DataFrame:
     head = F.concat(
         F.lit('<!-- <a href="/no">no</a> -->'),
         F.when(pid % 2 == 0, F.lit('<base href="/b/">')).otherwise(""),
-        F.when(pid % 3 == 0, F.concat(F.lit('<link rel="x canonical" href="'), F.col("url"), F.lit('">')))
+        F.when(pid % 5 < 2, F.concat(F.lit('<link rel="x canonical" href="'), F.col("url"), F.lit('">')))
         .otherwise('<link rel="stylesheet" href="/s.css">'),
         F.when(pid % 5 == 0, F.lit('<meta property="lang" content="other">'))
         .otherwise(F.concat(F.lit('<meta name="lang" content="'), lang, F.lit('">'))),
@@ -115,7 +115,7 @@ def head_pages(spark: SparkSession, sf: str) -> DataFrame:
 head_pages_sql = """hp AS (SELECT page_id, spider, url,
   '<!-- <a href="/no">no</a> -->'
   || CASE WHEN page_id % 2 = 0 THEN '<base href="/b/">' ELSE '' END
-  || CASE WHEN page_id % 3 = 0 THEN '<link rel="x canonical" href="' || url || '">' ELSE '<link rel="stylesheet" href="/s.css">' END
+  || CASE WHEN page_id % 5 < 2 THEN '<link rel="x canonical" href="' || url || '">' ELSE '<link rel="stylesheet" href="/s.css">' END
   || CASE WHEN page_id % 5 = 0 THEN '<meta property="lang" content="other">'
      ELSE '<meta name="lang" content="' || regexp_extract(url, '/(en|fr|de|es)/', 1) || '">' END
   || CASE WHEN page_id % 4 = 0 THEN '<a rel="nofollow ugc" href="/The">x</a>' ELSE '' END
@@ -158,11 +158,10 @@ def md5_number_sql(text: str) -> str:
     return f"((CASE WHEN {u} >= 9223372036854775808::HUGEINT THEN {u} - 18446744073709551616::HUGEINT ELSE {u} END)::BIGINT)"
 
 
-# Seen table: the https pages and their m. alias.
+# Seen table: about half of the pages of every spider, by a hash of their key, and their m. alias.
 def page_seen(spark: SparkSession, sf: str, page_hash: Column | None = None) -> DataFrame:
     value = fingerprint.token_hash(F.col("html")) if page_hash is None else page_hash
-    rows = (pages(spark, sf).filter(F.col("url").startswith("https:"))
-            .withColumn("main", urls.canonize(F.col("url")))
+    rows = (pages(spark, sf).withColumn("main", urls.canonize(F.col("url"))).filter(F.md5("main") < "8")
             .groupBy("spider", "main").agg(F.max(value).alias("page_hash")))
     names = F.array("main", F.concat(F.lit("m."), "main"))
     return rows.select("spider", F.explode(names).alias("key"), "page_hash",
@@ -170,7 +169,7 @@ def page_seen(spark: SparkSession, sf: str, page_hash: Column | None = None) ->
 
 
 page_seen_sql = f"""sm AS (SELECT spider, {canonize_sql('url')} AS main, max({md5_number_sql('html')}) AS page_hash
-  FROM pg WHERE url LIKE 'https:%' GROUP BY ALL),
+  FROM pg WHERE md5({canonize_sql('url')}) < '8' GROUP BY ALL),
 seen AS (SELECT spider, unnest([main, 'm.' || main]) AS key, page_hash, 1::BIGINT AS count,
   [main, 'm.' || main] AS alternatives FROM sm)"""
 

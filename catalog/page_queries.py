@@ -128,7 +128,7 @@ def hash_distance(spark, sf):
 
 
 def change_detect(spark, sf):
-    """The https pages were stored; every page is fetched again with its URL added."""
+    """Half of the pages were stored; every page is fetched again with its URL added."""
     stored = i.page_seen(spark, sf, fingerprint.simhash(html.page_text(F.col("html"))))
     fetched = i.pages(spark, sf).select(
         "page_id", "spider", urls.canonize(F.col("url")).alias("key"),
@@ -162,7 +162,7 @@ hits AS (SELECT a.*, r.allow, r.rule_no FROM allowed a LEFT JOIN rules r ON r.do
   AND starts_with(regexp_replace(a.link, '^[a-z]+://[^/?#]*', ''), r.path)),
 permitted AS (SELECT page_id, spider, link, max_depth FROM hits GROUP BY ALL HAVING NOT bool_or(robots) OR coalesce(arg_min(allow, rule_no), true)),
 """
-_canonical = f"""CASE WHEN page_id % 3 = 0 THEN {i.normalize_sql('url')} END"""
+_canonical = f"""CASE WHEN page_id % 5 < 2 THEN {i.normalize_sql('url')} END"""
 _page_text = i.text_sql("hp", "txt", "page_id, spider, url")
 links_sql = _links_sql
 
@@ -170,7 +170,7 @@ parse_sql = f"""{_links_sql('c.nofollow')}, {_page_text}, {i.simhash_sql('txt',
 pl AS (SELECT a.page_id, array_to_string(list_sort(list(a.link)), ' ') AS links FROM allowed a
   WHERE a.page_id % 4 < a.max_depth GROUP BY 1),
 pr AS (SELECT page_id, spider, url AS requested, {i.normalize_sql("regexp_replace(url, '^http:', 'https:')")} AS url,
-  CASE WHEN use_canonical AND page_id % 3 = 0 THEN {i.normalize_sql('url')} END AS canonical FROM hp JOIN config USING (spider)),
+  CASE WHEN use_canonical AND page_id % 5 < 2 THEN {i.normalize_sql('url')} END AS canonical FROM hp JOIN config USING (spider)),
 parsed AS (SELECT p.page_id, p.url, {i.domain_sql('p.url')} AS domain, CASE WHEN p.page_id % 11 = 0 THEN 304 ELSE 200 END AS status,
   strftime(make_timestamp((1704067200 + p.page_id * 61) * 1000000), '%Y-%m-%dT%H:%M') AS fetched_time, s.hash,
   0 AS comments, false AS blocked, array_to_string(list_sort(list_distinct(list_filter([requested, p.url, canonical], lambda x: x IS NOT NULL))), ' ') AS alternatives,
@@ -201,7 +201,7 @@ QUERIES = {
     "change_detect": (change_detect, f"WITH {_pg}, pb AS (SELECT page_id, spider, url, html || url AS html FROM pg), "
                       f"{i.text_sql('pg', 'ta')}, {i.text_sql('pb', 'tb')}, {i.simhash_sql('ta', 'page_id', 'sa')}, "
                       f"{i.simhash_sql('tb', 'page_id', 'sb')}, st AS (SELECT spider, {i.canonize_sql('url')} AS key, max(hash) AS stored "
-                      "FROM pg JOIN sa USING (page_id) WHERE url LIKE 'https:%' GROUP BY ALL) "
+                      f"FROM pg JOIN sa USING (page_id) WHERE md5({i.canonize_sql('url')}) < '8' GROUP BY ALL) "
                       "SELECT page_id, coalesce(bit_count(xor(sb.hash, st.stored)) >= 3, true) AS is_changed FROM pg JOIN sb USING (page_id) "
                       f"LEFT JOIN st ON st.spider = pg.spider AND st.key = {i.canonize_sql('pg.url')}"),
 }

@@ -5,6 +5,10 @@ import subprocess
 import sys
 
 import pytest
+from pyspark.sql import functions as F
+
+from catalog import inputs
+from webfurrow.operators.seen import new_urls
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 SF = "/root/testdata/sf0.001"
@@ -27,3 +31,12 @@ def test_the_size_guard_changes_the_result(spark):
 
     guarded, plain = (QUERIES[name][0](spark, SF) for name in ("document_size_guard", "document_history"))
     assert guarded.exceptAll(plain).count() and plain.exceptAll(guarded).count()
+
+
+def test_derived_tables_exercise_every_spider(spark):
+    heads = inputs.head_pages(spark, SF).filter(F.contains("html", F.lit('rel="x canonical"')))
+    assert {r["spider"] for r in heads.select("spider").distinct().collect()} == {"s0", "s1", "s2"}
+    stored = inputs.page_seen(spark, SF)
+    assert {r["spider"] for r in stored.select("spider").distinct().collect()} == {"s0", "s1", "s2"}
+    fresh = new_urls(inputs.pages(spark, SF).select("spider", "url"), stored)
+    assert {r["spider"] for r in fresh.select("spider").distinct().collect()} == {"s0", "s1", "s2"}
