@@ -136,6 +136,17 @@ def test_personal_data_keeps_every_base_span(docs):
     assert redacted.columns == docs.columns
 
 
+def test_long_secrets_are_redacted_whole(spark):
+    models = {kind: pii.Boosted(0.0, [], 0.0) for kind in pii.KINDS}  # every proposal passes
+    secret = "eyJhbGciOiJIUzI1NiJ9." + "Ab3_x-Z9" * 150 + ".Tail0"
+    assert len(secret) > 1000
+    docs = spark.createDataFrame([(1, f"use token={secret} now"), (2, f'api_key: "{secret * 20}"')], "doc_id long, text string")
+    clean = by_id(stage(pii.redact(docs, models), "redacted"))
+    assert clean[1]["text"] == "use token=[SECRET] now" and clean[2]["text"] == 'api_key: "[SECRET]"'
+    spans = by_id(pii.find_pii(docs, models))
+    assert spans[1]["spans"] == f"secret:10:{10 + len(secret)}"
+
+
 def test_language_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.train(docs.filter(~queries.held_out()), queries.PIECES)

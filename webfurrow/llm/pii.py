@@ -31,7 +31,7 @@ _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _NAME = "[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}"
 GENERATORS = {
     "secret": (r"(?i)(?<![A-Za-z])(?:token|passw(?:or)?d|passphrase|secret|api[_ -]?key|access[_ -]?key)\s{0,3}[=:]\s{0,3}[\"']?"
-               r"([A-Za-z0-9_/+.~-]{6,256})", r"(?i)(?:token|passw|passphrase|secret|key)\s{0,3}[=:]"),
+               r"([A-Za-z0-9_/+.~-]{6,}+)", r"(?i)(?:token|passw|passphrase|secret|key)\s{0,3}[=:]"),
     "phone": (r"(?<![0-9A-Za-z.+-])(\(?[0-9]{2,4}\)?[ .-]{1,2}[0-9]{3,4}(?:[ .-][0-9]{2,4}){1,3})(?![0-9A-Za-z])",
               r"[0-9]{2,4}\)?[ .-]{1,2}[0-9]{3,4}[ .-][0-9]"),
     "email": (rf"(?i)(?<![A-Za-z0-9._%+-])({_NAME} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{{1,63}}"
