@@ -209,6 +209,35 @@ def test_machine_learns_a_pair_that_weights_cannot():
     assert ((z > 0) == (y == 1)).all()
 
 
+def test_every_word_of_the_sample_is_an_input_and_pairs_are_learned(spark):
+    rnd = random.Random(4)
+    families = [f"{a}{b}{c}{d}" for a in "bdfg" for b in "aeio" for c in "klmn" for d in "aeiou"]
+    rows, labels = [], []
+    for i in range(1600):  # each toxic document holds one of 320 words of its own kind
+        toxic = i % 2
+        words = [f"z{rnd.randrange(400):03d}q" for _ in range(12)]
+        words.append(families[i // 2 % 320] + "xyx" if toxic else f"y{rnd.randrange(320):03d}w")
+        rows.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(docs, marks)
+    known = set(map(int, model.buckets))
+    assert all(toxicity.terms(f + "xyx")[0] * len(toxicity.LEVELS) in known for f in families)
+    scored = toxicity.score_toxicity(docs, model, threshold=0.5).select("doc_id", "predicted").collect()
+    assert sum(r["predicted"] == r["doc_id"] % 2 for r in scored) >= 0.97 * len(scored)
+    # A pair none of whose words tells alone, among telling words of other documents.
+    rng = np.random.default_rng(3)
+    x = np.zeros((1200, 600))
+    a, b = rng.random((2, 1200)) < 0.5
+    x[:, 0], x[:, 1], x[:, 2:] = a, b, rng.random((1200, 598)) < 0.01
+    y = (a == b).astype(int)
+    row, column = np.nonzero(x)
+    _, far = toxicity.scales_of(row, column, 600, y)
+    assert (far > 0).all()
+    _, _, v = toxicity.fit((row, column, 600), y, steps=600, scales=(np.ones(600), far))
+    assert v[0] @ v[1] > 1
+
+
 def test_shards_are_even_and_whole(spark, docs):
     rows = sharding.shard_documents(docs, shards=5).collect()
     assert len(rows) == docs.count()
