@@ -64,6 +64,16 @@ def test_near_duplicates_without_rows_or_ids(spark):
     assert len(got) == 4 and {r["component_id"] for r in got if r["doc_id"]} == {1}
 
 
+def test_near_duplicates_when_a_row_without_id_comes_first(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    far = 1 << 60  # ids that a float cannot hold
+    rows = [(None, text), (far + 3, text), (far + 1, text), (far + 5, text + " more"), (None, None), (far + 7, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = [tuple(r) for r in ngram_join.group_near_duplicates(docs).collect()]
+    assert sorted(r for r in got if r[0]) == [(far + 1, 56, far + 1), (far + 3, 56, far + 1), (far + 5, 57, far + 1), (far + 7, 1, far + 7)]
+    assert sorted(r[1:] for r in got if r[0] is None) == [(0, None), (56, None)]
+
+
 def test_keys_meet_for_every_linked_pair():
     rng = np.random.default_rng(1)
     for n in [*range(4, 60), 100, 127, 128, 255, 256, 700]:

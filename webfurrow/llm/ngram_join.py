@@ -132,25 +132,29 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 def describe(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n, same, sketch, short, keys``: size and hash of the set, dense sketch, the same folded to
-    ``DENSE`` words, and join keys. A set that its task has had before brings no sketch and no keys again."""
+    ``DENSE`` words, and join keys. A set that its task has had before brings no sketch and no keys again;
+    a row without id brings none at all, and none are held back for it."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         shingle, seen = Shingler(), set()
         for rows in batches:
             out = []
-            for doc, text in zip(rows.doc_id, rows.text, strict=True):
+            for doc, named, text in zip(rows.doc_id, rows.named, rows.text, strict=True):
                 h = shingle(text)
                 same = int(_signed(np.bitwise_xor.reduce(mix(h, 600), keepdims=True))[0]) if len(h) else 0
-                if not len(h) or (len(h), same) in seen:
-                    out.append((doc, len(h), same, None, None, None))
+                if not len(h) or not named or (len(h), same) in seen:
+                    out.append((doc, named, len(h), same, None, None, None))
                     continue
                 seen.add((len(h), same))
                 sketch = dense_sketch(h)
-                out.append((doc, len(h), same, sketch, folded(sketch, DENSE), _signed(keys_of(h, percent))))
-            yield pd.DataFrame(out, columns=["doc_id", "n", "same", "sketch", "short", "keys"])
+                out.append((doc, named, len(h), same, sketch, folded(sketch, DENSE), _signed(keys_of(h, percent))))
+            yield pd.DataFrame(out, columns=["doc_id", "named", "n", "same", "sketch", "short", "keys"])
 
-    return docs.mapInPandas(run, "doc_id long, n long, same long, sketch array<long>, short array<long>, keys array<long>")
+    # Pandas would make ids of a batch with a null among them floats, so null goes beside the id.
+    given = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("named"), "text")
+    made = given.mapInPandas(run, "doc_id long, named boolean, n long, same long, sketch array<long>, short array<long>, keys array<long>")
+    return made.withColumn("doc_id", F.when(F.col("named"), F.col("doc_id"))).drop("named")
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
@@ -258,7 +262,8 @@ def group_near_duplicates(docs: DataFrame, percent: int = PERCENT, column: str =
     joined = connected(leads.select(F.col("doc_id").alias("id")), every)
     return (described.select("doc_id", "n", "same").join(alone, ["n", "same"], "left")
             .join(joined.withColumnRenamed("id", "lead"), ["lead"], "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")))
+            .select("doc_id", F.col("n").alias("n_shingles"),
+                    F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")))
 
 
 def cross_pairs(shared: DataFrame, placed: DataFrame, leads: DataFrame, percent: int) -> DataFrame:
