@@ -41,4 +41,17 @@ n AS (SELECT a AS id, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(least, vec_id)::BIGINT AS component_id, coalesce(least, vec_id) = vec_id AS kept
 FROM embeddings LEFT JOIN comp ON comp.id = vec_id LEFT JOIN n ON n.id = vec_id"""
 
-SQL = {"op3_ngram_join": OP3, "op5_decontamination": OP5, "op7_embedding_join": OP7}
+_TERMS = rf"regexp_extract_all({_LOWER}, '[0-9A-Za-z\x{{80}}-\x{{10FFFF}}]+')"
+
+OP12 = f"""WITH d AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents),
+n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id), c AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM n),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+w AS (SELECT item_id, term, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * df + 1)))::BIGINT AS w FROM q JOIN df USING (term), c),
+m AS (SELECT doc_id, 50 + (50 * n * docs) // terms AS m FROM n, c),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM w JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50"""
+
+SQL = {"op12_lexical_search": OP12, "op3_ngram_join": OP3, "op5_decontamination": OP5, "op7_embedding_join": OP7}
