@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -119,8 +120,8 @@ def test_runs_with_clashing_columns_and_without_rows(spark):
 # ---- ranked search
 
 def plain_search(docs, items, size=50):
-    counted = [(i, t, *lexical_search.term_counts(t)) for i, t in docs if i is not None and t]
-    counted = [(i, c, n) for i, _, c, n in counted if n]
+    found = [(i, lexical_search.terms_of(t)) for i, t in docs if i is not None and t]
+    counted = [(i, Counter(terms), len(terms)) for i, terms in found if terms]
     n_docs, n_terms = len(counted), sum(n for _, _, n in counted)
     df = {}
     for _, c, _ in counted:
@@ -128,7 +129,7 @@ def plain_search(docs, items, size=50):
             df[term] = df.get(term, 0) + 1
     wanted = {}
     for item, text in items:
-        wanted.setdefault(item, set()).update(lexical_search.term_counts(text or "")[0])
+        wanted.setdefault(item, set()).update(lexical_search.terms_of(text or ""))
     out = []
     for item, terms in wanted.items():
         scores = []
@@ -157,7 +158,7 @@ def test_search_equals_scoring_every_document(spark, small_ranges):
     items += [("i0", "w59 é"), ("same", "w1"), ("same", "w1"), ("none", "zzz"), ("null", None), ("sign", "!!"), ("wide", " ".join(words) + " 世界")]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     index, n_docs = lexical_search.build_index(df)
-    assert n_docs == sum(1 for i, t in docs if i is not None and t and lexical_search.term_counts(t)[1])
+    assert n_docs == sum(1 for i, t in docs if i is not None and t and lexical_search.terms_of(t))
     asked = spark.createDataFrame(items, "item_id string, text string")
     for size in (50, 3):
         got = lexical_search.search(index, n_docs, asked, size)
@@ -225,6 +226,21 @@ def test_words_equal_the_library_and_decode(spark, library, block_chars):
         assert got[n]["decoded"] == library.decode(want, skip_special_tokens=False)
 
 
+def test_ids_of_any_table_are_decoded_by_a_join(spark, library):
+    texts = made_texts()[:80]
+    rows = [(n, library.encode(t, add_special_tokens=False).ids) for n, t in enumerate(texts)] + [(500, []), (501, None)]
+    got = dict(map(tuple, word_bpe.decode_ids(spark.createDataFrame(rows, "n int, token_ids array<int>"), "n", queries.WORDS).collect()))
+    assert got == {n: library.decode(ids or [], skip_special_tokens=False) for n, ids in rows}
+
+
+def test_numbers_are_packed_by_their_bound():
+    rnd = random.Random(6)
+    for kinds in (1, 1 << 16, (1 << 16) + 1, 1 << 24, (1 << 24) + 1, 1 << 31):
+        numbers = [rnd.randrange(kinds) for _ in range(50)] + [0, kinds - 1]
+        assert word_bpe.unpack(word_bpe.pack(numbers, kinds), kinds).tolist() == numbers
+        assert word_bpe.unpack(word_bpe.pack([], kinds), kinds).tolist() == []
+
+
 def test_settled_characters_are_split_as_the_library_does(library):
     import re
     split, vocabulary = word_bpe.splitter(queries.WORDS), word_bpe.WordVocabulary(queries.WORDS)

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 from webfurrow.llm.common import BATCH_ROWS, LOWER_TABLE, arrow_rows, lower_ascii, stage
 
 #: Documents and characters of one range, at most, but for a longer document.
-RANGE_DOCS, RANGE_CHARS = 8192, 16_000_000
+RANGE_DOCS, RANGE_CHARS = 4096, 8_000_000
 #: Queries that meet a range in one row, about.
 BLOCK_ITEMS = 512
 #: Numbers worked on at a time, and those kept for stretches still open before the deepest go first.
@@ -37,54 +36,67 @@ POSTINGS = ("ids binary, lengths binary, n_docs long, n_terms long, terms array<
 INDEX = "ids binary, terms array<string>, sizes array<int>, height int, masks binary, drops binary, top long"
 
 
-def postings_of(ids: list[int], counted: list[dict[str, int]], lengths: list[int]) -> dict:
-    """One range: documents by id, terms from the most to the least frequent, and where each occurs how often."""
-    order = sorted(range(len(ids)), key=ids.__getitem__)
-    number: dict[str, int] = {}
-    rows = np.fromiter((number.setdefault(t, len(number)) for d in order for t in counted[d]), dtype=np.int64)
-    counts = np.fromiter(chain.from_iterable(counted[d].values() for d in order), dtype=np.int32)
-    columns = np.repeat(np.arange(len(order), dtype=np.int32), [len(counted[d]) for d in order])
-    sizes = np.bincount(rows, minlength=len(number))
-    terms = list(number)
-    by_size = np.argsort(-sizes, kind="stable")
-    place = np.empty(len(terms), dtype=np.int64)
-    place[by_size] = np.arange(len(terms))
-    sort = np.argsort(place[rows], kind="stable")
-    return {"ids": np.array([ids[d] for d in order], dtype="<i8").tobytes(),
-            "lengths": np.array([lengths[d] for d in order], dtype="<i8").tobytes(),
-            "n_docs": len(order), "n_terms": int(sum(lengths)), "terms": [terms[i] for i in by_size],
-            "sizes": sizes[by_size].astype(np.int32), "columns": columns[sort].astype("<i4").tobytes(),
-            "counts": counts[sort].astype("<i4").tobytes()}
-
-
-def term_counts(text: str) -> tuple[dict[str, int], int]:
-    terms = TERM.findall(text.lower() if text.isascii() else text.translate(LOWER_TABLE))
-    counted: dict[str, int] = {}
-    for term in terms:
-        counted[term] = counted.get(term, 0) + 1
-    return counted, len(terms)
+class RangeWriter:
+    """Collects the documents of one range: their terms by number, and how often each occurs."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.ids: list[int] = []
+        self.lengths: list[int] = []
+        self.rows: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.chars = 0
+
+    def full(self, text: str) -> bool:
+        return bool(self.ids) and (len(self.ids) >= RANGE_DOCS or self.chars + len(text) > RANGE_CHARS)
+
+    def add(self, doc: int, terms: list[str], chars: int) -> None:
+        number = self.number.setdefault
+        places = np.fromiter((number(t, len(self.number)) for t in terms), dtype=np.int32, count=len(terms))
+        rows, counts = np.unique(places, return_counts=True)
+        self.ids.append(doc)
+        self.lengths.append(len(terms))
+        self.rows.append(rows)
+        self.counts.append(counts.astype(np.int32))
+        self.chars += chars
+
+    def postings(self) -> dict:
+        """Documents by id, terms from the most to the least frequent, and where each occurs how often."""
+        order = sorted(range(len(self.ids)), key=self.ids.__getitem__)
+        rows = np.concatenate([self.rows[d] for d in order])
+        counts = np.concatenate([self.counts[d] for d in order])
+        columns = np.repeat(np.arange(len(order), dtype=np.int32), [len(self.rows[d]) for d in order])
+        sizes = np.bincount(rows, minlength=len(self.number))
+        by_size = np.argsort(-sizes, kind="stable")
+        place = np.empty(len(by_size), dtype=np.int32)
+        place[by_size] = np.arange(len(by_size))
+        sort = np.argsort(place[rows], kind="stable")
+        terms = list(self.number)
+        return {"ids": np.array([self.ids[d] for d in order], dtype="<i8").tobytes(),
+                "lengths": np.array([self.lengths[d] for d in order], dtype="<i8").tobytes(),
+                "n_docs": len(order), "n_terms": int(sum(self.lengths)), "terms": [terms[i] for i in by_size],
+                "sizes": sizes[by_size].astype(np.int32), "columns": columns[sort].astype("<i4").tobytes(),
+                "counts": counts[sort].astype("<i4").tobytes()}
+
+
+def terms_of(text: str) -> list[str]:
+    return TERM.findall(text.lower() if text.isascii() else text.translate(LOWER_TABLE))
 
 
 def document_ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows of ``POSTINGS`` from rows of ``id, text``; documents without a term are left out."""
-    ids: list[int] = []
-    counted: list[dict[str, int]] = []
-    lengths: list[int] = []
-    chars = 0
+    own = RangeWriter()
     for batch in batches:
         for doc, text in zip(batch["id"].tolist(), batch["text"].tolist(), strict=True):
-            own, n = term_counts(text or "")
-            if not n:
+            terms = terms_of(text)
+            if not terms:
                 continue
-            if ids and (len(ids) >= RANGE_DOCS or chars + len(text) > RANGE_CHARS):
-                yield pd.DataFrame([postings_of(ids, counted, lengths)])
-                ids, counted, lengths, chars = [], [], [], 0
-            ids.append(doc)
-            counted.append(own)
-            lengths.append(n)
-            chars += len(text)
-    if ids:
-        yield pd.DataFrame([postings_of(ids, counted, lengths)])
+            if own.full(text):
+                yield pd.DataFrame([own.postings()])
+                own = RangeWriter()
+            own.add(doc, terms, len(text))
+    if own.ids:
+        yield pd.DataFrame([own.postings()])
 
 
 def spread_bits(x: np.ndarray) -> np.ndarray:
@@ -258,10 +270,11 @@ def search(index: DataFrame, n_docs: int, items: DataFrame, size: int = 50, item
     weighted = terms.join(term_weights(index, n_docs, terms), ["term"])
     parts = max(1, -(-terms.select("item").distinct().count() // BLOCK_ITEMS))
     per_item = weighted.groupBy("item").agg(F.collect_list(F.struct("term", "weight")).alias("t"))
-    blocks = (per_item.groupBy(F.pmod(F.xxhash64("item"), F.lit(parts)).cast("int").alias("block"))
-              .agg(F.collect_list(F.struct("item", "t")).alias("items"))
-              .select("block", F.col("items.item").alias("items"), F.transform("items", lambda i: i["t"]["term"]).alias("item_terms"),
-                      F.transform("items", lambda i: i["t"]["weight"]).alias("weights")))
+    # Staged, so that Spark knows their size: it broadcasts them if they are small, and else shuffles.
+    blocks = stage(per_item.groupBy(F.pmod(F.xxhash64("item"), F.lit(parts)).cast("int").alias("block"))
+                   .agg(F.collect_list(F.struct("item", "t")).alias("items"))
+                   .select("block", F.col("items.item").alias("items"), F.transform("items", lambda i: i["t"]["term"]).alias("item_terms"),
+                           F.transform("items", lambda i: i["t"]["weight"]).alias("weights")), "item-blocks")
 
     def find(batches):
         best: dict[str, TopDocuments] = {}
