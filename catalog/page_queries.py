@@ -102,13 +102,12 @@ def page_parse(spark, sf):
 
 
 def body_decode(spark, sf):
-    """Page bodies in three charsets; a byte no UTF-8 text has is put before the UTF-8 ones."""
-    kind = F.col("page_id") % 3
-    raw = (F.when(kind == 0, F.concat(F.lit(b"\xff"), F.encode("html", "UTF-8")))
-           .otherwise(F.encode("html", "ISO-8859-1")))
-    rows = i.pages(spark, sf).select(
-        "page_id", raw.alias("content"),
-        F.when(kind == 1, "ISO-8859-1").when(kind == 2, "windows-1252").alias("encoding"))
+    """Page bodies in three charsets and under names that are none; a byte no UTF-8 text has is put before the UTF-8 ones."""
+    kind = F.col("page_id") % 7
+    raw = (F.when(kind.isin(1, 2), F.encode("html", "ISO-8859-1"))
+           .otherwise(F.concat(F.lit(b"\xff"), F.encode("html", "UTF-8"))))
+    names = ["ISO-8859-1", "windows-1252", "hex", "idna", "utf\0-8", "no-such-charset"]
+    rows = i.pages(spark, sf).select("page_id", raw.alias("content"), F.get(F.array(*map(F.lit, names)), (kind - 1).cast("int")).alias("encoding"))
     return decode_bodies(rows).select("page_id", F.length("raw_html").alias("n_chars"), F.md5("raw_html").alias("digest"))
 
 

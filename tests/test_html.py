@@ -105,7 +105,10 @@ def test_bodies(spark):
             (4, "€".encode("cp1252"), "windows-1252", "€"), (5, "ж".encode("koi8-r"), "koi8-r", "ж"),
             (6, "�x".encode() + b"\xff", "UTF-8", "�x"), (7, b"abc", "nosuch", "abc"), (8, None, "koi8-r", None), (9, b"x", "", "x"),
             (10, "жŁ".encode("utf-16"), "UTF-16", "жŁ"), (11, "Łódź".encode("cp1250"), "Windows-1250", "Łódź"),
-            (12, b"a\x81b\x80", "cp1252", "ab€"), (13, "日本".encode("shift_jis"), "shift_jis", "日本")]
+            (12, b"a\x81b\x80", "cp1252", "ab€"), (13, "日本".encode("shift_jis"), "shift_jis", "日本"),
+            *[(20 + n, b"caf\xc3\xa9\xff", name, "café") for n, name in enumerate(
+                ["hex", "base64", "rot13", "undefined", "idna", "punycode", "koi8\0-r", "zlib", "quopri"])],
+            (40, b"a\\ud800b", "unicode_escape", "ab")]
     df = spark.createDataFrame(rows, "id int, content binary, encoding string, want string")
     assert decode_bodies(df).filter("not (raw_html <=> want)").collect() == []
     # Without a declared charset and without a default, no row is lost.

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 _HELD = "﷐\u0000﷑"
 _REPLACEMENT = "�"
 
+# Codecs for host names, which change a text.
+_HOST_NAMES = ["idna", "punycode"]
+
 _UTF8 = ["utf-8", "utf8", "utf_8", "us-ascii", "ascii"]
 _LATIN1 = ["iso-8859-1", "iso8859-1", "latin-1", "latin1", "iso_8859-1"]
 
@@ -41,6 +44,22 @@ def _charset(encoding: Column, default: Column) -> Column:
     return F.lower(F.trim(F.coalesce(F.when(encoding != "", encoding), default)))
 
 
+def body_text(body, charset: str) -> str | None:
+    """Text of a body in a charset of any name, bad bytes dropped; names that are no charset count as UTF-8."""
+    import codecs
+
+    if body is None:
+        return None
+    try:
+        codec = codecs.lookup(charset)
+        if codec._is_text_encoding and codec.name not in _HOST_NAMES:
+            text = codec.decode(bytes(body), "ignore")[0]
+            return text.encode("utf-8", "ignore").decode("utf-8")  # a lone surrogate is dropped too
+    except (LookupError, ValueError):  # unknown, a name with NUL, or a codec that cannot drop what is bad
+        pass
+    return bytes(body).decode("utf-8", "ignore")
+
+
 def decode_bodies(df: DataFrame, default_encoding: Column | str = "utf-8", content: str = "content",
                   encoding: str = "encoding", out: str = "raw_html") -> DataFrame:
     """Adds ``out``: the body in its declared encoding, else the default one.
@@ -48,7 +67,7 @@ def decode_bodies(df: DataFrame, default_encoding: Column | str = "utf-8", conte
     UTF-8, Latin-1 and the other one-byte charsets are decoded by built-in functions, the
     latter as Latin-1 whose upper half is replaced. Only bodies in another charset reach the
     Arrow function; for all other rows it is handed NULL. A body without any charset, or with
-    an unknown one, is read as UTF-8. No row is lost, and the input is read once.
+    one that is unknown or no text encoding, is read as UTF-8. No row is lost, and the input is read once.
     """
     default = F.lit(default_encoding) if isinstance(default_encoding, str) else default_encoding
     charset = F.coalesce(_charset(F.col(encoding), default), F.lit("utf-8"))
@@ -61,20 +80,9 @@ def decode_bodies(df: DataFrame, default_encoding: Column | str = "utf-8", conte
 
     @F.pandas_udf("string")
     def to_text(bodies, charsets):
-        import codecs
-
         import pandas as pd
 
-        def text(body, charset):
-            if body is None:
-                return None
-            try:
-                codecs.lookup(charset)
-            except LookupError:
-                charset = "utf-8"
-            return bytes(body).decode(charset, "ignore")
-
-        return pd.Series([text(b, c) for b, c in zip(bodies, charsets)], dtype=object)
+        return pd.Series([body_text(b, c) for b, c in zip(bodies, charsets)], dtype=object)
 
     rare = F.when(~charset.isin(common), body)
     return df.withColumn(out, text.otherwise(to_text(rare, charset)))
