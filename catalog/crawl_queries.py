@@ -10,9 +10,10 @@ from catalog.page_queries import links_sql
 from catalog.frontier_queries import policy_sql
 from webfurrow.functions import fingerprint, html, urls
 from webfurrow.plans.change_log import changes_in_log
+from webfurrow.operators.alias_groups import grouped
 from webfurrow.plans.crawl_step import crawl_step as run_step
 from webfurrow.schemas import FETCH_LOG
-from webfurrow.session import staging_path
+from webfurrow.session import default_stage, staging_path
 from webfurrow.sources.snapshots import Snapshots
 from webfurrow.sources.tables import stream_fetch_log
 from webfurrow.streaming.change_feed import start_change_feed
@@ -107,7 +108,7 @@ def step_frontier(spark, sf):
 def crawl_step(spark, sf):
     """One crawl step over all pages. The tables after it are shown in one shape."""
     no_documents = spark.createDataFrame([], "spider string, key string, history array<struct<fetched_time:string,status:int>>")
-    result = run_step(page_log(spark, sf), step_seen(spark, sf), step_frontier(spark, sf), no_documents,
+    result = run_step(page_log(spark, sf), grouped(step_seen(spark, sf), default_stage(spark, "step-seen")), step_frontier(spark, sf), no_documents,
                       i.config(spark), i.robots_rules(spark, sf), F.lit(i.NOW))
 
     def rows(df, name, item, a, b, c):
@@ -117,7 +118,7 @@ def crawl_step(spark, sf):
     none = F.lit("")
     history = F.array_join(F.transform("new_history", lambda h: F.concat(h["fetched_time"], F.lit("="), h["status"])), " ")
     names = F.array_join(F.array_sort("alternatives"), " ")
-    return (rows(result.seen, "seen", F.col("key"), F.col("page_hash"), F.col("count"), names)
+    return (rows(result.seen.flat(), "seen", F.col("key"), F.col("page_hash"), F.col("count"), names)
             .unionByName(rows(result.frontier, "frontier", F.col("url"), F.concat_ws(" ", "source", "score"), F.col("next_delay"), F.col("depth")))
             .unionByName(rows(result.document_changes, "documents", F.col("key"), F.concat_ws(" ", "body.url", "body.hash"), F.md5("body.raw_html"), history))
             .unionByName(rows(result.change_feed, "feed", F.col("url"), F.col("detected_at"), none, none))
@@ -125,49 +126,58 @@ def crawl_step(spark, sf):
 
 
 def step_sql() -> str:
+    """The step one fetch after another: ``st`` holds the whole seen table of a spider after each of its fetches."""
     # Links resolve against the response address, for parsed pages only.
     links = links_sql("c.nofollow").split(f"{_hp}, ", 1)[1]
     key = i.canonize_sql
     text = i.text_sql("hp", "txt", "page_id, spider, url")
     quiet = "(NOT is_changed OR (parsed AND answer <> 200))"
-    return f"""WITH {_pg}, {_hp}, {links}, {page_log_sql}, {text}, {i.simhash_sql('txt', 'page_id', 'simhead')},
+    row = "{'key': %s, 'page_hash': %s, 'count': %s, 'names': %s}"
+    entry = "list_filter(%s, lambda e: e.key = %s)[1]"
+    return f"""WITH RECURSIVE {_pg}, {_hp}, {links}, {page_log_sql}, {text}, {i.simhash_sql('txt', 'page_id', 'simhead')},
 {i.text_sql('pg', 'ptxt')}, {i.simhash_sql('ptxt', 'page_id', 'simpg')}, {i.robots_sql},
 sm AS (SELECT spider, {key('url')} AS main, max(hash) AS page_hash FROM pg JOIN simpg USING (page_id) WHERE md5({key('url')}) < '8' GROUP BY ALL),
-seen AS (SELECT spider, unnest([main, 'm.' || main]) AS key, page_hash, 1::BIGINT AS count, [main, 'm.' || main] AS alternatives FROM sm),
-rm AS (SELECT DISTINCT spider, {key('url')} AS key FROM vr WHERE to_remove),
-gone AS (SELECT DISTINCT spider, unnest(alternatives) AS key FROM seen SEMI JOIN rm USING (spider, key)),
-cur AS (SELECT * FROM seen ANTI JOIN gone USING (spider, key)),
+seen AS (SELECT spider, unnest([main, 'm.' || main]) AS key, page_hash, 1::BIGINT AS count, [main, 'm.' || main] AS names FROM sm),
 pl AS (SELECT DISTINCT a.page_id, a.spider, a.link, v.depth FROM allowed a JOIN vr v USING (page_id) WHERE v.parsed AND v.depth < v.max_depth),
 plh AS (SELECT pl.*, c.robots, r.allow, r.rule_no FROM pl JOIN config c USING (spider) LEFT JOIN rules r ON r.domain = {i.domain_sql('pl.link')}
   AND starts_with(regexp_replace(pl.link, '^[a-z]+://[^/?#]*', ''), r.path)),
 lk AS (SELECT page_id, spider, link, depth, {key('link')} AS key FROM plh GROUP BY page_id, spider, link, depth HAVING NOT bool_or(robots) OR coalesce(arg_min(allow, rule_no), true)),
-inc AS (SELECT spider, a AS key, count(*) AS n FROM (SELECT spider, unnest(alternatives) AS a FROM lk JOIN cur USING (spider, key)) GROUP BY 1, 2),
-fresh AS (SELECT DISTINCT spider, link, depth + 1 AS depth FROM lk ANTI JOIN cur USING (spider, key)),
-vk AS (SELECT vr.*, {key('visit_url')} AS main, CASE WHEN parsed THEN simhead.hash ELSE 0 END AS dhash,
+lks AS (SELECT page_id, list({{'url': link, 'key': key}}) AS links FROM lk GROUP BY page_id),
+ev AS (SELECT vr.* EXCLUDE (html), row_number() OVER (PARTITION BY vr.spider ORDER BY tm, vr.url) AS n, {key('vr.url')} AS gone, {key('visit_url')} AS main,
+  CASE WHEN parsed THEN simhead.hash ELSE 0 END AS dhash, coalesce(links, []) AS links,
   list_distinct(list_transform(list_filter([nurl, CASE WHEN parsed THEN visit_url END, CASE WHEN parsed AND use_canonical AND page_id % 5 < 2 THEN normal END],
-    lambda x: x IS NOT NULL), lambda n: {key('n')})) AS alts FROM vr JOIN simhead USING (page_id) WHERE visited),
-jd AS (SELECT vk.*, s.key IS NULL AND row_number() OVER visits = 1 AS is_new,
-  coalesce(bit_count(xor(dhash, coalesce(lag(dhash) OVER visits, s.page_hash))) >= 3, true) AS is_changed, refetching_delay AS d, restart_delay AS restart
-  FROM vk LEFT JOIN cur s ON s.spider = vk.spider AND s.key = vk.main WINDOW visits AS (PARTITION BY vk.spider, vk.main ORDER BY tm, visit_url)),
-tv AS (SELECT *, CASE WHEN strategy = 'base' THEN {policy_sql('base', 'd', 'restart', quiet, 'is_new')} ELSE {policy_sql('news', 'd', 'restart', quiet, 'is_new')} END AS nd FROM jd),
-wr AS (SELECT v.spider, unnest(list_distinct(v.alts || coalesce(p.alternatives, []))) AS key, v.tm, v.visit_url, v.dhash, list_distinct(v.alts || coalesce(p.alternatives, [])) AS alternatives
-  FROM vk v LEFT JOIN cur p ON p.spider = v.spider AND p.key = v.main),
-up AS (SELECT spider, key, dhash AS page_hash, alternatives FROM wr QUALIFY row_number() OVER (PARTITION BY spider, key ORDER BY tm DESC, visit_url DESC) = 1),
-ns AS (SELECT spider, key, page_hash, 1 AS count, alternatives FROM up UNION ALL
-  SELECT spider, key, page_hash, count + coalesce(n, 0), alternatives FROM cur LEFT JOIN inc USING (spider, key) ANTI JOIN up USING (spider, key)),
+    lambda x: x IS NOT NULL), lambda n: {key('n')})) AS alts FROM vr JOIN simhead USING (page_id) LEFT JOIN lks USING (page_id)),
+st AS (SELECT spider, 0::BIGINT AS n, list({row % ('key', 'page_hash', 'count', 'names')}) AS seen, NULL::BOOLEAN AS is_new, NULL::BOOLEAN AS is_changed,
+    []::VARCHAR[] AS fresh FROM seen GROUP BY spider
+  UNION ALL SELECT spider, n, CASE WHEN visited THEN list_filter(s2, lambda e: NOT list_contains(names, e.key)) || list_transform(names, lambda k: {row % ('k', 'dhash', '1::BIGINT', 'names')})
+      ELSE s2 END, old IS NULL, old IS NULL OR bit_count(xor(dhash, old.page_hash)) >= 3, fresh
+  FROM (SELECT *, list_distinct(alts || coalesce(old.names, [])) AS names FROM (SELECT *, {entry % ('s2', 'main')} AS old FROM (
+    SELECT *, list_transform(s1, lambda e: {row % ('e.key', 'e.page_hash', 'e.count + len(list_filter(hits, lambda h: h = e.key))', 'e.names')}) AS s2 FROM (
+      SELECT *, flatten(list_transform(links, lambda l: coalesce({entry % ('s1', 'l.key')}.names, []))) AS hits,
+        list_transform(list_filter(links, lambda l: len(list_filter(s1, lambda e: e.key = l.key)) = 0), lambda l: l.url) AS fresh FROM (
+        SELECT *, list_filter(seen, lambda e: NOT list_contains(gone_names, e.key)) AS s1 FROM (
+          SELECT ev.spider, ev.n, ev.visited, ev.links, ev.main, ev.dhash, ev.alts, st.seen,
+            CASE WHEN to_remove THEN coalesce({entry % ('st.seen', 'ev.gone')}.names, []) ELSE [] END AS gone_names
+          FROM st JOIN ev ON ev.spider = st.spider AND ev.n = st.n + 1))))))),
+ns AS (SELECT spider, unnest(seen) AS e FROM st QUALIFY row_number() OVER (PARTITION BY spider ORDER BY n DESC) = 1),
+vk AS (SELECT ev.*, st.is_new, st.is_changed, refetching_delay AS d, restart_delay AS restart FROM ev JOIN st USING (spider, n) WHERE visited),
+tv AS (SELECT *, CASE WHEN strategy = 'base' THEN {policy_sql('base', 'd', 'restart', quiet, 'is_new')} ELSE {policy_sql('news', 'd', 'restart', quiet, 'is_new')} END AS nd FROM vk),
 fr0 AS (SELECT DISTINCT spider, source, score + {i.NOW} AS score, url, delay AS next_delay, depth FROM lg),
-nf AS (SELECT * FROM fr0 UNION ((SELECT spider, 2, depth, link, 0, depth FROM fresh UNION
-  SELECT spider, CASE WHEN source = 1 THEN 1 ELSE 3 END, {i.NOW} + nd, visit_url, nd, depth FROM tv WHERE nd IS NOT NULL)
-  EXCEPT SELECT spider, source, score, url, delay, depth FROM lg)),
-db AS (SELECT *, epoch_us(make_timestamp(tm * 1000000)) AS us, strftime(make_timestamp(tm * 1000000), '%Y-%m-%dT%H:%M') || '=' || answer AS entry FROM vk WHERE parsed),
+push AS (SELECT spider, source, score, url, next_delay, depth, max(n) AS n FROM (
+  SELECT spider, 2 AS source, ev.depth + 1 AS score, unnest(fresh) AS url, 0 AS next_delay, ev.depth + 1 AS depth, n FROM st JOIN ev USING (spider, n) UNION ALL
+  SELECT spider, CASE WHEN source = 1 THEN 1 ELSE 3 END, {i.NOW} + nd, visit_url, nd, depth, n FROM tv WHERE nd IS NOT NULL) GROUP BY ALL),
+nf AS (SELECT * FROM fr0 UNION SELECT spider, source, score, url, next_delay, depth FROM push p WHERE NOT EXISTS (SELECT 1 FROM ev
+  WHERE ev.spider = p.spider AND ev.source = p.source AND ev.score = p.score AND ev.url = p.url AND ev.delay = p.next_delay AND ev.depth = p.depth AND ev.n > p.n)),
+db AS (SELECT vk.*, html, epoch_us(make_timestamp(tm * 1000000)) AS us, strftime(make_timestamp(tm * 1000000), '%Y-%m-%dT%H:%M') || '=' || answer AS entry
+  FROM vk JOIN hp USING (page_id) WHERE parsed),
 body AS (SELECT spider, main, visit_url, dhash, md5(html) AS digest FROM db
   QUALIFY row_number() OVER (PARTITION BY spider, main ORDER BY answer = 200 DESC, CASE WHEN answer = 200 THEN -us ELSE us END, visit_url DESC) = 1),
 hs AS (SELECT spider, main, string_agg(entry, ' ' ORDER BY tm DESC, visit_url DESC) AS history FROM (SELECT * FROM db
   QUALIFY row_number() OVER (PARTITION BY spider, main ORDER BY tm DESC, visit_url DESC) <= 10) GROUP BY 1, 2)
-SELECT 'seen' AS tbl, spider, key AS item, page_hash::VARCHAR AS a, count::VARCHAR AS b, array_to_string(list_sort(alternatives), ' ') AS c FROM ns
+SELECT 'seen' AS tbl, spider, e.key AS item, e.page_hash::VARCHAR AS a, e.count::VARCHAR AS b, array_to_string(list_sort(e.names), ' ') AS c FROM ns
 UNION ALL SELECT 'frontier', spider, url, source || ' ' || score, next_delay::VARCHAR, depth::VARCHAR FROM nf
 UNION ALL SELECT 'documents', spider, main, visit_url || ' ' || dhash, digest, history FROM body JOIN hs USING (spider, main)
-UNION ALL SELECT 'feed', spider, visit_url, max({i.NOW})::VARCHAR, '', '' FROM jd WHERE is_new OR is_changed GROUP BY spider, visit_url
+UNION ALL SELECT 'feed', spider, visit_url, max({i.NOW})::VARCHAR, '', '' FROM vk WHERE is_new OR is_changed GROUP BY spider, visit_url
 UNION ALL SELECT 'outcome', spider, url, outcome::VARCHAR, route, to_remove::VARCHAR FROM vr"""
 
 

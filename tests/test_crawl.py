@@ -126,7 +126,7 @@ def crawled(spark, tmp_path_factory):
 
 
 def tables(store, version):
-    seen = {r.key: (r.page_hash, r["count"], sorted(r.alternatives)) for r in store.read("seen", version).collect()}
+    seen = {r.key: (r.page_hash, r["count"], sorted(r.alternatives)) for r in store.read_seen(version).flat().collect()}
     frontier = {(r.source, r.score, r.url, r.next_delay, r.depth) for r in store.read("frontier", version).collect()}
     documents = {r.key: (r.raw_html, [h.status for h in r.history]) for r in store.documents(version).collect()}
     return seen, frontier, documents
@@ -142,6 +142,20 @@ def test_steps_of_one_fetch_are_the_sequential_crawl(crawled):
     assert feed == sorted(model.feed)
 
 
+@pytest.mark.parametrize("cuts", [[8], [4, 8], [1, 2, 5, 8]])
+def test_any_batches_are_the_sequential_crawl(spark, crawled, tmp_path, cuts):
+    _, model, config, rules = crawled
+    store = Snapshots(spark, str(tmp_path))
+    start_tables(store, config, spark.createDataFrame([], "spider string, url string, depth string"))
+    for version, (start, stop) in enumerate(zip([0, *cuts], cuts)):
+        apply_batch(store, version, log_rows(spark, FETCHES[start:stop], start), config, rules)
+    assert tables(store, len(cuts) - 1) == (model.seen, model.frontier, model.docs)
+    feed = {}
+    for r in store.read_all("change_feed", len(cuts)).filter("version >= 0").collect():
+        feed[r.url] = max(r.detected_at, feed.get(r.url, 0))
+    assert feed == dict(sorted(model.feed, key=lambda f: f[1]))
+
+
 def test_a_repeated_batch_changes_nothing(spark, crawled):
     store, _, config, rules = crawled
     last = len(FETCHES) - 1

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webfurrow.functions import urls
@@ -46,6 +48,11 @@ def link_items(links: DataFrame, seen: DataFrame) -> DataFrame:
     return new_urls(unique, seen).select(*_normal(F.col("depth") + 1))
 
 
+def normal_items(links: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Items for links that are known to be unseen, with the columns to ``keep``."""
+    return links.select(*_normal(F.col("depth") + 1), *keep)
+
+
 def enqueue_links(frontier: DataFrame, links: DataFrame, seen: DataFrame) -> DataFrame:
     return push(frontier, link_items(links, seen))
 

@@ -32,6 +32,27 @@ def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
     return cut.withColumn(rank, F.row_number().over(over)).filter(F.col(rank) <= n)
 
 
+def as_of(rows: DataFrame, events: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, out: str) -> DataFrame:
+    """``rows`` with ``out``: the order values of the last of ``events`` of the same keys at or before each row, NULL without one.
+
+    Rows and events are put together and read off in two levels: inside a ``bucket`` of the order it is a
+    running maximum, and a row without an event in its bucket takes the last one of the buckets before. So
+    no task sorts all rows of a key, and per key only one row a bucket is sorted.
+    """
+    at = F.struct(*order)
+    both = (rows.withColumns({"_event": F.lit(None).cast(events.select(at.alias("at")).schema["at"].dataType), "_row": F.lit(True)})
+            .unionByName(events.select(*keys, *order, at.alias("_event"), F.lit(False).alias("_row")), allowMissingColumns=True)
+            .withColumn("_bucket", bucket))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = both.filter("NOT _row").groupBy(*keys, "_bucket").agg(F.max("_event").alias("_end"))
+    every = both.select(*keys, "_bucket").distinct().join(ends, [*keys, "_bucket"], "left")
+    across = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = every.select(*keys, "_bucket", F.max("_end").over(across).alias("_before"))
+    found = both.withColumn("_within", F.max("_event").over(inside)).filter("_row")
+    return (found.join(before, [*keys, "_bucket"], "left").withColumn(out, F.coalesce("_within", "_before"))
+            .select(*rows.columns, out))
+
+
 def order_columns(df: DataFrame) -> list[str]:
     """Columns a hash can be taken of."""
     return [f.name for f in df.schema.fields if "map" not in f.dataType.simpleString()]

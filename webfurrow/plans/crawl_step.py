@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -12,34 +11,21 @@ from webfurrow.functions import urls
 from webfurrow.operators import documents as docs
 from webfurrow.operators import frontier as fr
 from webfurrow.operators import seen as sn
+from webfurrow.operators.alias_groups import ORDER, SeenGroups
+from webfurrow.operators.components import Stage
 from webfurrow.operators.fetches import ITEM, resolve_attempts, route
 from webfurrow.operators.lookup import with_config
 from webfurrow.operators.robots import permitted_links
 from webfurrow.plans.page_parse import PARSE_OPTIONS, parse_pages
-from webfurrow.plans.reschedule import announcements, judge, refetch_items, timed
-from webfurrow.session import staging_path
-
-KEY = sn.KEY
-Stage = Callable[[DataFrame, str], DataFrame]
-
-
-def staged_under(folder: str) -> Stage:
-    """A stage that writes a result under ``folder`` and reads it back. Each reader
-    then scans only its columns, the plans stay short, and nothing is computed again
-    if an executor is lost. The folder must be one all executors share."""
-    def stage(df: DataFrame, name: str) -> DataFrame:
-        path = f"{folder}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return df.sparkSession.read.schema(df.schema).parquet(path)
-
-    return stage
-
+from webfurrow.plans.replay import events_of, replay_batch, with_order
+from webfurrow.plans.reschedule import announcements, refetch_items, timed
+from webfurrow.session import default_stage
 
 @dataclass(frozen=True)
 class StepResult:
     """Tables after the step, and what happened in it."""
 
-    seen: DataFrame
+    seen: SeenGroups
     frontier: DataFrame
     document_changes: DataFrame
     change_feed: DataFrame
@@ -86,57 +72,45 @@ def document_batch(visits: DataFrame) -> DataFrame:
         "fetched_at", F.col("status_code").alias("status")))
 
 
-def _next_seen(seen: DataFrame, gone: DataFrame, added: DataFrame, written: DataFrame) -> DataFrame:
-    """Deletes, then counter increments, then written rows. The stored table is
-    always the streamed side of a join, the batch the side Spark may broadcast."""
-    delta = (gone.select(*KEY, F.lit(True).alias("gone"), F.lit(0).cast("bigint").alias("n"), F.lit(False).alias("written"))
-             .unionByName(added.select(*KEY, F.lit(False).alias("gone"), "n", F.lit(False).alias("written")))
-             .unionByName(written.select(*KEY, F.lit(False).alias("gone"), F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("written")))
-             .groupBy(*KEY).agg(F.max("gone").alias("gone"), F.sum("n").alias("n"), F.max("written").alias("written")))
-    kept = (seen.join(delta, KEY, "left")
-            .filter(~F.coalesce(F.col("gone") | F.col("written"), F.lit(False)))
-            .withColumn("count", F.col("count") + F.coalesce("n", F.lit(0)))
-            .select(*seen.columns))
-    return kept.unionByName(written.select(*seen.columns))
+def _in_order(pushes: DataFrame, fetched: DataFrame) -> DataFrame:
+    """Items pushed in the batch, equal ones once, without those that were fetched after their last push."""
+    last = pushes.groupBy(*fr.COLUMNS).agg(F.max(F.struct(*ORDER)).alias("_pushed"))
+    taken = fetched.groupBy(*fr.COLUMNS).agg(F.max(F.struct(*ORDER)).alias("_fetched"))
+    right = taken.select(*[F.col(c).alias(f"_{c}") for c in fr.COLUMNS], "_fetched")
+    equal = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in fr.COLUMNS]
+    return (last.join(right, equal, "left").filter(F.col("_fetched").isNull() | (F.col("_pushed") >= F.col("_fetched")))
+            .select(*fr.COLUMNS))
 
 
-def crawl_step(log: DataFrame, seen: DataFrame, frontier: DataFrame, document_state: DataFrame,
+def crawl_step(log: DataFrame, seen: SeenGroups, frontier: DataFrame, document_state: DataFrame,
                config: DataFrame, robots_rules: DataFrame, now: Column, stage: Stage | None = None,
                max_doc_bytes: int | None = None) -> StepResult:
-    """New tables after a batch of fetch results.
+    """New tables after a batch of fetch results, the same as if they had come one by one.
 
     ``document_state``: spider, key, history of the stored documents. ``now`` may
-    use columns of the log, such as the fetch time. A visit is judged against the one
-    before it in the batch, the first of a page against the table; links are looked up
-    in the table as it was. A batch of one fetch is the sequential crawl.
-    Results several branches need are staged, by default in the shared folder.
+    use columns of the log, such as the fetch time. Results come in the order of fetch time and URL,
+    whatever the batches: aliases, counters, links, timing and frontier items of a batch are
+    those of the sequential crawl. Results several branches need are staged, by default in the shared folder.
     """
-    stage = stage or staged_under(staging_path(log.sparkSession, "crawl-step"))
-    visits = stage(visit_batch(log, config), "visits")
+    stage = stage or default_stage(log.sparkSession, "crawl-step")
+    visits = stage(with_order(visit_batch(log, config)), "visits")
     links = stage(counted_links(visits, robots_rules), "links")
-    seen_rows = visits.filter("visited").withColumn("requested", F.col("url")).withColumn("url", F.col("visit_url")) \
-        .withColumn("status", F.when(F.col("parsed"), F.col("status_code")))
-    removed = sn.with_key(visits.filter("to_remove").select("spider", "url"))
-
-    wanted = (sn.with_key(seen_rows).select(*KEY).unionByName(links.select(*KEY))
-              .unionByName(removed.select(*KEY)).distinct())
-    touched = stage(seen.join(wanted, KEY, "left_semi"), "touched")
-    gone = sn.deleted_keys(removed, touched)
-    current = touched.join(gone, KEY, "left_anti")
-
-    per_key = links.groupBy(*KEY).agg(F.sum("n").alias("n"))
-    added = sn.increments(per_key, current)
-    judged = judge(seen_rows, current)
+    events = stage(events_of(visits.filter("visited OR to_remove").select(
+        "spider", *ORDER, F.when(F.col("to_remove"), F.col("url")).alias("gone_url"),
+        F.when(F.col("visited"), F.col("visit_url")).alias("url"), "alternatives", "dhash")), "events")
+    page_links = visits.filter("parsed").select("spider", "depth", *ORDER, F.explode("links").alias("url"))
+    step = replay_batch(seen, events, stage, links, page_links, sn.with_key(visits.select("spider", "url")))
+
+    judged = stage(visits.filter("visited").join(step.judged, "row").withColumn("url", F.col("visit_url"))
+                   .withColumn("status", F.when(F.col("parsed"), F.col("status_code")))
+                   .drop("links", "raw_html", "content", "text"), "judged")
     plan = timed(judged, now)
-    written = stage(sn.upserts(seen_rows, current), "written")
-
-    fetched = visits.select("spider", "source", "score", "url", F.col("delay").alias("next_delay"), "depth")
-    fresh = fr.link_items(links, current).unionByName(refetch_items(plan))
-    # An item of the batch is spent, also if an earlier visit of the batch asked for it.
-    next_frontier = fr.push(fr.remove_items(frontier, fetched), fr.remove_items(fresh, fetched))
+    fetched = visits.select("spider", "source", "score", "url", F.col("delay").alias("next_delay"), "depth", *ORDER)
+    pushes = fr.normal_items(step.unknown, ORDER).unionByName(refetch_items(plan, ORDER))
+    next_frontier = fr.push(fr.remove_items(frontier, fetched), _in_order(pushes, fetched))
 
     return StepResult(
-        seen=_next_seen(seen, gone, added, written),
+        seen=step.state,
         frontier=next_frontier,
         document_changes=docs.document_changes(document_state, document_batch(visits), max_doc_bytes),
         change_feed=announcements(judged, now),

@@ -2,32 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webfurrow.functions import fingerprint, refetch
-from webfurrow.operators.lookup import lookup_join
-from webfurrow.operators.seen import KEY, with_key
-from webfurrow.plans.change_log import with_previous
+from webfurrow.functions import refetch
+from webfurrow.operators.alias_groups import ORDER, grouped
+from webfurrow.operators.components import Stage
+from webfurrow.operators.seen import with_key
+from webfurrow.plans.replay import events_of, replay_batch, with_order
 from webfurrow.schemas import PRIORITY, REFETCH
+from webfurrow.session import default_stage
 
 
-def judge(visits: DataFrame, seen: DataFrame) -> DataFrame:
-    """Adds ``is_new`` and ``is_changed`` of each visit, as if the visits came one by one.
+def judge(visits: DataFrame, seen: DataFrame, stage: Stage | None = None) -> DataFrame:
+    """Adds ``key``, ``is_new`` and ``is_changed`` of each visit, as if the visits came one by one.
 
-    A visit is held against the visit of the same page before it in the batch, in order of
-    ``(fetched_at, url)``; the first one against the stored hash, and only that one can be new.
-    ``visits``: spider, url, dhash, fetched_at. The table is cut to the visited keys first.
+    Each visit is held against what the visits before it in order of ``(fetched_at, url)`` left of the
+    table, under any of its names. ``visits``: spider, url, dhash, fetched_at and alternatives.
+    ``seen``: the flat table.
     """
-    keyed = with_key(visits)
-    known = (seen.select(*KEY, "page_hash")
-             .join(keyed.select(*KEY).distinct(), KEY, "left_semi").withColumn("known", F.lit(True)))
-    joined = lookup_join(with_previous(keyed), known, KEY)
-    first = F.col("_previous").isNull()
-    before = F.when(first, F.col("page_hash")).otherwise(F.col("_previous.dhash"))
-    return joined.select(
-        *keyed.columns, (first & F.col("known").isNull()).alias("is_new"),
-        fingerprint.is_changed(F.col("dhash"), before).alias("is_changed"))
+    stage = stage or default_stage(visits.sparkSession, "judge")
+    rows = stage(with_order(with_key(visits)), "visits")
+    events = stage(events_of(rows.withColumn("gone_url", F.lit(None).cast("string"))), "events")
+    return rows.join(replay_batch(grouped(seen, stage), events, stage).judged, "row").drop(*ORDER)
 
 
 def timed(judged: DataFrame, now: Column) -> DataFrame:
@@ -41,12 +40,12 @@ def timed(judged: DataFrame, now: Column) -> DataFrame:
             .withColumn("expire", now.cast("bigint") + F.col("next_delay")))
 
 
-def refetch_items(timed_visits: DataFrame) -> DataFrame:
-    """Frontier items of the visits: priority stays priority, the rest is refetched."""
+def refetch_items(timed_visits: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Frontier items of the visits, with the columns to ``keep``: priority stays priority, the rest is refetched."""
     source = F.when(F.col("source") == PRIORITY, F.lit(PRIORITY)).otherwise(F.lit(REFETCH))
     return timed_visits.filter(F.col("next_delay").isNotNull()).select(
         "spider", source.cast("tinyint").alias("source"), F.col("expire").alias("score"), "url",
-        "next_delay", "depth")
+        "next_delay", "depth", *keep)
 
 
 def announcements(judged: DataFrame, now: Column) -> DataFrame:

@@ -10,11 +10,11 @@ from pyspark.sql import types as T
 
 from webfurrow.functions import urls
 from webfurrow.operators import frontier as fr
+from webfurrow.operators.components import Stage
 from webfurrow.operators.lookup import with_config
 from webfurrow.operators.seen import KEY, with_key
-from webfurrow.plans.crawl_step import Stage, staged_under
 from webfurrow.schemas import FRONTIER, NORMAL
-from webfurrow.session import staging_path
+from webfurrow.session import default_stage
 
 IN_FLIGHT = T.StructType([*FRONTIER.fields, T.StructField("taken_at", T.LongType())])
 
@@ -38,7 +38,7 @@ def take_items(frontier: DataFrame, in_flight: DataFrame, seen: DataFrame, confi
     those that were refused or got another form. A normal item waits while another of its
     canonical URL is in flight. Only the taken items are staged; the stored tables are streamed.
     """
-    stage = stage or staged_under(staging_path(frontier.sparkSession, "take"))
+    stage = stage or default_stage(frontier.sparkSession, "take")
     out = with_key(in_flight.filter(F.col("source") == NORMAL)).select(*KEY).distinct()
     due = fr.next_items(frontier, seen.select(*KEY).unionByName(out), now, n)
     options = ["allowed_domains", "exclude_re", "normalize_params"]

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "webfurrow", master: str | None = None, **conf) -> SparkSession:
@@ -52,3 +54,23 @@ def staging_root(spark: SparkSession) -> str:
 def staging_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder, never used before."""
     return f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def staged_under(folder: str) -> Callable[[DataFrame, str], DataFrame]:
+    """A stage that writes a result under ``folder`` and reads it back. Each reader
+    then scans only its columns, the plans stay short, and nothing is computed again
+    if an executor is lost. The folder must be one all executors share; a stage of the same
+    name is another folder each time."""
+    used: dict[str, int] = {}
+
+    def stage(df: DataFrame, name: str) -> DataFrame:
+        number = used[name] = used.get(name, -1) + 1
+        path = f"{folder}/{name}-{number}" if number else f"{folder}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    return stage
+
+
+def default_stage(spark: SparkSession, name: str) -> Callable[[DataFrame, str], DataFrame]:
+    return staged_under(staging_path(spark, name))

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webfurrow.operators.documents import BODY, document_changes
+from webfurrow.operators.alias_groups import ALIASES, GROUPS, SeenGroups, grouped
+from webfurrow.operators.documents import BODY
 from webfurrow.operators.seen import KEY
-from webfurrow.schemas import CHANGE_FEED, DOCUMENTS, FRONTIER, HISTORY, SEEN
+from webfurrow.schemas import CHANGE_FEED, DOCUMENTS, FRONTIER, HISTORY
+from webfurrow.session import staged_under
 
 DOCUMENT_STATE = T.StructType([
     T.StructField("spider", T.StringType()),
@@ -21,7 +23,7 @@ _HASH = T.StructType([T.StructField("spider", T.StringType()), T.StructField("ke
                       T.StructField("dhash", T.LongType())])
 _FEED = T.StructType([*_HASH.fields[:2], T.StructField("url", T.StringType()), _HASH["dhash"],
                       T.StructField("fetched_at", T.TimestampType())])
-SCHEMAS = {"last_hash": _HASH, "fetch_feed": _FEED, "seen": SEEN, "frontier": FRONTIER, "change_feed": CHANGE_FEED, "document_state": DOCUMENT_STATE,
+SCHEMAS = {"last_hash": _HASH, "fetch_feed": _FEED, "aliases": ALIASES, "groups": GROUPS, "frontier": FRONTIER, "change_feed": CHANGE_FEED, "document_state": DOCUMENT_STATE,
            "document_bodies": _BODIES}
 
 
@@ -49,6 +51,13 @@ class Snapshots:
         schema = T.StructType([*SCHEMAS[table].fields, T.StructField("version", T.LongType())])
         return self.spark.read.schema(schema).parquet(self.path(table)).filter(F.col("version") <= up_to)
 
+    def read_seen(self, version: int) -> SeenGroups:
+        return SeenGroups(self.read("aliases", version), self.read("groups", version))
+
+    def write_seen(self, version: int, seen: SeenGroups) -> None:
+        self.write("aliases", version, seen.aliases)
+        self.write("groups", version, seen.groups)
+
     def discard(self, table: str, version: int) -> None:
         """Delete the files of a version no longer needed."""
         jvm = self.spark.sparkContext._jvm
@@ -59,7 +68,9 @@ class Snapshots:
               documents: DataFrame | None = None) -> None:
         """Write the tables before the first batch as version -1."""
         empty = {n: self.spark.createDataFrame([], s) for n, s in SCHEMAS.items()}
-        self.write("seen", -1, empty["seen"] if seen is None else seen)
+        known = SeenGroups(empty["aliases"], empty["groups"]) if seen is None else grouped(seen, staged_under(self.path("_staging", -1)))
+        self.write_seen(-1, known)
+        self.discard("_staging", -1)
         self.write("frontier", -1, empty["frontier"] if frontier is None else frontier)
         self.write("change_feed", -1, empty["change_feed"])
         if documents is None:

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from webfurrow.functions import fingerprint
 from webfurrow.operators.seen import KEY
 from webfurrow.plans.change_log import with_previous
-from webfurrow.plans.crawl_step import staged_under
+from webfurrow.session import staged_under
 from webfurrow.sources.snapshots import SCHEMAS, Snapshots
 
 #: A version of the hash table holds the pages of its batch; each of this many holds all pages.

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from webfurrow.operators.frontier import enqueue_seeds, reset_start_urls
-from webfurrow.plans.crawl_step import crawl_step, staged_under
+from webfurrow.plans.crawl_step import crawl_step
+from webfurrow.schemas import SEEN
+from webfurrow.session import staged_under
 from webfurrow.sources.snapshots import SCHEMAS, Snapshots
 
 
@@ -15,7 +17,7 @@ def start_tables(store: Snapshots, config: DataFrame, seeds: DataFrame, seen: Da
                  documents: DataFrame | None = None) -> None:
     """First version of the tables: start URLs in the priority class, then the seeds."""
     spark = store.spark
-    known = spark.createDataFrame([], SCHEMAS["seen"]) if seen is None else seen
+    known = spark.createDataFrame([], SEEN) if seen is None else seen
     empty = spark.createDataFrame([], SCHEMAS["frontier"])
     store.start(known, enqueue_seeds(reset_start_urls(empty, config), seeds, known), documents)
 
@@ -27,11 +29,11 @@ def apply_batch(store: Snapshots, version: int, log: DataFrame, config: DataFram
     before = version - 1
     stage = staged_under(store.path("_staging", version))
     result = crawl_step(
-        log, store.read("seen", before), store.read("frontier", before),
+        log, store.read_seen(before), store.read("frontier", before),
         store.read("document_state", before).select("spider", "key", "history"),
         config, robots_rules, F.unix_timestamp("fetched_at"), stage, max_doc_bytes)
     store.write_documents(version, stage(result.document_changes, "document-changes"))
-    store.write("seen", version, result.seen)
+    store.write_seen(version, result.seen)
     store.write("frontier", version, result.frontier)
     store.write("change_feed", version, result.change_feed)
     store.discard("_staging", version)
