@@ -8,6 +8,8 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 sha = lambda s: hashlib.sha256(s if isinstance(s, bytes) else s.encode()).hexdigest()
 
+md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+
 
 def words(text):
     return WORD.findall((text or "").translate(LOWER))

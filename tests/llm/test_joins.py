@@ -64,6 +64,29 @@ def test_near_duplicates_without_rows_or_ids(spark):
     assert len(got) == 4 and {r["component_id"] for r in got if r["doc_id"]} == {1}
 
 
+def test_near_duplicates_of_rows_that_share_an_id(spark):
+    one, other = (" ".join(f"{c}{i}" for i in range(50)) for c in "ab")
+    rows = [(1, one), (2, one), (2, other), (5, other + " end"), (7, None), (7, one), (1, "b"), (1, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(tuple(r)[:3] for r in ngram_join.group_near_duplicates(docs, digests=True).collect())
+    assert got == sorted([(1, 46, 1), (2, 46, 1), (2, 46, 2), (5, 47, 2), (7, 0, 7), (7, 46, 1), (1, 1, 1), (1, 1, 1)])
+
+
+def test_pipeline_drops_copies_only(spark):
+    import corpus_pipeline
+
+    one, other = (" ".join(f"{c}{i}" for i in range(50)) for c in "ab")
+    rows = [(1, one), (2, one), (2, other), (2, other), (3, other + " end"), (4, None), (4, None), (5, ""), (None, one), (None, one), (1, one + " x"),
+            (6, "alone"), (6, "other alone"), (None, None)]
+    want = [(1, min(one, one + " x", key=lambda t: brute.md5(t))), (2, other), (4, None), (5, ""), (6, "alone"), (6, "other alone"),
+            (None, None), (None, one), (None, one)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], schema).repartition(4)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns and sorted((tuple(r)[:2] for r in kept.collect()), key=repr) == sorted(want, key=repr)
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").collect() == []
+
+
 def test_near_duplicates_when_a_row_without_id_comes_first(spark):
     text = " ".join(f"w{i}" for i in range(60))
     far = 1 << 60  # ids that a float cannot hold
@@ -116,10 +139,29 @@ def test_near_vectors_equal_all_pairs(spark, block):
     rows += [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (1003, [1.0] * 15 + [None]), (1004, []),
              (1005, rows[5][1][:7]), (1006, rows[7][1][:7]), (1007, [float("inf")] + [1.0] * 15)]
     vectors = spark.createDataFrame([(k, v, 1) for k, v in rows], "vec_id long, embedding array<float>, label int")
-    got = sorted(tuple(r) for r in embedding_join.near_vectors(vectors, block=block).collect())
+    got = sorted(tuple(r) for r in embedding_join.near_vectors(vectors, block_bytes=block * 16 * 8).collect())
     assert got == plain_vectors(rows)
 
 
+def test_blocks_are_cut_by_rows_however_they_are_dealt(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(i), rng.normal(size=8).tolist()) for i in range(500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(211)
+    boxes = [(i, [i / 10, 0.0], [i / 10 + 0.05, 1.0]) for i in range(13)]
+    found = embedding_join.meeting_blocks(spark.createDataFrame(boxes, "block long, lo array<double>, hi array<double>"), 2, 0.16 ** 2)
+    assert sorted(map(tuple, found.collect())) == [(a, b) for a in range(13) for b in range(a, min(13, a + 3))]
+    assert sorted(map(tuple, embedding_join.near_vectors(df, 0.9).collect())) == plain_vectors64(rows, 0.9)
+
+
+def plain_vectors64(rows, cosine):
+    u = np.array([v for _, v in rows])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near = np.argwhere(np.triu(u @ u.T >= cosine, 1)).tolist()
+    comp = brute.components([k for k, _ in rows], near)
+    n = np.bincount(np.array(near, dtype=int).ravel(), minlength=len(rows))
+    return sorted((k, int(n[i]), comp[i], k == comp[i]) for i, (k, _) in enumerate(rows))
+
+
 def test_near_vectors_without_rows(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embedding_join.near_vectors(empty).count() == 0

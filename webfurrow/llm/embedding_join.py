@@ -2,24 +2,26 @@
 
 Unit vectors with cosine ``c`` are ``sqrt(2 - 2c)`` apart, and no further on any set of orthogonal
 axes. Vectors are sorted by the grid cells of that width on the leading principal axes and cut into
-blocks, which are intervals of the sequence. Blocks whose boxes are too far apart never meet; two
-that may are joined by halving the intervals again and again, and only what stays near is compared.
+blocks of equal size, which are intervals of the sequence. The whole sequence is joined with itself by
+halving: two intervals whose boxes are too far apart are dropped, others are halved again, first down
+to blocks, by joins over the boxes, then inside each pair of blocks down to a few vectors.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webfurrow.llm.common import connected, small_batches, stage
+from webfurrow.llm.common import BATCH_ROWS, arrow_rows, connected, stage
 
-#: Axes of the boxes, and those of them whose cells blocks are matched by.
+#: Axes of the grid and of the boxes.
 AXES = 12
-GRID_AXES = 4
-#: Vectors in a block, and in the smallest interval that is compared as a whole.
-BLOCK = 2048
+#: Bytes of the vectors of a block in double precision; a task holds two blocks. A block is sent once for each
+#: block it may meet, so larger ones mean less to send.
+BLOCK_BYTES = 16 << 20
+#: Vectors in the smallest interval that is compared as a whole.
 LEAF = 128
 OUTPUT = ["n_links", "component_id", "kept"]
 
@@ -126,8 +128,31 @@ def join_blocks(a: Side, b: Side, same: bool, cosine: float, reach2: float) -> p
                          "other": ids[[top(i) for i in with_links]]})
 
 
+def meeting_blocks(boxes: DataFrame, axes: int, reach2: float) -> DataFrame:
+    """Pairs of blocks (``a <= b``) whose boxes are near enough. ``boxes``: block (numbered from 0), lo, hi.
+
+    Starts with the whole sequence against itself. In each round every pair of intervals left is halved
+    on both sides, and the halves that are provably apart are dropped; what meets the driver is the
+    number of blocks.
+    """
+    spark = boxes.sparkSession
+    count = boxes.count()
+    pairs = spark.range(1 if count else 0).select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    halves = F.explode(F.array(*[F.struct((2 * F.col("a") + i).alias("a"), (2 * F.col("b") + j).alias("b")) for i in (0, 1) for j in (0, 1)]))
+    gap2 = sum((F.pow(F.greatest(F.lit(0.0), F.col("lo_b")[i] - F.col("hi_a")[i], F.col("lo_a")[i] - F.col("hi_b")[i]), 2.0)
+                for i in range(axes)), F.lit(0.0))
+    for level in range((count - 1).bit_length() - 1, -1, -1):
+        interval = F.shiftright("block", level)
+        box = boxes.groupBy(interval.alias("i")).agg(
+            F.array(*[F.min(F.col("lo")[i]) for i in range(axes)]).alias("lo"), F.array(*[F.max(F.col("hi")[i]) for i in range(axes)]).alias("hi"))
+        left, right = (box.select(F.col("i").alias(x), F.col("lo").alias(f"lo_{x}"), F.col("hi").alias(f"hi_{x}")) for x in "ab")
+        halved = pairs.select(halves.alias("p")).select("p.a", "p.b").filter("a <= b")
+        pairs = stage(halved.join(left, ["a"]).join(right, ["b"]).filter(gap2 <= reach2).select("a", "b"), "intervals")
+    return pairs
+
+
 def near_vectors(vectors: DataFrame, cosine: float = 0.95, vec_id: str = "vec_id", embedding: str = "embedding",
-                 block: int = BLOCK, axes: int = AXES) -> DataFrame:
+                 block_bytes: int = BLOCK_BYTES, axes: int = AXES) -> DataFrame:
     """``vec_id, n_links, component_id, kept``: one row per row of ``vectors``.
 
     Two rows link if the cosine of their vectors, in double precision, is at least ``cosine``; other
@@ -137,92 +162,79 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, vec_id: str = "vec_id
     id keep a null component.
     """
     spark = vectors.sparkSession
-    small_batches(spark)
     rows = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{embedding}`").cast("array<double>").alias("v"))
     good = rows.filter(usable("v") & F.col("vec_id").isNotNull())
     # Equal vectors: two independent hashes of all components.
-    marked = good.withColumn("same", F.struct(F.xxhash64("v"), F.xxhash64(F.reverse("v"), F.lit(1))))
-    classes = stage(marked.groupBy("same").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"),
-                                               F.first("v").alias("v")), "classes")
+    same = F.struct(F.xxhash64("v"), F.xxhash64(F.reverse("v"), F.lit(1)))
+    classes = stage(good.withColumn("same", same).groupBy("same").agg(
+        F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("v").alias("v")), "classes")
     size = classes.agg(F.max(F.size("v")).alias("n")).first()["n"] or 1
+    block = max(1, block_bytes // (8 * size))
     reach2 = (2 - 2 * cosine) + 1e-9
     width = reach2 ** 0.5
-    basis = principal_axes(classes, size, min(axes, size))
+    with arrow_rows(spark, BATCH_ROWS):
+        basis = principal_axes(classes, size, min(axes, size))
     k = basis.shape[1]
-    g = min(GRID_AXES, k)
 
     def place(batches):
         for part in batches:
             y = unit(part.v, size) @ basis
-            yield part.assign(y=list(y), cells=list(np.floor(y / width).astype(np.int32)))
+            yield part.assign(cells=list(np.floor(y / width).astype(np.int32)))
 
-    placed = classes.select("rep", "weight", "v").mapInPandas(
-        place, "rep long, weight long, v array<double>, y array<double>, cells array<int>")
-    # The grid order: cells on the first axis, then the second, and so on.
-    parts = max(1, -(-classes.count() // (4 * block)))
-    ordered = placed.repartitionByRange(parts, *[F.col("cells")[i] for i in range(k)], "rep").sortWithinPartitions(
-        *[F.col("cells")[i] for i in range(k)], "rep")
+    def number(batches):
+        from pyspark import TaskContext
 
-    def cut(batches):
-        held: list[pd.DataFrame] = []
-        n = 0
-        for part in batches:
-            held.append(part)
-            n += len(part)
-            while n >= block:
-                rows_ = pd.concat(held, ignore_index=True)
-                yield packed(rows_[:block])
-                held, n = [rows_[block:]], n - block
-        if n:
-            yield packed(pd.concat(held, ignore_index=True))
+        part, at = TaskContext.get().partitionId(), 0
+        for rows_ in batches:
+            yield rows_.assign(part=part, at=range(at, at + len(rows_)))
+            at += len(rows_)
+
+    # The grid order: cells on the first axis, then the second, and so on.
+    grid = [F.col("cells")[i] for i in range(k)]
+    placed = classes.select("rep", "weight", "v").mapInPandas(place, "rep long, weight long, v array<double>, cells array<int>")
+    parts = max(1, -(-classes.count() // block))
+    ordered = placed.repartitionByRange(parts, *grid, "rep").sortWithinPartitions(*grid, "rep").drop("cells")
+    with arrow_rows(spark, BATCH_ROWS):
+        numbered = stage(ordered.mapInPandas(number, "rep long, weight long, v array<double>, part int, at long"), "ordered")
+    # Blocks are cut by rows of the whole sequence, however it was dealt. There is one count for each part.
+    counts = numbered.groupBy("part").agg(F.count("*").alias("n"))
+    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    cut = numbered.join(before, ["part"]).withColumn("at", F.col("at") + F.col("before")).withColumn("block", F.expr(f"at div {block}"))
 
     def packed(part: pd.DataFrame) -> pd.DataFrame:
-        y = np.stack(part.y.to_list())
+        part = part.sort_values("at")
+        u = unit(part.v, size)
+        y = u @ basis
         return pd.DataFrame({
-            "block": [int(part.rep.iloc[0])], "ids": [part.rep.to_numpy()], "weights": [part.weight.to_numpy()],
-            "dims": [part.v.map(len).to_numpy()], "raw": [unit(part.v, size).tobytes()],
-            "lo": [y.min(axis=0)], "hi": [y.max(axis=0)]})
-
-    blocks = stage(ordered.mapInPandas(cut, "block long, ids array<long>, weights array<long>, dims array<int>, raw binary, "
-                                            "lo array<double>, hi array<double>"), "blocks")
-    boxes = blocks.select("block", "lo", "hi")
-
-    def cells(df: DataFrame, wider: int) -> DataFrame:
-        for i in range(g):
-            first, last = (F.floor(F.col(end)[i] / width) for end in ("lo", "hi"))
-            df = df.withColumn(f"c{i}", F.explode(F.sequence(first - wider, last + wider)))
-        return df
-
-    names = [f"c{i}" for i in range(g)]
-    left = cells(boxes, 0).select(*names, F.col("block").alias("a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"))
-    right = cells(boxes, 1).select(*names, F.col("block").alias("b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
-    gap2 = sum((F.pow(F.greatest(F.lit(0.0), F.col("lo_b")[i] - F.col("hi_a")[i], F.col("lo_a")[i] - F.col("hi_b")[i]), 2.0)
-                for i in range(k)), F.lit(0.0))
-    meet = stage(left.join(right, names).filter((F.col("a") <= F.col("b")) & (gap2 <= reach2)).select("a", "b").distinct(), "meet")
+            "block": [int(part.block.iloc[0])], "ids": [part.rep.to_numpy()], "weights": [part.weight.to_numpy()],
+            "dims": [part.v.map(len).to_numpy()], "raw": [u.tobytes()], "lo": [y.min(axis=0)], "hi": [y.max(axis=0)]})
+
+    with arrow_rows(spark, BATCH_ROWS):
+        blocks = stage(cut.select("block", "at", "rep", "weight", "v").groupBy("block").applyInPandas(
+            packed, "block long, ids array<long>, weights array<long>, dims array<int>, raw binary, lo array<double>, hi array<double>"), "blocks")
+    meet = meeting_blocks(blocks.select("block", "lo", "hi"), k, reach2)
 
     def compare(batches):
         for pairs in batches:
             for p in pairs.itertuples(index=False):
                 one = Side(p.ids, p.weights, p.dims, p.raw, size, basis)
-                two = one if p.a == p.b else Side(p.ids2, p.weights2, p.dims2, p.raw2, size, basis)
-                yield join_blocks(one, two, p.a == p.b, cosine, reach2)
+                two = one if p.ids2 is None else Side(p.ids2, p.weights2, p.dims2, p.raw2, size, basis)
+                yield join_blocks(one, two, p.ids2 is None, cosine, reach2)
 
     payload = ["ids", "weights", "dims", "raw"]
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # a row here is a pair of blocks
-    found = stage(
-        meet.join(blocks.select(F.col("block").alias("a"), *payload), ["a"])
-        .join(blocks.select(F.col("block").alias("b"), *[F.col(c).alias(f"{c}2") for c in payload]), ["b"])
-        .mapInPandas(compare, "rep long, worth long, other long"), "found")
-    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    small_batches(spark)
+    other = blocks.select(F.col("block").alias("b"), *[F.col(c).alias(f"{c}2") for c in payload])
+    # A block with itself is sent once.
+    sides = meet.withColumn("b", F.when(F.col("a") < F.col("b"), F.col("b")))
+    with arrow_rows(spark, 1):  # a row here is a pair of blocks
+        found = stage(sides.join(blocks.select(F.col("block").alias("a"), *payload), ["a"]).join(other, ["b"], "left")
+                      .mapInPandas(compare, "rep long, worth long, other long"), "found")
     worth = found.groupBy("rep").agg(F.sum("worth").alias("worth"))
     linked = connected(classes.select(F.col("rep").alias("id")),
                        found.select(F.col("rep").alias("a"), F.col("other").alias("b")).filter("a <> b"))
     of_class = (classes.select("same", "rep", "weight").join(worth, ["rep"], "left")
                 .join(linked.withColumnRenamed("id", "rep"), ["rep"])
                 .select("same", (F.col("weight") - 1 + F.coalesce("worth", F.lit(0))).alias("n_links"), "component"))
-    keyed = rows.withColumn("same", F.when(usable("v") & F.col("vec_id").isNotNull(),
-                                           F.struct(F.xxhash64("v"), F.xxhash64(F.reverse("v"), F.lit(1)))))
+    keyed = rows.withColumn("same", F.when(usable("v") & F.col("vec_id").isNotNull(), same))
     return (keyed.select("vec_id", "same").join(of_class, ["same"], "left")
             .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
                     F.coalesce("component", "vec_id").alias("component_id"))

@@ -131,7 +131,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n, same, sketch, short, keys``: size and hash of the set, dense sketch, the same folded to
+    """``doc_id, digest, n, same, sketch, short, keys``: size and hash of the set, dense sketch, the same folded to
     ``DENSE`` words, and join keys. A set that its task has had before brings no sketch and no keys again;
     a row without id brings none at all, and none are held back for it."""
     small_batches(docs.sparkSession)
@@ -140,33 +140,40 @@ def describe(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         shingle, seen = Shingler(), set()
         for rows in batches:
             out = []
-            for doc, named, text in zip(rows.doc_id, rows.named, rows.text, strict=True):
+            for doc, named, digest, text in zip(rows.doc_id, rows.named, rows.digest, rows.text, strict=True):
                 h = shingle(text)
-                same = int(_signed(np.bitwise_xor.reduce(mix(h, 600), keepdims=True))[0]) if len(h) else 0
+                same = set_hash(h)
                 if not len(h) or not named or (len(h), same) in seen:
-                    out.append((doc, named, len(h), same, None, None, None))
+                    out.append((doc, named, digest, len(h), same, None, None, None))
                     continue
                 seen.add((len(h), same))
                 sketch = dense_sketch(h)
-                out.append((doc, named, len(h), same, sketch, folded(sketch, DENSE), _signed(keys_of(h, percent))))
-            yield pd.DataFrame(out, columns=["doc_id", "named", "n", "same", "sketch", "short", "keys"])
+                out.append((doc, named, digest, len(h), same, sketch, folded(sketch, DENSE), _signed(keys_of(h, percent))))
+            yield pd.DataFrame(out, columns=["doc_id", "named", "digest", "n", "same", "sketch", "short", "keys"])
 
     # Pandas would make ids of a batch with a null among them floats, so null goes beside the id.
-    given = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("named"), "text")
-    made = given.mapInPandas(run, "doc_id long, named boolean, n long, same long, sketch array<long>, short array<long>, keys array<long>")
+    given = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("named"),
+                        F.md5("text").alias("digest"), "text")
+    made = given.mapInPandas(run, "doc_id long, named boolean, digest string, n long, same long, sketch array<long>, short array<long>, keys array<long>")
     return made.withColumn("doc_id", F.when(F.col("named"), F.col("doc_id"))).drop("named")
 
 
+def set_hash(h: np.ndarray) -> int:
+    return int(_signed(np.bitwise_xor.reduce(mix(h, 600), keepdims=True))[0]) if len(h) else 0
+
+
 def sets_of(docs: DataFrame) -> DataFrame:
-    """``doc_id, hashes``: the shingle set of each document."""
+    """``doc_id, n, same, hashes``: the shingle set of each document, with its size and hash."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         shingle = Shingler()
         for rows in batches:
-            yield pd.DataFrame({"doc_id": rows.doc_id, "hashes": [_signed(shingle(t)) for t in rows.text]})
+            sets = [shingle(t) for t in rows.text]
+            yield pd.DataFrame({"doc_id": rows.doc_id, "n": list(map(len, sets)), "same": list(map(set_hash, sets)),
+                                "hashes": list(map(_signed, sets))})
 
-    return docs.mapInPandas(run, "doc_id long, hashes array<long>")
+    return docs.mapInPandas(run, "doc_id long, n long, same long, hashes array<long>")
 
 
 def _sizes_allow(n: Column, m: Column, percent: int) -> Column:
@@ -186,9 +193,9 @@ def _near(a: str, b: str, percent: int) -> Column:
 
 
 def possible(pairs: DataFrame, leads: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (``a``, ``b``) that pass the size bound and the bound of the whole sketches."""
-    left = leads.select(F.col("doc_id").alias("a"), F.struct("n", "sketch").alias("x"))
-    right = leads.select(F.col("doc_id").alias("b"), F.struct("n", "sketch").alias("y"))
+    """Candidate pairs of sets (``a``, ``b``) that pass the size bound and the bound of the whole sketches."""
+    left = leads.select(F.col("id").alias("a"), F.struct("n", "sketch").alias("x"))
+    right = leads.select(F.col("id").alias("b"), F.struct("n", "sketch").alias("y"))
 
     def halved(sketch: Column, other: Column) -> Column:
         half = (F.size(sketch) / 2).cast("int")  # sizes that allow a link differ by one band at most
@@ -202,11 +209,14 @@ def possible(pairs: DataFrame, leads: DataFrame, percent: int) -> DataFrame:
     return sized.filter(_distance_allows(distance, F.col("x.n"), F.col("y.n"), percent)).select("a", "b")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose exact sets link. Only the sets of documents in a pair are shuffled."""
+def verified(pairs: DataFrame, docs: DataFrame, alone: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose exact sets link. Only the sets of documents in a pair are shuffled, one document for a set."""
     pairs = stage(pairs, "pairs")
-    wanted = stage(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
-    sets = stage(sets_of(docs.join(wanted, ["doc_id"], "left_semi")), "sets")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    wanted = stage(alone.join(ids, ["id"], "left_semi").select("id", "n", "same", F.col("lead").alias("doc_id")), "wanted")
+    found = sets_of(docs.join(wanted.select("doc_id").distinct(), ["doc_id"], "left_semi"))
+    # Rows may share an id, even with the text: a set is known by its size and hash.
+    sets = stage(found.join(wanted, ["doc_id", "n", "same"]).dropDuplicates(["id"]).select("id", "hashes"), "sets")
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("boolean")
@@ -217,53 +227,56 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             out.append(100 * shared >= percent * (len(a) + len(b) - shared))
         return pd.Series(out, dtype=bool)
 
-    return (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("_x")), ["a"])
-            .join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("_y")), ["b"])
+    return (pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("_x")), ["a"])
+            .join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("_y")), ["b"])
             .filter(link("_x", "_y")).select("a", "b"))
 
 
 def group_near_duplicates(docs: DataFrame, percent: int = PERCENT, column: str = "text",
-                          doc_id: str = "doc_id") -> DataFrame:
-    """``doc_id, n_shingles, component_id``: one row per row of ``docs``.
+                          doc_id: str = "doc_id", digests: bool = False) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` and, with ``digests``, ``text_md5`` and ``group``: one row per row of ``docs``.
 
     Documents link if ``100 * |A and B| >= percent * |A or B|`` for their sets of five-word shingles;
     with fewer words the whole sequence is the only shingle. A document without words, or with null
     text, is empty and linked with nothing. ``component_id`` is the smallest id reachable by links.
-    Rows must not share an id unless they share the text; rows without id are left out of groups
-    and keep a null component. No pair is dropped: in a key that many documents hold, all pairs that
-    are not together yet are held against the bounds.
+    Rows that share an id are documents of their own, linked by their texts only: their components may then
+    have one id, and ``group`` (null without words or id) tells them apart. Rows without id are left out of groups and
+    keep a null component. No pair is dropped: in a key that many documents hold, all
+    pairs that are not together yet are held against the bounds.
     """
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{column}`").cast("string").alias("text"))
-    described = stage(describe(rows, percent), "described")
+    described = stage(describe(rows, percent).withColumn("row", F.monotonically_increasing_id()), "described")
     filled = described.filter("n > 0 and doc_id is not null")
-    # Documents of equal sets: the least of them stands for all, with the sketch of any.
-    alone = stage(filled.groupBy("n", "same").agg(F.min("doc_id").alias("lead")), "alone")
-    led = filled.join(alone, ["n", "same"])
-    leads = stage(led.filter("sketch is not null").select(F.col("lead").alias("doc_id"), "n", "sketch", "short")
-                  .dropDuplicates(["doc_id"]), "leads")
-    copies = stage(led.filter("doc_id <> lead").select("doc_id", "lead").distinct(), "copies")
-    # Keys held by one document only are dropped at once. Those of copies count as their lead's.
+    # Equal sets get one number; the document with the least id of each is looked at for all.
+    alone = stage(filled.groupBy("n", "same").agg(F.min("doc_id").alias("lead")).withColumn("id", F.monotonically_increasing_id()), "alone")
+    sketched = filled.filter("sketch is not null")
+    leads = stage(sketched.select("n", "same", "sketch", "short").join(alone.drop("lead"), ["n", "same"])
+                  .select("id", "n", "sketch", "short").dropDuplicates(["id"]), "leads")
+    # Keys held by one row only are dropped at once.
     raw = rows.filter("doc_id is not null")
-    keyed = filled.filter("keys is not null").select(F.explode("keys").alias("key"), "doc_id")
     of_key = Window.partitionBy("key")
-    several = keyed.withColumn("held", F.count("*").over(of_key)).filter("held > 1").select("key", "doc_id")
-    several = several.join(copies.withColumnRenamed("lead", "_lead"), ["doc_id"], "left").select(
-        "key", F.coalesce("_lead", "doc_id").alias("doc_id")).distinct()
-    shared = stage(several.withColumn("least", F.min("doc_id").over(of_key)), "shared")
+    held = (sketched.select(F.explode("keys").alias("key"), "row").withColumn("held", F.count("*").over(of_key))
+            .filter("held > 1").select("key", "row"))
+    numbers = sketched.select("row", "n", "same").join(alone, ["n", "same"]).select("row", "id")
+    several = held.join(numbers, ["row"]).select("key", "id").distinct()
+    shared = stage(several.withColumn("least", F.min("id").over(of_key)), "shared")
     # First each member against the least of its key: groups of near copies come together in linear work.
-    star = shared.filter("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = stage(verified(possible(star, leads, percent), raw, percent), "links")
-    placed = stage(connected(leads.select(F.col("doc_id").alias("id")), links), "placed")
+    star = shared.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+    links = stage(verified(possible(star, leads, percent), raw, alone, percent), "links")
+    placed = stage(connected(leads.select("id"), links), "placed")
     # Then, in keys whose members are not all together yet, every member outside the largest
     # component of the key against the others. Members of one component need no further look.
     more = stage(verified(
-        possible(cross_pairs(shared.select("key", "doc_id"), placed, leads, percent), leads, percent), raw, percent), "more")
-    every = links.unionByName(more)
-    joined = connected(leads.select(F.col("doc_id").alias("id")), every)
-    return (described.select("doc_id", "n", "same").join(alone, ["n", "same"], "left")
-            .join(joined.withColumnRenamed("id", "lead"), ["lead"], "left")
-            .select("doc_id", F.col("n").alias("n_shingles"),
-                    F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")))
+        possible(cross_pairs(shared.select("key", "id"), placed, leads, percent), leads, percent), raw, alone, percent), "more")
+    joined = connected(leads.select("id"), links.unionByName(more))
+    of_set = alone.join(joined, ["id"])
+    least = of_set.groupBy("component").agg(F.min("lead").alias("component_id"))
+    found = (described.select("doc_id", "digest", "n", "same")
+             .join(of_set.join(least, ["component"]).select("n", "same", "component", "component_id"), ["n", "same"], "left"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"),
+                        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
+                        *([F.col("digest").alias("text_md5"), F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("group")]
+                          if digests else []))
 
 
 def cross_pairs(shared: DataFrame, placed: DataFrame, leads: DataFrame, percent: int) -> DataFrame:
@@ -272,14 +285,14 @@ def cross_pairs(shared: DataFrame, placed: DataFrame, leads: DataFrame, percent:
     Each member outside the key's largest component meets every member of another component; what
     the bounds rule out is never a row, and members that are together already never meet.
     """
-    located = (shared.join(placed.withColumnRenamed("id", "doc_id"), ["doc_id"])
-               .join(leads.select("doc_id", F.struct("n", "short").alias("d")), ["doc_id"]))
+    located = (shared.join(placed, ["id"])
+               .join(leads.select("id", F.struct("n", "short").alias("d")), ["id"]))
     largest = (located.groupBy("key", "component").agg(F.count("*").alias("n"))
                .groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts"))
                .filter("parts > 1").drop("parts"))
     open_keys = stage(located.join(largest, ["key"]).withColumn("out", F.col("component") != F.col("main")), "located")
-    x = open_keys.filter("out").select("key", F.col("doc_id").alias("p"), F.col("component").alias("pc"), F.col("d").alias("x"))
-    y = open_keys.select("key", F.col("doc_id").alias("q"), F.col("component").alias("qc"), "out", F.col("d").alias("y"))
+    x = open_keys.filter("out").select("key", F.col("id").alias("p"), F.col("component").alias("pc"), F.col("d").alias("x"))
+    y = open_keys.select("key", F.col("id").alias("q"), F.col("component").alias("qc"), "out", F.col("d").alias("y"))
     meet = x.join(y, (x.key == y.key) & (F.col("pc") != F.col("qc")) & (~F.col("out") | (F.col("p") < F.col("q")))
                   & _near("x", "y", percent))
     return meet.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
