@@ -7,7 +7,7 @@ columns of ``documents``.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webfurrow.llm import byte_bpe, decontamination, language_id, ngram_join, pii
@@ -30,14 +30,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group; documents without words are in no group.
 
-    Rows that repeat an id with the same text are one document. Rows without id stay.
+    Rows that share an id are documents of their own; of those with the smallest id of a group the first
+    by the text's digest stays. Rows equal in id and text are one document. Rows without id stay, all.
     """
-    groups = stage(ngram_join.group_near_duplicates(docs), "groups")
-    # The ids to drop grow with the corpus, so they are never broadcast: one plan at every size.
-    later = groups.filter("doc_id <> component_id").select("doc_id").distinct().hint("merge")
-    kept = docs.join(later, ["doc_id"], "left_anti").select(*docs.columns)
-    repeated = groups.groupBy("doc_id").count().filter("count > 1 and doc_id is not null")
-    return kept.dropDuplicates(["doc_id", "text"]) if repeated.limit(1).count() else kept
+    groups = stage(ngram_join.group_near_duplicates(docs, digests=True), "groups").filter("group IS NOT NULL")
+    row = F.struct("doc_id", "text_md5")
+    first = groups.groupBy("group").agg(F.min(row).alias("first"))
+    # The rows to drop grow with the corpus, so they are never broadcast: one plan at every size.
+    later = groups.join(first, ["group"]).filter(row != F.col("first")).select(
+        F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5")).distinct().hint("merge")
+    marked = docs.withColumn("_digest", F.md5("text"))
+    kept = marked.join(later, (marked.doc_id == later._id) & (marked._digest == later._md5), "left_anti")
+    same = F.row_number().over(Window.partitionBy("doc_id", "_digest").orderBy(F.lit(0)))
+    return kept.withColumn("_same", same).filter("_same = 1 OR doc_id IS NULL").select(*docs.columns)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
