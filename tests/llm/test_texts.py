@@ -1,12 +1,15 @@
 """Operators that look at one text at a time, against plain versions, libraries and held-out labels."""
 
 import hashlib
+import math
 import random
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import brute
 from webfurrow.llm import byte_bpe, decontamination, language_id, licenses, pii, queries, sharding, token_counts, toxicity
@@ -147,6 +150,56 @@ def test_long_secrets_are_redacted_whole(spark):
     assert spans[1]["spans"] == f"secret:10:{10 + len(secret)}"
 
 
+@pytest.fixture(scope="module")
+def judges(spark):
+    return pii.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+def test_trees_use_context(judges):
+    context = {"cue", "against", "sign", "quote", "edge", "start"}
+    for kind, model in judges.items():
+        assert len(model.splits() & context) >= 2 and not math.isinf(model.threshold), kind
+
+
+FOUND = {
+    "password: hunter2": "secret:10:17", "tel 555 123 44": "phone:4:14", "token:    'abcd1234efgh'": "secret:11:23",
+    "jane [at] a.b.c.d.e.f.g.h.org": "email:0:29", "server 2001:db8::1 down": "ip:7:18", "card 4111.1111.1111.1111": "card:5:24",
+    "mail " + "x" * 100 + " [at] host [dot] com": "email:5:125", "call +1 (222) 555-2485 or a@b.com": "email:26:33,phone:5:22",
+    "tel 555 123 44 card 4012 8888 8888 1882 10.1.1.1": "ip:40:48,card:20:39,phone:4:14"}
+LEFT = ["see note [at] chapter.seven today", "page 123-456-789 of index", "order 2020 12 3456 7890", "password: required", "meet at 12:30:45",
+        "serial 4111/1111/1111/1111", "", "std::vector<int>", "a: b: c", "1 2 3 4 5 6"]
+
+
+def test_candidates_are_judged_by_format_and_context(spark, judges):
+    rows = list(enumerate([*FOUND, *LEFT, None]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = by_id(pii.find_pii(docs, judges))
+    assert {t: got[i]["spans"] for i, t in rows if t in FOUND} == FOUND
+    assert all(got[i]["spans"] == "" for i, t in rows if t not in FOUND)
+
+
+def test_overlaps_go_to_the_higher_odds(spark):
+    spans = [("phone", 0, 10, 1.0), ("card", 5, 20, 3.0), ("ip", 18, 25, 2.0), ("secret", 30, 40, 0.5), ("email", 35, 36, None),
+             ("ip", 36, 38, 0.1), ("email", 50, 60, None), ("phone", 55, 65, None), ("card", 70, 72, 1.0), ("phone", 70, 72, 1.0)]
+    rnd = random.Random(2)
+    rnd.shuffle(spans)
+    df = spark.createDataFrame([(spans,), ([],)], "s array<struct<kind:string,start:int,stop:int,odds:double>>")
+    got = [sorted((s["kind"], s["start"]) for s in r["k"]) for r in df.select(pii.settled(F.col("s")).alias("k")).collect()]
+    assert got == [[("card", 5), ("card", 70), ("email", 35), ("email", 50), ("ip", 36), ("phone", 55)], []]
+
+
+def test_many_spans_in_one_text(spark, judges):
+    many = "a@b.c " * 16_000
+    docs = spark.createDataFrame([(1, many), (2, "é 1.2.3.4 x " * 1000)], "doc_id long, text string").coalesce(1)
+    pii.find_pii(docs, judges).collect()  # plans and compiles
+    began = time.time()
+    got = by_id(pii.find_pii(docs.withColumn("text", F.concat("text", F.lit("."))), judges))
+    assert got[1]["n_email"] == 16_000 and got[1]["spans"].endswith("email:95994:95999") and got[2]["n_ip"] == 1000
+    clean = by_id(stage(pii.redact(docs, judges), "redacted"))
+    assert clean[1]["text"] == "[EMAIL] " * 16_000 and clean[2]["text"] == "é [IP] x " * 1000
+    assert time.time() - began < 60  # most of it is planning; a quadratic pass takes minutes
+
+
 def test_language_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.train(docs.filter(~queries.held_out()), queries.PIECES)
