@@ -1,8 +1,9 @@
 """Pair encoding of lower-cased words over a table of distinct words, and decoding through the id-to-piece table.
 
 Texts are split in blocks. A block keeps its texts as numbers into its own list of words; the lists of all
-blocks give the table of distinct words, and each of them is encoded and spelled once. Ids and pieces
-come back to the blocks by a join on the word and are put in the places of the words.
+blocks give the table of distinct words, and each of them is encoded once. The ids come back to the
+blocks by the words' numbers, meet the id-to-piece table there, and are put in the places of the words.
+Texts are split twice, for the lists and for the numbers, since to store either takes more than the time.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webfurrow.llm.common import per_text, small_batches, stage, without
+from webfurrow.llm.common import per_text, small_batches, without
 
 #: Characters and texts of a block, at most, but for a longer text, which is a block of its own.
-BLOCK_CHARS, BLOCK_TEXTS = 4_000_000, 20_000
+BLOCK_CHARS, BLOCK_TEXTS = 40_000_000, 200_000
+#: Words of a list in one batch.
+LIST_ROWS = 50_000
 OUTPUT = ["token_ids", "decoded"]
 
 # How the vocabulary marks the end of a word, and how its file says that texts are split.
@@ -49,6 +54,8 @@ class WordVocabulary:
         model, split = spec["model"], spec["pre_tokenizer"].get("pretokenizers", [{}])[0]
         if model["end_of_word_suffix"] != WORD_END or split.get("pattern") != {"Regex": _PARTS} or spec["decoder"] is not None:
             raise ValueError(f"{path} is no vocabulary of lower-cased words with word ends")
+        if len(model["vocab"]) + len(spec["added_tokens"]) > 1 << 16:
+            raise ValueError("ids are packed in 16 bits")
         self.ids: dict[str, int] = dict(model["vocab"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.letters = byte_letters()
@@ -125,29 +132,57 @@ def splitter(path: str) -> Callable[[str], list[str]]:
     return split
 
 
-def _packed(numbers: list[int], kinds: int) -> bytes:
-    return np.array(numbers, dtype="<u2" if kinds <= 1 << 16 else "<u4").tobytes()
+def pack(numbers: Sequence[int], kinds: int) -> bytes:
+    """Numbers below ``kinds``: their lower 16 bits and then, if there are so many, what is above, which is mostly zero; deflated."""
+    x = np.asarray(numbers, dtype=np.uint32)
+    low = x.astype("<u2").tobytes()
+    return zlib.compress(low if kinds <= 1 << 16 else low + (x >> 16).astype(np.uint8 if kinds <= 1 << 24 else "<u2").tobytes(), 1)
 
 
-def _block_rows(path: str, column: str, block_chars: int):
-    """Function of Arrow batches: numbered words in the place of the text, and the words of a block in its first row."""
+def unpack(packed: bytes, kinds: int) -> np.ndarray:
+    packed = zlib.decompress(packed)
+    if kinds <= 1 << 16:
+        return np.frombuffer(packed, dtype="<u2").astype(np.int64)
+    high = np.uint8 if kinds <= 1 << 24 else "<u2"
+    n = len(packed) // (2 + np.dtype(high).itemsize)
+    return np.frombuffer(packed, dtype="<u2", count=n) + (np.frombuffer(packed, dtype=high, offset=2 * n).astype(np.int64) << 16)
+
+
+def checksum(marks) -> int:
+    """One number for the words of a block in their order, from a number for each."""
+    return zlib.crc32(np.asarray(marks, dtype="<u4").tobytes())
+
+
+def _block_rows(path: str, column: str, block_chars: int, lists: bool):
+    """Function of Arrow batches. With ``lists``: the words of each block with their places, the block's number and the word's
+    in one. Else: the other columns, the block, a checksum of its words, and the numbered words in the place of the text. Blocks are cut
+    by the order of the rows alone, so that both see the same."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         split, part, made = splitter(path), TaskContext.get().partitionId(), 0
         held: list[pa.RecordBatch] = []
-        numbers: list[list[int]] = []
+        numbers: list[np.ndarray] = []
         known: dict[str, int] = {}
-        chars = 0
+        texts_in, chars = 0, 0
 
         def flush():
-            n = len(numbers)
+            block = (part << 20) + made
+            if lists:
+                words = list(known)
+                if len(words) > 1 << 26:
+                    raise ValueError("a text has more words than a block can number")
+                for at in range(0, len(words), LIST_ROWS):
+                    some = words[at:at + LIST_ROWS]
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array(
+                        (block << 26) + np.arange(at, at + len(some), dtype=np.int64))], names=["word", "place"])
+                return
             table = pa.Table.from_batches(held)
-            for name, values in (("_block", pa.array([f"{part}-{made}"] * n)),
-                                 ("_numbers", pa.array([_packed(x, len(known)) for x in numbers], pa.binary())),
-                                 ("_words", pa.array([list(known)] + [None] * (n - 1), pa.list_(pa.string())))):
+            for name, values in (("_block", pa.array([block] * len(numbers), pa.int64())),
+                                 ("_check", pa.array([checksum([zlib.crc32(w.encode()) for w in known])] * len(numbers), pa.int64())),
+                                 ("_numbers", pa.array([pack(x, len(known)) for x in numbers], pa.binary()))):
                 table = table.append_column(name, values)
-            return table.combine_chunks().to_batches()
+            yield from table.combine_chunks().to_batches()
 
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(column))
@@ -155,40 +190,41 @@ def _block_rows(path: str, column: str, block_chars: int):
             start = 0
             for i, text in enumerate(texts.to_pylist()):
                 found = split(text) if text else []
-                if numbers and (chars + len(text or "") > block_chars or len(numbers) >= BLOCK_TEXTS):
+                if texts_in and (chars + len(text or "") > block_chars or texts_in >= BLOCK_TEXTS):
                     if i > start:
                         held.append(others.slice(start, i - start))
                     yield from flush()
-                    held, numbers, known, chars, start, made = [], [], {}, 0, i, made + 1
+                    held, numbers, known, texts_in, chars, start, made = [], [], {}, 0, 0, i, made + 1
                 number = known.setdefault
-                numbers.append([number(word, len(known)) for word in found])
-                chars += len(text or "")
-            if others.num_rows > start:
+                own = np.fromiter((number(word, len(known)) for word in found), dtype=np.uint32, count=len(found))
+                texts_in, chars = texts_in + 1, chars + len(text or "")
+                if not lists:
+                    numbers.append(own)
+            if not lists:
                 held.append(others.slice(start))
-        if numbers:
+        if texts_in:
             yield from flush()
 
     return run
 
 
-def _put_back(columns: list[str]):
-    """Function of a block's rows and its words: ids and pieces in the places of the words."""
+def _put_back(columns: list[str], path: str):
+    """Function of a block's rows and its words: ids in the places of the words, and the pieces of the ids."""
     def run(rows: pa.Table, words: pa.Table) -> pa.Table:
         kinds = words.num_rows
-        order = np.argsort(words.column("_number").to_numpy())
-        ids = words.column("ids").to_pylist()
-        spelled = words.column("spelled").to_pylist()
-        ids, spelled = [ids[i] for i in order], [spelled[i] for i in order]
-        sizes = np.array([len(i) for i in ids], dtype=np.int64)
+        order = np.argsort(words.column("place").to_numpy())
+        if rows.num_rows and rows.column("_check")[0].as_py() != checksum(words.column("mark").to_numpy()[order]):
+            raise RuntimeError("the rows came in another order the second time; stage the documents first")
+        packed = words.column("ids").take(pa.array(order)).to_pylist()
+        sizes = np.array([len(p) for p in packed], dtype=np.int64) // 2
+        flat = np.frombuffer(b"".join(packed), dtype="<u2").astype(np.int32)
         starts = np.cumsum(sizes) - sizes
-        flat = np.array([i for own in ids for i in own], dtype=np.int32)
+        # The id-to-piece table has as many rows as the vocabulary; each word of the block is spelled once.
+        pieces = pieces_of(path)
+        spelled = [" ".join([pieces[i] for i in flat[a:b]]) for a, b in zip(starts.tolist(), (starts + sizes).tolist(), strict=True)]
         token_ids, decoded = [], []
         for packed in rows.column("_numbers").to_pylist():
-            numbers = np.frombuffer(packed, dtype="<u2" if kinds <= 1 << 16 else "<u4").astype(np.int64)
-            if not len(numbers):
-                token_ids.append(np.empty(0, dtype=np.int32))
-                decoded.append("")
-                continue
+            numbers = unpack(packed, kinds)
             own = sizes[numbers]
             inside = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
             token_ids.append(flat[np.repeat(starts[numbers], own) + inside])
@@ -199,29 +235,35 @@ def _put_back(columns: list[str]):
     return run
 
 
+@lru_cache(maxsize=1)
+def pieces_of(path: str) -> dict[int, str]:
+    return WordVocabulary(path).pieces()
+
+
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
     """``id, piece``: as many rows as the vocabulary has pieces, whatever the corpus."""
-    return spark.createDataFrame(list(WordVocabulary(path).pieces().items()), "id int, piece string")
+    return spark.createDataFrame(list(pieces_of(path).items()), "id int, piece string")
 
 
-def spell(table: DataFrame, key: str, pieces: DataFrame, ids: str = "ids", out: str = "spelled") -> DataFrame:
-    """``key`` and ``out``: the pieces of each row's ids in order, joined by one blank. ``key`` must be unique.
+def decode_ids(table: DataFrame, key: str, path: str, ids: str = "token_ids") -> DataFrame:
+    """``key, decoded`` of any table of ids: each id is joined with its piece, and pieces are put in order again.
 
-    Rows without ids are left out.
+    ``key`` must be unique and not null. Rows without ids, or with null for them, have an empty text; an
+    id that no piece has is left out.
     """
-    placed = table.select(key, F.posexplode(ids).alias("_at", "id"))
-    found = placed.join(F.broadcast(pieces), ["id"])  # bounded by the vocabulary
-    ordered = F.array_sort(F.collect_list(F.struct("_at", "piece")))
-    return found.groupBy(key).agg(F.array_join(F.transform(ordered, lambda p: p["piece"]), " ").alias(out))
+    placed = table.select(key, F.posexplode_outer(ids).alias("_at", "id"))
+    found = placed.join(F.broadcast(piece_table(table.sparkSession, path)), ["id"], "left")  # bounded by the vocabulary
+    ordered = F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("_at", "piece"))))
+    return found.groupBy(key).agg(F.array_join(F.transform(ordered, lambda p: p["piece"]), " ").alias("decoded"))
 
 
 def encode_distinct(words: DataFrame, path: str) -> DataFrame:
-    """The table of distinct words with ``ids``: each word of column ``word`` is encoded once."""
+    """A table of distinct words with ``ids``, packed in 16 bits each: each row's ``word`` is encoded."""
     def make():
         vocabulary = WordVocabulary(path)
-        return lambda batch: {"ids": [vocabulary.encode(word) for word in batch]}
+        return lambda batch: {"ids": [np.array(vocabulary.encode(word), dtype="<u2").tobytes() for word in batch]}
 
-    return per_text(words.select("word").distinct(), make, "ids array<int>", "word")
+    return per_text(words, make, "ids binary", "word")
 
 
 def encode_words(docs: DataFrame, path: str, column: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -232,22 +274,25 @@ def encode_words(docs: DataFrame, path: str, column: str = "text", block_chars:
     ids. Whole texts are encoded; repeated rows, ids and clashing names need no care, since a row is
     never looked up by its columns; columns of the added names are replaced. An empty table gives no rows.
 
-    A task holds one block of texts. The shuffles carry, per block, its distinct words and its texts as
-    numbers; no group is larger than a block, or than the number of blocks a word occurs in.
+    The rows must come in the same order each time they are read, as those of files do; if they don't, the
+    job fails and the documents have to be staged first. A task holds one block of texts. The shuffles carry, per
+    block, its distinct words and its texts as numbers; no group is larger than a block, or than the number of
+    blocks a word occurs in.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    kept = without(docs, [*OUTPUT, "_block", "_numbers", "_words"])
+    kept = without(docs, [*OUTPUT, "_block", "_numbers", "_check"])
     others = [c for c in kept.columns if c != column]
-    given = kept.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{column}`").cast("string").alias(column))
-    fields = [f for f in given.schema.fields if f.name != column]
-    coded = stage(given.mapInArrow(_block_rows(path, column, block_chars), T.StructType([
-        *fields, T.StructField("_block", T.StringType()), T.StructField("_numbers", T.BinaryType()),
-        T.StructField("_words", T.ArrayType(T.StringType()))])), "numbered-words")
-    lists = coded.filter("_words IS NOT NULL").select("_block", F.posexplode("_words").alias("_number", "word"))
-    distinct = stage(encode_distinct(lists, path), "distinct-words")
-    spelled = spell(distinct, "word", piece_table(spark, path))
-    back = lists.join(distinct.join(spelled, ["word"]), ["word"]).select(F.col("_block").alias("_of"), "_number", "ids", "spelled")
-    rows = coded.select(*[F.col(f"`{c}`") for c in others], "_block", "_numbers")
+    text = F.col(f"`{column}`").cast("string").alias(column)
+    fields = [f for f in kept.schema.fields if f.name != column]
+    # The table of distinct words: where each stands and, worked out once, its ids. It is dealt by the word
+    # before it is grouped, as few words of a block stand there twice.
+    given = kept.select(*[F.col(f"`{c}`") for c in others], text)
+    listed = given.mapInArrow(_block_rows(path, column, block_chars, True), "word string, place long")
+    distinct = listed.repartition("word").groupBy("word").agg(F.collect_list("place").alias("places"))
+    back = encode_distinct(distinct, path).select(
+        F.explode("places").alias("place"), F.crc32("word").alias("mark"), "ids").withColumn("_of", F.shiftright("place", 26))
+    rows = given.mapInArrow(_block_rows(path, column, block_chars, False), T.StructType([
+        *fields, T.StructField("_block", T.LongType()), T.StructField("_check", T.LongType()), T.StructField("_numbers", T.BinaryType())]))
     out = T.StructType([*fields, T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
-    return rows.groupBy("_block").cogroup(back.groupBy("_of")).applyInArrow(_put_back(others), out)
+    return rows.groupBy("_block").cogroup(back.groupBy("_of")).applyInArrow(_put_back(others, path), out)
