@@ -108,8 +108,8 @@ def step_frontier(spark, sf):
 def crawl_step(spark, sf):
     """One crawl step over all pages. The tables after it are shown in one shape."""
     no_documents = spark.createDataFrame([], "spider string, key string, history array<struct<fetched_time:string,status:int>>")
-    result = run_step(page_log(spark, sf), grouped(step_seen(spark, sf), default_stage(spark, "step-seen")), step_frontier(spark, sf), no_documents,
-                      i.config(spark), i.robots_rules(spark, sf), F.lit(i.NOW))
+    stored = grouped(step_seen(spark, sf), default_stage(spark, "step-seen"))
+    result = run_step(page_log(spark, sf), stored, no_documents, i.config(spark), i.robots_rules(spark, sf), F.lit(i.NOW))
 
     def rows(df, name, item, a, b, c):
         return df.select(F.lit(name).alias("tbl"), "spider", item.alias("item"), a.cast("string").alias("a"),
@@ -118,8 +118,8 @@ def crawl_step(spark, sf):
     none = F.lit("")
     history = F.array_join(F.transform("new_history", lambda h: F.concat(h["fetched_time"], F.lit("="), h["status"])), " ")
     names = F.array_join(F.array_sort("alternatives"), " ")
-    return (rows(result.seen.flat(), "seen", F.col("key"), F.col("page_hash"), F.col("count"), names)
-            .unionByName(rows(result.frontier, "frontier", F.col("url"), F.concat_ws(" ", "source", "score"), F.col("next_delay"), F.col("depth")))
+    return (rows(stored.after(result.seen).flat(), "seen", F.col("key"), F.col("page_hash"), F.col("count"), names)
+            .unionByName(rows(result.frontier(step_frontier(spark, sf)), "frontier", F.col("url"), F.concat_ws(" ", "source", "score"), F.col("next_delay"), F.col("depth")))
             .unionByName(rows(result.document_changes, "documents", F.col("key"), F.concat_ws(" ", "body.url", "body.hash"), F.md5("body.raw_html"), history))
             .unionByName(rows(result.change_feed, "feed", F.col("url"), F.col("detected_at"), none, none))
             .unionByName(rows(result.outcomes, "outcome", F.col("url"), F.col("outcome"), F.col("route"), F.col("to_remove"))))
@@ -181,9 +181,8 @@ UNION ALL SELECT 'feed', spider, visit_url, max({i.NOW})::VARCHAR, '', '' FROM v
 UNION ALL SELECT 'outcome', spider, url, outcome::VARCHAR, route, to_remove::VARCHAR FROM vr"""
 
 
-def crawl_stream(spark, sf):
-    """Every event is the fetch of a small page; four batches of files go through
-    the continuous crawl, and the document table after the last one is read."""
+def _event_crawl(spark, sf, name, **options):
+    """Every event is the fetch of a small page; four batches of files go through the continuous crawl."""
     b = batch(spark, sf)
     log = b.select(
         "spider", "url", F.col("url").alias("response_url"), F.lit(1).alias("attempt"), F.lit(None).cast("string").alias("error"),
@@ -193,14 +192,53 @@ def crawl_stream(spark, sf):
     log = log.select(*[F.col(f.name).cast(f.dataType) for f in FETCH_LOG.fields])
     path = _written(spark, log, "fetch-log")
     config = i.config(spark).withColumn("allowed_domains", F.array().cast("array<string>"))
-    store = Snapshots(spark, staging_path(spark, "crawl"))
+    store = Snapshots(spark, staging_path(spark, name))
     start_tables(store, config, spark.createDataFrame([], "spider string, url string, depth string"))
-    query = start_crawl(stream_fetch_log(spark, path, 2), store, config, i.robots_rules(spark, sf))
+    query = start_crawl(stream_fetch_log(spark, path, 2), store, config, i.robots_rules(spark, sf), **options)
     query.awaitTermination()
-    last = query.lastProgress["batchId"]
+    return store, query.lastProgress["batchId"]
+
+
+def crawl_stream(spark, sf):
+    """The document table after the last batch."""
+    store, last = _event_crawl(spark, sf, "crawl")
     return flat(store.documents(last)).select("spider", "key", "url", "raw_html", "history")
 
 
+def crawl_stream_tables(spark, sf):
+    """Seen table, frontier and feed after the last batch, in one shape."""
+    store, last = _event_crawl(spark, sf, "crawl")
+    none = F.lit("")
+    feed = store.read_all("change_feed", last).groupBy("spider", "url").agg(F.max("detected_at").alias("at"))
+    return (store.read_seen(last).flat().select(
+        F.lit("seen").alias("tbl"), "spider", F.col("key").alias("item"), F.col("page_hash").cast("string").alias("a"),
+        F.concat_ws(" ", "count", "alternatives").alias("b"))
+        .unionByName(store.read("frontier", last).select(
+            F.lit("frontier").alias("tbl"), "spider", F.col("url").alias("item"), F.concat_ws(" ", "source", "score").alias("a"),
+            F.concat_ws(" ", "next_delay", "depth").alias("b")))
+        .unionByName(feed.select(F.lit("feed").alias("tbl"), "spider", F.col("url").alias("item"), F.col("at").cast("string").alias("a"), none.alias("b"))))
+
+
+def crawl_sink(spark, sf):
+    """Documents as the crawl wrote them to JSON files, batch by batch: the last body of each."""
+    target = staging_path(spark, "documents")
+    _event_crawl(spark, sf, "crawl", sink=("json", target))
+    rows = spark.read.schema("spider string, key string, url string, raw_html string, version int").json(target)
+    return rows.groupBy("spider", "key").agg(F.max_by(F.struct("url", "raw_html"), "version").alias("d")).select("spider", "key", "d.*")
+
+
+# No page of an event has links or other names, so each is a sequence of its own.
+_tables_sql = f"""WITH {_fe}, {_cfg}, txt AS (SELECT event_id, lower(event_id || ':' || event_type) AS text FROM fe), {i.simhash_sql('txt', 'event_id', 'sim')},
+v AS (SELECT fe.spider, fe.key, fe.url, s.hash, epoch(fetched_at)::BIGINT AS tm, lag(s.hash) OVER w AS prev, row_number() OVER w AS n,
+  count(*) OVER (PARTITION BY fe.spider, fe.key) AS visits, c.strategy, c.refetching_delay AS d
+  FROM fe JOIN sim s USING (event_id) JOIN config c USING (spider) WINDOW w AS (PARTITION BY fe.spider, fe.key ORDER BY fetched_at, fe.url)),
+j AS (SELECT *, tm + CASE WHEN strategy = 'base' THEN d ELSE 7200 END AS due, CASE WHEN strategy = 'base' THEN d ELSE 7200 END AS nd,
+  prev IS NULL OR bit_count(xor(hash, prev)) >= 3 AS changed FROM v)
+SELECT 'seen' AS tbl, spider, key AS item, hash::VARCHAR AS a, '1 ' || key AS b FROM j WHERE n = visits
+UNION ALL SELECT DISTINCT 'frontier', spider, url, '3 ' || due, nd || ' 0' FROM j
+UNION ALL SELECT 'frontier', spider, unnest(start_urls), '1 1', coalesce(restart_delay, 0) || ' 0' FROM config
+UNION ALL SELECT 'feed', spider, url, max(tm)::VARCHAR, '' FROM j WHERE changed GROUP BY spider, url"""
+
 _stream_sql = (merge_sql("true").replace("WHEN 'error' THEN 503", "WHEN 'error' THEN 301").replace("WHERE c_acctbal > 0", "WHERE false")
                .replace("coalesce(body.hash, old.hash) AS hash, history", "history"))
 
@@ -209,4 +247,6 @@ QUERIES = {
     "change_feed_stream": (change_feed_stream, _feed_sql),
     "crawl_step": (crawl_step, step_sql()),
     "crawl_stream": (crawl_stream, _stream_sql),
+    "crawl_stream_tables": (crawl_stream_tables, _tables_sql),
+    "crawl_sink": (crawl_sink, f"SELECT spider, key, url, raw_html FROM ({_stream_sql})"),
 }

@@ -5,20 +5,23 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import inputs as i
-from webfurrow.functions import outcomes, refetch
+from webfurrow.functions import outcomes, refetch, urls
 from webfurrow.operators import frontier as fr
 from webfurrow.operators.fetches import resolve_attempts, route
 from webfurrow.operators.lookup import of_spiders, with_config
+from webfurrow.plans.replay import known_at
 from webfurrow.plans.take import IN_FLIGHT, take_items
 from webfurrow.plans.reschedule import judge, refetch_items, timed
 from webfurrow.sources.tables import read_seed_file, usable_seeds
-from webfurrow.session import staging_path
+from webfurrow.session import default_stage, staging_path
 
 _fe, _fr, _ss, _cfg, _pg = i.fetches_sql, i.frontier_sql, i.site_seen_sql, i.config_sql, i.pages_sql
 _cols = "spider, source, score, url, next_delay, depth"
 # Items per spider that one call takes from the frontier.
 TAKE = 50
 TAKE_MANY = 5000
+# Items per spider that one of several calls plans.
+CARRIED = 7
 
 
 def seed_load(spark, sf):
@@ -41,6 +44,16 @@ def frontier_enqueue(spark, sf):
     return fr.enqueue_links(stored.select(*fr.COLUMNS).distinct(), _links(spark, sf), i.site_seen(spark, sf))
 
 
+def link_asof(spark, sf):
+    """Every event is a fetch, and its page links to another page of the site: how many links of each page
+    found it stored, by the table or by a fetch before them, and how many did not."""
+    f = i.fetches(spark, sf).select("spider", "key", F.col("fetched_at").alias("at"), F.col("url").alias("visit"), "event_id", "user_number")
+    target = i.site_url(F.col("user_number") + 3 * (F.col("event_id") % 50))
+    links = f.withColumn("key", urls.canonize(target)).drop("user_number")
+    judged = known_at(links, f, i.site_seen(spark, sf), ["at", "visit", "event_id"])
+    return judged.groupBy("spider", "key").agg(F.count_if("known").alias("n_known"), F.count_if(~F.col("known")).alias("n_new"))
+
+
 def frontier_bootstrap(spark, sf):
     seeds = i.pages(spark, sf).select("spider", "url", (F.col("page_id") % 6).cast("string").alias("depth"))
     return fr.enqueue_seeds(i.frontier(spark, sf).select(*fr.COLUMNS).distinct(), seeds, i.page_seen(spark, sf))
@@ -84,6 +97,22 @@ def fetch_plan(spark, sf):
     return fr.fetch_plan(_next(spark, sf), i.config(spark), F.lit(i.NOW)).select("spider", "rank", "url", "planned_at")
 
 
+def fetch_plan_carry(spark, sf):
+    """Three calls within a minute, each on what the ones before left: no second is planned twice."""
+    left, seen, config = i.frontier(spark, sf).select(*fr.COLUMNS).distinct(), i.site_seen(spark, sf), i.config(spark)
+    free, out = None, None
+    for call in range(3):
+        stage = default_stage(spark, "plan")
+        now = F.lit(i.NOW + 30 * call)
+        items = stage(fr.next_items(left, seen, now, CARRIED), "items")
+        planned = stage(fr.fetch_plan(items, config, now, free), "planned")
+        free = stage(fr.next_free(planned, config, free), "free")
+        left = stage(fr.remove_items(left, items), "left")
+        rows = planned.select(F.lit(call).alias("call"), "spider", "rank", "url", "planned_at")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def multi_site(spark, sf):
     """Next items of two chosen spiders."""
     chosen = i.config(spark).filter(F.col("spider") != "s1")
@@ -215,6 +244,24 @@ SELECT 2, 'left', spider, url, '', score FROM (SELECT * FROM f2 EXCEPT SELECT {_
 SELECT 2, 'out', spider, url, '', score FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2) WHERE admitted"""
 
 
+def _carry_sql() -> str:
+    parts, source = [], "f0"
+    for call in range(3):
+        start = f"greatest({i.NOW + 30 * call}, {f'coalesce(free_at, 0)' if call else '0'})"
+        parts.append(f"""t{call} AS (SELECT *, row_number() OVER (PARTITION BY spider ORDER BY source, score, url, next_delay, depth) AS rank FROM (
+  SELECT * FROM {source} WHERE source <> 2 AND score <= {i.NOW + 30 * call} UNION ALL
+  (SELECT * FROM {source} f WHERE source = 2 AND NOT EXISTS (SELECT 1 FROM site_seen s WHERE s.spider = f.spider AND s.key = replace(f.url, 'http://', ''))
+   QUALIFY row_number() OVER (PARTITION BY spider, url ORDER BY score, depth) = 1)) QUALIFY rank <= {CARRIED}),
+p{call} AS (SELECT {call} AS call, t.*, ({start} + (rank - 1) * spider_delay)::BIGINT AS planned_at, spider_delay
+  FROM t{call} t JOIN config USING (spider) {f'LEFT JOIN e{call - 1} USING (spider)' if call else ''}),
+e{call} AS (SELECT spider, max(planned_at + spider_delay) AS free_at FROM ({' UNION ALL '.join(f'SELECT spider, planned_at, spider_delay FROM p{c}' for c in range(call + 1))}) GROUP BY spider),
+f{call + 1} AS (SELECT * FROM {source} EXCEPT SELECT {_cols} FROM t{call})""")
+        source = f"f{call + 1}"
+    first = f"f0 AS (SELECT DISTINCT spider, source, score::BIGINT AS score, url, next_delay, depth FROM fr)"
+    return (f"WITH {_fe}, {_fr}, {_ss}, {_cfg}, {first}, {', '.join(parts)} "
+            + " UNION ALL ".join(f"SELECT call, spider, rank, url, planned_at FROM p{c}" for c in range(3)))
+
+
 def policy_sql(strategy: str, d: str, restart: str, unchanged: str, is_new: str) -> str:
     first = f"WHEN {is_new} OR delay = 0 THEN {d if strategy == 'base' else 7200}"
     if strategy == "base":
@@ -251,6 +298,12 @@ QUERIES = {
     "frontier_list": (frontier_list, f"WITH {_fe}, {_fr} SELECT DISTINCT {_cols} FROM fr"),
     "frontier_enqueue": (frontier_enqueue, f"WITH {_fe}, {_fr}, {_ss} SELECT DISTINCT {_cols} FROM fr WHERE event_type = 'view' UNION "
                          "SELECT spider, 2, depth + 1, url, 0, depth + 1 FROM fe ANTI JOIN site_seen USING (spider, key) WHERE event_type = 'click'"),
+    "link_asof": (link_asof, f"WITH {_fe}, {_ss}, fv AS (SELECT spider, key, min(row(fetched_at, url, event_id)) AS seen_at FROM fe GROUP BY 1, 2), "
+                  "lk AS (SELECT spider, 'site' || ((user_id + 3 * (event_id % 50)) % 7) || '.example.com/p/' || (user_id + 3 * (event_id % 50)) AS key, "
+                  "row(fetched_at, url, event_id) AS found_at FROM fe JOIN events USING (event_id)), "
+                  "j AS (SELECT lk.*, s.key IS NOT NULL OR coalesce(seen_at < found_at, false) AS known FROM lk LEFT JOIN fv USING (spider, key) "
+                  "LEFT JOIN site_seen s ON s.spider = lk.spider AND s.key = lk.key) "
+                  "SELECT spider, key, count_if(known)::BIGINT AS n_known, count_if(NOT known)::BIGINT AS n_new FROM j GROUP BY 1, 2"),
     "frontier_bootstrap": (frontier_bootstrap, f"WITH {_fe}, {_fr}, {_pg}, {i.page_seen_sql}, k AS (SELECT spider, page_id, url, {i.canonize_sql('url')} AS key FROM pg) "
                            f"SELECT DISTINCT {_cols} FROM fr UNION SELECT spider, 2, page_id % 6 + 2, url, 0, page_id % 6 + 2 FROM k ANTI JOIN seen USING (spider, key)"),
     "frontier_seed": (frontier_seed, f"WITH {_fe}, {_fr}, {_cfg} SELECT DISTINCT {_cols} FROM fr WHERE source <> 1 UNION "
@@ -260,6 +313,7 @@ QUERIES = {
     "frontier_take": (frontier_take, _take_sql),
     "fetch_plan": (fetch_plan, f"WITH {_fe}, {_fr}, {_ss}, {_cfg}, {_due_sql} SELECT spider, rank, url, ({i.NOW} + (rank - 1) * spider_delay)::BIGINT AS planned_at "
                    "FROM nx JOIN config USING (spider)"),
+    "fetch_plan_carry": (fetch_plan_carry, _carry_sql()),
     "multi_site": (multi_site, _next_sql + " WHERE spider IN ('s0', 's2')"),
     "frontier_push": (frontier_push, f"WITH {_fe} SELECT spider, url, arg_max(floor(value * 100)::BIGINT, event_id) AS score FROM fe GROUP BY 1, 2"),
     "frontier_remove": (frontier_remove, f"WITH {_fe}, {_fr} SELECT DISTINCT {_cols} FROM fr EXCEPT SELECT {_cols} FROM fr WHERE event_type = 'purchase'"),

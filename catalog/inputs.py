@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webfurrow.functions import fingerprint, urls
+from webfurrow.operators.alias_groups import SeenGroups, node
 from webfurrow.schemas import spider_config
 
 PARAMS = ["utm_source", "ref"]
@@ -168,6 +169,16 @@ def page_seen(spark: SparkSession, sf: str, page_hash: Column | None = None) ->
                        F.lit(1).cast("bigint").alias("count"), names.alias("alternatives"))
 
 
+def page_groups(spark: SparkSession, sf: str) -> SeenGroups:
+    """The same table as groups: each page with its m. alias."""
+    seen = page_seen(spark, sf)
+    main = F.element_at("alternatives", 1)
+    comp = node(F.col("spider"), main).alias("comp")
+    return SeenGroups(
+        seen.select("spider", "key", comp, main.alias("grp"), F.lit(True).alias("live"), F.lit(0).cast("bigint").alias("extra")),
+        seen.filter(F.col("key") == main).select("spider", comp, F.col("key").alias("grp"), "page_hash", "count"))
+
+
 page_seen_sql = f"""sm AS (SELECT spider, {canonize_sql('url')} AS main, max({md5_number_sql('html')}) AS page_hash
   FROM pg WHERE md5({canonize_sql('url')}) < '8' GROUP BY ALL),
 seen AS (SELECT spider, unnest([main, 'm.' || main]) AS key, page_hash, 1::BIGINT AS count,
@@ -185,7 +196,7 @@ def fetches(spark: SparkSession, sf: str) -> DataFrame:
     delay = F.element_at(F.array(*[F.lit(d).cast("bigint") for d in DELAYS]), (eid % 7 + 1).cast("int"))
     url = site_url(F.col("user_id"))
     return e.select(
-        "event_id", "event_type", "value", F.concat(F.lit("s"), F.col("user_id") % 3).alias("spider"),
+        "event_id", "event_type", "value", F.col("user_id").alias("user_number"), F.concat(F.lit("s"), F.col("user_id") % 3).alias("spider"),
         url.alias("url"), urls.canonize(url).alias("key"), F.col("ts").cast("timestamp").alias("fetched_at"),
         F.floor(F.col("value")).cast("bigint").alias("dhash"),
         F.when(kind == "signup", 304).when(kind == "error", 503).otherwise(200).alias("status"),

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from catalog import inputs as i
 from webfurrow.functions import fingerprint, urls
 from webfurrow.operators import seen as sn
+from webfurrow.operators.alias_groups import hit, remove
+from webfurrow.plans.replay import store
+from webfurrow.session import default_stage
 
 _pg, _seen = i.pages_sql, i.page_seen_sql
 
@@ -49,22 +52,27 @@ visits_sql = f"""vi AS (SELECT page_id, spider, url, {i.md5_number_sql('html ||
   [url, 'https://www.' || {i.domain_sql('url')} || '/' || (page_id % 5), 'http://' || {i.domain_sql('url')} || '/'] AS names,
   1704067200 + page_id * 61 AS tm FROM pg)"""
 
-upserts_sql = f"""vk AS (SELECT *, {i.canonize_sql('url')} AS main, list_distinct(list_transform(names, lambda n: {i.canonize_sql('n')})) AS alts FROM vi),
-prev AS (SELECT spider, key AS main, alternatives AS prev FROM seen),
-wr AS (SELECT v.spider, unnest(list_distinct(v.alts || coalesce(p.prev, []))) AS key, v.tm, v.url, v.dhash,
-  list_distinct(v.alts || coalesce(p.prev, [])) AS alternatives FROM vk v LEFT JOIN prev p USING (spider, main)),
-up AS (SELECT spider, key, dhash AS page_hash, 1::BIGINT AS count, alternatives FROM wr
-  QUALIFY row_number() OVER (PARTITION BY spider, key ORDER BY tm DESC, url DESC) = 1)"""
+# One page after another: the whole table of a spider after each of its visits.
+upserts_sql = f"""ev AS (SELECT spider, row_number() OVER (PARTITION BY spider ORDER BY tm, url) AS n, {i.canonize_sql('url')} AS main, dhash,
+  list_distinct(list_transform(names, lambda n: {i.canonize_sql('n')})) AS alts FROM vi),
+st AS (SELECT spider, 0::BIGINT AS n, list({{'key': key, 'page_hash': page_hash, 'count': count, 'names': alternatives}}) AS seen FROM seen GROUP BY spider
+  UNION ALL SELECT spider, n, list_filter(seen, lambda e: NOT list_contains(names, e.key)) || list_transform(names,
+    lambda k: {{'key': k, 'page_hash': dhash, 'count': 1::BIGINT, 'names': names}}) FROM (
+    SELECT ev.spider, ev.n, dhash, seen, list_distinct(alts || coalesce(list_filter(seen, lambda e: e.key = main)[1].names, [])) AS names
+    FROM st JOIN ev ON ev.spider = st.spider AND ev.n = st.n + 1)),
+ns AS (SELECT spider, unnest(seen) AS e FROM st QUALIFY row_number() OVER (PARTITION BY spider ORDER BY n DESC) = 1)"""
 
 
 def seen_upsert(spark, sf):
-    return _flat(sn.add(page_visits(spark, sf), i.page_seen(spark, sf)))
+    """The pages stored one by one; those of a host share the address of its home page."""
+    pages = page_visits(spark, sf).drop("page_id")
+    return _flat(store(i.page_groups(spark, sf), pages, default_stage(spark, "upsert")).flat())
 
 
 def seen_delete(spark, sf):
     """Pages that carry a campaign parameter go, by either scheme."""
     unwanted = i.pages(spark, sf).filter(F.contains("url", F.lit("utm_source"))).select("spider", "url")
-    return _flat(sn.delete(unwanted, i.page_seen(spark, sf)))
+    return _flat(remove(i.page_groups(spark, sf), sn.with_key(unwanted), default_stage(spark, "delete")).flat())
 
 
 def event_links(spark, sf):
@@ -74,7 +82,8 @@ def event_links(spark, sf):
 
 
 def seen_increment(spark, sf):
-    return _flat(sn.increment(event_links(spark, sf), i.page_seen(spark, sf)))
+    state, _ = hit(i.page_groups(spark, sf), sn.link_counts(event_links(spark, sf)), default_stage(spark, "increment"))
+    return _flat(state.flat())
 
 
 QUERIES = {
@@ -85,8 +94,8 @@ QUERIES = {
     "seen_contains": (seen_contains, f"WITH {_pg}, {_seen}, k AS (SELECT DISTINCT spider, {i.canonize_sql('url')} AS key FROM pg) "
                       "SELECT spider, key, EXISTS (SELECT 1 FROM seen s WHERE s.spider = k.spider AND s.key = k.key) AS known FROM k"),
     "seen_size": (seen_size, f"WITH {_pg}, {_seen} SELECT spider, count(*) AS n FROM seen GROUP BY 1"),
-    "seen_upsert": (seen_upsert, f"WITH {_pg}, {_seen}, {visits_sql}, {upserts_sql} SELECT {_flat_sql} FROM up UNION ALL "
-                    f"SELECT {_flat_sql} FROM seen ANTI JOIN up USING (spider, key)"),
+    "seen_upsert": (seen_upsert, f"WITH RECURSIVE {_pg}, {_seen}, {visits_sql}, {upserts_sql} SELECT spider, e.key AS key, e.page_hash AS page_hash, "
+                    "e.count AS count, array_to_string(list_sort(e.names), ' ') AS alternatives FROM ns"),
     "seen_delete": (seen_delete, f"WITH {_pg}, {_seen}, k AS (SELECT DISTINCT spider, {i.canonize_sql('url')} AS key FROM pg WHERE url LIKE '%utm_source%'), "
                     "gone AS (SELECT DISTINCT spider, unnest(alternatives) AS key FROM seen SEMI JOIN k USING (spider, key)) "
                     f"SELECT {_flat_sql} FROM seen ANTI JOIN gone USING (spider, key)"),

@@ -10,9 +10,12 @@ from webfurrow.functions import outcomes, refetch
 from webfurrow.operators import documents as docs
 from webfurrow.operators import frontier as fr
 from webfurrow.operators import seen as sn
+from webfurrow.operators.alias_groups import grouped, hit, remove
 from webfurrow.operators.fetches import resolve_attempts, route
 from webfurrow.operators.lookup import first_n, lookup_join, of_spiders, with_config
+from webfurrow.plans.replay import store
 from webfurrow.plans.reschedule import announcements, judge, refetch_items, timed
+from webfurrow.session import default_stage
 from webfurrow.sources.tables import read_seed_file, usable_seeds, write_documents
 
 T0 = dt.datetime(2018, 5, 31)
@@ -39,33 +42,48 @@ def as_dict(seen):
 EMPTY_SEEN = []
 
 
+def changed(spark, seen, change):
+    """Flat table after a change of its groups."""
+    stage = default_stage(spark, "seen")
+    return change(grouped(seen, stage), stage).flat()
+
+
+def added(spark, pages, seen):
+    return changed(spark, seen, lambda state, stage: store(state, pages, stage))
+
+
+def deleted(spark, unwanted, seen):
+    return changed(spark, seen, lambda state, stage: remove(state, sn.with_key(unwanted), stage))
+
+
 def test_add_then_delete(spark):
     names = ["http://shop.example.org/", "https://m.shop.example.org", "http://old-shop.example.net"]
     keys = ["m.shop.example.org", "old-shop.example.net", "shop.example.org"]
-    seen = sn.add(visits(spark, [(names[0], [*names, None, ""], 77, 0)]), seen_table(spark, EMPTY_SEEN))
+    seen = added(spark, visits(spark, [(names[0], [*names, None, ""], 77, 0)]), seen_table(spark, EMPTY_SEEN))
     assert as_dict(seen) == {k: (77, 1, keys) for k in keys}
-    assert as_dict(sn.delete(urls_df(spark, ["blog.example.org"]), seen)) == as_dict(seen)
-    assert as_dict(sn.delete(urls_df(spark, [names[2]]), seen)) == {}
+    assert as_dict(deleted(spark, urls_df(spark, ["blog.example.org"]), seen)) == as_dict(seen)
+    assert as_dict(deleted(spark, urls_df(spark, [names[2]]), seen)) == {}
     assert sn.size(seen).first().n == 3
 
 
 def test_add_merges_the_stored_aliases(spark):
-    first = sn.add(visits(spark, [("http://a?q=test", ["http://a?q=test", "http://b/", "https://c"], 1, 0)]), seen_table(spark, EMPTY_SEEN))
-    second = as_dict(sn.add(visits(spark, [("http://b", ["http://b", "http://d"], 2, 1)]), first))
+    first = added(spark, visits(spark, [("http://a?q=test", ["http://a?q=test", "http://b/", "https://c"], 1, 0)]), seen_table(spark, EMPTY_SEEN))
+    second = as_dict(added(spark, visits(spark, [("http://b", ["http://b", "http://d"], 2, 1)]), first))
     names = ["a%3Fq%3Dtest", "b", "c", "d"]
     assert second == {k: (2, 1, names) for k in names}
 
 
-def test_last_visit_of_a_batch_wins(spark):
+def test_visits_of_a_batch_are_stored_one_after_another(spark):
     stored = seen_table(spark, [("a", 1, 5, ["a", "x"]), ("x", 1, 5, ["a", "x"]), ("z", 9, 3, ["z"])])
-    out = as_dict(sn.add(visits(spark, [("http://a", ["http://a", "http://p"], 7, 1), ("http://a", ["http://a", "http://q"], 8, 2)]), stored))
-    assert out == {"a": (8, 1, ["a", "q", "x"]), "x": (8, 1, ["a", "q", "x"]), "q": (8, 1, ["a", "q", "x"]),
-                   "p": (7, 1, ["a", "p", "x"]), "z": (9, 3, ["z"])}
+    out = as_dict(added(spark, visits(spark, [("http://a", ["http://a", "http://p"], 7, 1), ("http://a", ["http://a", "http://q"], 8, 2)]), stored))
+    names = ["a", "p", "q", "x"]  # the second visit takes over the names of the first
+    assert out == {k: (8, 1, names) for k in names} | {"z": (9, 3, ["z"])}
 
 
 def test_increment_counts_each_link_of_a_group(spark):
     stored = seen_table(spark, [("r1", 1, 1, ["r1", "r3"]), ("r3", 1, 1, ["r1", "r3"]), ("r4", 2, 1, ["r4"])])
-    out = as_dict(sn.increment(urls_df(spark, ["http://r1", "https://r3/", "http://r2"]), stored))
+    counts = sn.link_counts(urls_df(spark, ["http://r1", "https://r3/", "http://r2"]))
+    out = as_dict(changed(spark, stored, lambda state, stage: hit(state, counts, stage)[0]))
     assert out["r1"][1] == 3 and out["r3"][1] == 3 and out["r4"][1] == 1
     assert {r.url for r in sn.new_urls(urls_df(spark, ["http://r1", "http://r2"]), stored).collect()} == {"http://r2"}
     assert {(r.key, r.known) for r in sn.contains(urls_df(spark, ["http://r1", "http://r2"]), stored).collect()} == {("r1", True), ("r2", False)}
@@ -121,6 +139,13 @@ def test_next_items_order_and_limits(spark):
     config = schemas.spider_config(spark, [{"spider": "s", "delay": 20}, {"spider": "t"}])
     plan = fr.fetch_plan(out, config, F.lit(100)).filter("spider = 's'").orderBy("rank")
     assert [r.planned_at for r in plan.collect()] == [100, 120, 140, 160]
+    # The next call, a little later, starts after the last second the one before has planned.
+    free = fr.next_free(plan, config)
+    again = fr.fetch_plan(out, config, F.lit(130), free).filter("spider = 's'").orderBy("rank")
+    assert [r.planned_at for r in again.collect()] == [180, 200, 220, 240]
+    late = fr.fetch_plan(out, config, F.lit(500), fr.next_free(again, config, free)).filter("spider = 's'").orderBy("rank")
+    assert [r.planned_at for r in late.collect()] == [500, 520, 540, 560]
+    assert [tuple(r) for r in fr.next_free(again.limit(0), config, free).collect()] == [("s", 180)]
     rest = fr.remove_items(frontier, out)
     assert rest.count() == 4 and fr.clear(rest, 2).count() == 2
     assert {r.url for r in frontier.join(fr.drop_seen(frontier, seen), fr.COLUMNS, "left_anti").collect()} == {"http://old"}

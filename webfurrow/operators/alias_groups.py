@@ -53,6 +53,24 @@ class SeenGroups:
         """Stored keys: spider, key."""
         return self.aliases.filter("live").select(*KEY)
 
+    def around(self, wanted: DataFrame, stage: Stage) -> tuple[DataFrame, SeenGroups]:
+        """``spider, key, comp`` of the wanted keys (each once) that stand in a list, and all lists of these components."""
+        known = stage(self.aliases.join(wanted, KEY, "left_semi").select(*KEY, "comp").distinct(), "known-keys")
+        comps = known.select("comp").distinct()
+        lists = SeenGroups(self.aliases.join(comps, "comp", "left_semi").select(*ALIASES.fieldNames()),
+                           self.groups.join(comps, "comp", "left_semi").select(*GROUPS.fieldNames()))
+        return known, lists.staged(stage)
+
+    def staged(self, stage: Stage) -> SeenGroups:
+        return SeenGroups(stage(self.aliases, "lists"), stage(self.groups, "list-groups"))
+
+    def after(self, step: SeenStep) -> SeenGroups:
+        """The whole table after a step that was taken on it."""
+        comps = step.before.aliases.select("comp").distinct()
+        return SeenGroups(
+            self.aliases.join(comps, "comp", "left_anti").select(*ALIASES.fieldNames()).unionByName(step.state.aliases),
+            self.groups.join(comps, "comp", "left_anti").select(*GROUPS.fieldNames()).unionByName(step.state.groups))
+
     def flat(self) -> DataFrame:
         """The seen table with one row per stored key and its whole list of names."""
         names = self.aliases.groupBy("spider", "grp").agg(F.array_sort(F.collect_list("key")).alias("alternatives"))
@@ -61,6 +79,18 @@ class SeenGroups:
             *KEY, "page_hash", (F.col("count") + F.col("extra")).alias("count"), "alternatives")
 
 
+@dataclass(frozen=True)
+class SeenStep:
+    """``judged``: row, is_new, is_changed of each stored visit. ``unknown``: links whose page was not stored
+    when they were found, with the ORDER of their page where it matters. ``before`` and ``state``: the
+    touched lists before and after the batch; all others stay as they are."""
+
+    judged: DataFrame
+    unknown: DataFrame
+    before: SeenGroups
+    state: SeenGroups
+
+
 def node(spider: Column, key: Column) -> Column:
     """Number of a key. Keys that share a number only share a component."""
     return F.xxhash64(spider, key)
@@ -88,6 +118,38 @@ def grouped(seen: DataFrame, stage: Stage) -> SeenGroups:
     return SeenGroups(aliases, groups.join(of_group, ["spider", "grp"]).select(*GROUPS.fieldNames()))
 
 
+def hit(state: SeenGroups, counts: DataFrame, stage: Stage) -> tuple[SeenGroups, DataFrame]:
+    """The lists after ``n`` hits on each key of ``counts`` (spider, key, n), and the keys that are stored.
+
+    A list is raised once, however many names it has. Only names that have moved to another list get
+    their share by name.
+    """
+    found = stage(state.aliases.filter("live").join(counts, KEY).select(*KEY, "grp", "n"), "hits")
+    per_group = found.groupBy("spider", "grp").agg(F.sum("n").alias("n"))
+    surplus = state.aliases.filter("NOT live").join(per_group, ["spider", "grp"]).groupBy(*KEY).agg(F.sum("n").alias("surplus"))
+    aliases = (state.aliases.join(surplus, KEY, "left")
+               .withColumn("extra", F.col("extra") + F.when(F.col("live"), F.coalesce("surplus", F.lit(0))).otherwise(0)).drop("surplus"))
+    groups = (state.groups.join(per_group, ["spider", "grp"], "left")
+              .withColumn("count", F.col("count") + F.coalesce("n", F.lit(0))).drop("n"))
+    return SeenGroups(aliases.select(*ALIASES.fieldNames()), groups.select(*GROUPS.fieldNames())), found.select(*KEY)
+
+
+def remove(state: SeenGroups, keys: DataFrame, stage: Stage) -> SeenGroups:
+    """The lists after all names of the lists of ``keys`` (spider, key) were deleted.
+
+    A deleted name stays in the other lists it stands in, and a list without a stored key goes.
+    """
+    lists = state.aliases.filter("live").join(keys.select(*KEY).distinct(), KEY, "left_semi").select("spider", "grp").distinct()
+    gone = stage(state.aliases.join(lists, ["spider", "grp"], "left_semi").select(*KEY).distinct(), "gone")
+    left = state.aliases.join(gone.withColumn("_gone", F.lit(True)), KEY, "left")
+    cut = F.col("live") & F.col("_gone").isNotNull()
+    empty = stage(left.groupBy("spider", "grp").agg(F.max(cut).alias("cut"), F.max(F.col("live") & ~cut).alias("kept"))
+                  .filter("cut AND NOT kept").select("spider", "grp"), "empty")
+    rows = left.withColumns({"live": F.col("live") & ~cut, "extra": F.when(cut, 0).otherwise(F.col("extra")).cast("bigint")}).drop("_gone")
+    return SeenGroups(rows.select(*ALIASES.fieldNames()).join(empty, ["spider", "grp"], "left_anti").select(*ALIASES.fieldNames()),
+                      state.groups.join(empty, ["spider", "grp"], "left_anti"))
+
+
 class Group:
     """A list of names in memory: its live keys, the other names, and live keys with an own surplus."""
 
@@ -275,7 +337,7 @@ def replay(stored: SeenGroups, events: DataFrame, hits: DataFrame | None, stage:
     ordered = every.repartition("label").sortWithinPartitions("label", *ORDER, "kind").select(*_IN)
     done = stage(ordered.mapInArrow(_replay_rows, _OUT), "replayed")
     alias = done.filter(F.col("kind") == _ALIAS).select(
-        "spider", "key", F.col("label").alias("comp"), "grp", "live", F.col("n").alias("extra"))
+        "spider", "key", F.col("label").alias("comp"), "grp", "live", F.col("n").alias("extra")).select(*ALIASES.fieldNames())
     group = done.filter(F.col("kind") == _GROUP).select("spider", F.col("label").alias("comp"), "grp", "page_hash", F.col("n").alias("count"))
     return Replayed(
         visits=done.filter(F.col("kind") == _STORE).select("row", (~F.col("known")).alias("is_new"), F.col("changed").alias("is_changed")),

@@ -14,8 +14,8 @@ def components(edges: DataFrame, stage: Stage) -> DataFrame:
     """``node, label``: the smallest node each node of ``edges`` (``a``, ``b``, whole numbers) is connected with.
 
     In a round every node takes the smallest label around it, and then the label of that label, so
-    the rounds grow with the logarithm of the longest path. Labels are staged; a count is all that
-    meets the driver.
+    the rounds grow with the logarithm of the longest path. Labels are staged; whether one has moved is
+    all that meets the driver.
     """
     both = stage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "labels-0")
@@ -23,11 +23,10 @@ def components(edges: DataFrame, stage: Stage) -> DataFrame:
     while True:
         number += 1
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        better = labels.join(near, labels.node == near.a).select("node", F.least("label", "near").alias("label"))
+        better = labels.join(near, labels.node == near.a).select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         jump = better.select(F.col("node").alias("via"), F.col("label").alias("far"))
         after = stage(better.join(jump, better.label == jump.via, "left")
-                      .select("node", F.least("label", F.coalesce("far", "label")).alias("label")), f"labels-{number}")
-        moved = after.alias("x").join(labels.alias("y"), "node").filter("x.label <> y.label").limit(1).count()
-        labels = after
-        if not moved:
+                      .select("node", F.least("label", F.coalesce("far", "label")).alias("label"), "old"), f"labels-{number}")
+        labels = after.select("node", "label")
+        if after.filter("label <> old").isEmpty():
             return labels

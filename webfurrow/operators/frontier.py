@@ -94,12 +94,26 @@ def next_items(frontier: DataFrame, seen: DataFrame, now: Column, n: int) -> Dat
     return first_n(due_items(frontier, seen, now), ["spider"], order, n)
 
 
-def fetch_plan(items: DataFrame, config: DataFrame, now: Column) -> DataFrame:
+def fetch_plan(items: DataFrame, config: DataFrame, now: Column, free: DataFrame | None = None) -> DataFrame:
     """Ranked items with the second each may be fetched at: the pause of the spider
-    between two fetches."""
+    between two fetches. ``free`` (spider, free_at), from ``next_free`` of the call before, keeps the pause to its fetches too."""
     planned = with_config(items, config, ["spider_delay"])
+    start = now.cast("bigint")
+    if free is not None:
+        planned = planned.join(free.select("spider", "free_at"), ["spider"], "left")
+        start = F.greatest(start, F.coalesce("free_at", start))
     return planned.select(
-        *items.columns, (now + (F.col("rank") - 1) * F.col("spider_delay")).cast("bigint").alias("planned_at"))
+        *items.columns, (start + (F.col("rank") - 1) * F.col("spider_delay")).cast("bigint").alias("planned_at"))
+
+
+def next_free(planned: DataFrame, config: DataFrame, free: DataFrame | None = None) -> DataFrame:
+    """``spider, free_at``: the first second at which a spider may fetch again after the planned items, to be carried to the
+    next call. Spiders without items keep theirs, and no second is taken back."""
+    after = with_config(planned, config, ["spider_delay"]).groupBy("spider").agg(
+        F.max(F.col("planned_at") + F.col("spider_delay")).cast("bigint").alias("free_at"))
+    if free is None:
+        return after
+    return after.unionByName(free.select("spider", "free_at")).groupBy("spider").agg(F.max("free_at").alias("free_at"))
 
 
 def remove_items(frontier: DataFrame, items: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """The seen table: one row per canonical URL and its aliases.
 
 Every operator returns a new table. Rows to look up are reduced to one per key
-before they meet the table, so a URL linked from everywhere is no hot key.
+before they meet the table, so a URL linked from everywhere is no hot key. What changes the
+table works on its groups of aliases: ``alias_groups`` and ``plans.replay``.
 """
 
 from __future__ import annotations
@@ -10,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webfurrow.functions import urls
-from webfurrow.operators.lookup import lookup_join
 
 KEY = ["spider", "key"]
 
@@ -44,75 +44,7 @@ def size(seen: DataFrame) -> DataFrame:
     return seen.groupBy("spider").agg(F.count("*").alias("n"))
 
 
-def _aliases(rows: DataFrame) -> DataFrame:
-    """One row per alias of each stored row, the row's own key included."""
-    names = F.array_union(F.coalesce("alternatives", F.array().cast("array<string>")), F.array("key"))
-    return rows.withColumn("key", F.explode(names))
-
-
-def deleted_keys(unwanted: DataFrame, seen: DataFrame) -> DataFrame:
-    """Keys that go when the unwanted URLs are deleted: all their aliases."""
-    return _aliases(lookup(unwanted, seen)).select(*KEY).distinct()
-
-
-def delete(unwanted: DataFrame, seen: DataFrame) -> DataFrame:
-    """Table without the unwanted URLs and their aliases."""
-    return seen.join(deleted_keys(unwanted, seen), KEY, "left_anti")
-
-
 def link_counts(links: DataFrame) -> DataFrame:
     """Links per canonical URL, counted before any shuffle."""
     keyed = links if "key" in links.columns else with_key(links)
     return keyed.groupBy(*KEY).agg(F.count("*").alias("n"))
-
-
-def increments(counts: DataFrame, seen: DataFrame) -> DataFrame:
-    """``(spider, key, n)``: links that hit each stored row through any alias."""
-    hit = seen.join(counts, KEY, "inner")
-    return _aliases(hit).groupBy(*KEY).agg(F.sum("n").alias("n"))
-
-
-def increment(links: DataFrame, seen: DataFrame) -> DataFrame:
-    """Table with the counter of every alias raised once per link."""
-    added = increments(link_counts(links), seen)
-    return (seen.join(added, KEY, "left")
-            .withColumn("count", F.col("count") + F.coalesce("n", F.lit(0))).drop("n"))
-
-
-def upserts(pages: DataFrame, seen: DataFrame) -> DataFrame:
-    """Rows written for fetched pages, one per alias.
-
-    ``pages``: spider, url, dhash, alternatives (raw URLs), fetched_at. Each page
-    reads the old table; the last page by ``(fetched_at, url)`` writes a row.
-    """
-    own = pages.select(
-        "spider", urls.canonize(F.col("url")).alias("main"),
-        F.struct("fetched_at", "url").alias("ord"),
-        F.col("dhash").alias("page_hash"),
-        F.array_distinct(F.transform(
-            F.filter("alternatives", lambda a: F.coalesce(a, F.lit("")) != ""), urls.canonize)).alias("alts"))
-    value = F.struct("main", "page_hash", "alts")
-    last = own.groupBy("spider", "main").agg(
-        F.max_by(value, F.col("ord")).alias("value"), F.max("ord").alias("ord"))
-    stored = seen.select("spider", F.col("key").alias("main"), F.col("alternatives").alias("prev"))
-    prev = stored.join(last.select("spider", "main"), ["spider", "main"], "left_semi")
-    # A page writes its own aliases; only the last one of a URL reaches the stored ones.
-    writes = own.select("spider", F.explode("alts").alias("key"), "ord", value.alias("value")).unionByName(
-        last.join(prev, ["spider", "main"]).select("spider", F.explode("prev").alias("key"), "ord", "value"))
-    winners = writes.groupBy(*KEY).agg(F.max_by("value", "ord").alias("value")).select(*KEY, "value.*")
-    joined = lookup_join(winners, prev, ["spider", "main"])
-    names = F.concat("alts", F.coalesce("prev", F.array().cast("array<string>")))
-    return joined.select(
-        *KEY, "page_hash", F.lit(1).cast("bigint").alias("count"),
-        F.array_sort(F.array_distinct(names)).alias("alternatives"))
-
-
-def replace_rows(seen: DataFrame, rows: DataFrame) -> DataFrame:
-    """Table with ``rows`` put in by key; all others stay."""
-    kept = seen.join(rows.select(*KEY), KEY, "left_anti")
-    return kept.unionByName(rows)
-
-
-def add(pages: DataFrame, seen: DataFrame) -> DataFrame:
-    """Table after the fetched pages were stored."""
-    return replace_rows(seen, upserts(pages, seen))

@@ -11,7 +11,7 @@ from webfurrow.functions import urls
 from webfurrow.operators import documents as docs
 from webfurrow.operators import frontier as fr
 from webfurrow.operators import seen as sn
-from webfurrow.operators.alias_groups import ORDER, SeenGroups
+from webfurrow.operators.alias_groups import ORDER, SeenGroups, SeenStep
 from webfurrow.operators.components import Stage
 from webfurrow.operators.fetches import ITEM, resolve_attempts, route
 from webfurrow.operators.lookup import with_config
@@ -23,15 +23,20 @@ from webfurrow.session import default_stage
 
 @dataclass(frozen=True)
 class StepResult:
-    """Tables after the step, and what happened in it."""
+    """What a step does to the tables, and what happened in it."""
 
-    seen: SeenGroups
-    frontier: DataFrame
+    seen: SeenStep
+    fetched: DataFrame  # items that leave the frontier
+    pushed: DataFrame  # items that come into it, after that
     document_changes: DataFrame
     change_feed: DataFrame
     outcomes: DataFrame
     links: DataFrame
 
+    def frontier(self, before: DataFrame) -> DataFrame:
+        """The whole frontier after the step."""
+        return fr.push(fr.remove_items(before, self.fetched), self.pushed)
+
 
 def visit_batch(log: DataFrame, config: DataFrame) -> DataFrame:
     """Fetch results per item: admission, outcome and the parsed page.
@@ -82,15 +87,15 @@ def _in_order(pushes: DataFrame, fetched: DataFrame) -> DataFrame:
             .select(*fr.COLUMNS))
 
 
-def crawl_step(log: DataFrame, seen: SeenGroups, frontier: DataFrame, document_state: DataFrame,
-               config: DataFrame, robots_rules: DataFrame, now: Column, stage: Stage | None = None,
-               max_doc_bytes: int | None = None) -> StepResult:
-    """New tables after a batch of fetch results, the same as if they had come one by one.
+def crawl_step(log: DataFrame, seen: SeenGroups, document_state: DataFrame, config: DataFrame, robots_rules: DataFrame,
+               now: Column, stage: Stage | None = None, max_doc_bytes: int | None = None) -> StepResult:
+    """Changes of the tables by a batch of fetch results, the same as if they had come one by one.
 
-    ``document_state``: spider, key, history of the stored documents. ``now`` may
-    use columns of the log, such as the fetch time. Results come in the order of fetch time and URL,
-    whatever the batches: aliases, counters, links, timing and frontier items of a batch are
-    those of the sequential crawl. Results several branches need are staged, by default in the shared folder.
+    ``seen`` and ``document_state`` (spider, key, history of the stored documents) are tables, or stored
+    ones that are read only around the keys of the batch. ``now`` may use columns of the log, such as the fetch
+    time. Results come in the order of fetch time and URL, whatever the batches: aliases, counters, links,
+    timing and frontier items of a batch are those of the sequential crawl. Results several branches need
+    are staged, by default in the shared folder.
     """
     stage = stage or default_stage(log.sparkSession, "crawl-step")
     visits = stage(with_order(visit_batch(log, config)), "visits")
@@ -104,15 +109,16 @@ def crawl_step(log: DataFrame, seen: SeenGroups, frontier: DataFrame, document_s
     judged = stage(visits.filter("visited").join(step.judged, "row").withColumn("url", F.col("visit_url"))
                    .withColumn("status", F.when(F.col("parsed"), F.col("status_code")))
                    .drop("links", "raw_html", "content", "text"), "judged")
-    plan = timed(judged, now)
     fetched = visits.select("spider", "source", "score", "url", F.col("delay").alias("next_delay"), "depth", *ORDER)
-    pushes = fr.normal_items(step.unknown, ORDER).unionByName(refetch_items(plan, ORDER))
-    next_frontier = fr.push(fr.remove_items(frontier, fetched), _in_order(pushes, fetched))
+    pushes = fr.normal_items(step.unknown, ORDER).unionByName(refetch_items(timed(judged, now), ORDER))
+    documents = document_batch(visits)
+    known = document_state if isinstance(document_state, DataFrame) else document_state.around(documents.select(*sn.KEY))
 
     return StepResult(
-        seen=step.state,
-        frontier=next_frontier,
-        document_changes=docs.document_changes(document_state, document_batch(visits), max_doc_bytes),
+        seen=step,
+        fetched=fetched.select(*fr.COLUMNS).distinct(),
+        pushed=_in_order(pushes, fetched),
+        document_changes=docs.document_changes(known, documents, max_doc_bytes),
         change_feed=announcements(judged, now),
         outcomes=visits.select(*ITEM, "outcome", "route", "admitted", "to_remove", "nurl"),
         links=links)

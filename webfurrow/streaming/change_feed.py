@@ -10,42 +10,27 @@ from webfurrow.functions import fingerprint
 from webfurrow.operators.seen import KEY
 from webfurrow.plans.change_log import with_previous
 from webfurrow.session import staged_under
-from webfurrow.sources.snapshots import SCHEMAS, Snapshots
-
-#: A version of the hash table holds the pages of its batch; each of this many holds all pages.
-FULL_EVERY = 20
-
-
-def last_hashes(store: Snapshots, version: int) -> DataFrame:
-    """Last hash of each page before batch ``version``: the latest full version and what came after it."""
-    if version == 0:
-        return store.spark.createDataFrame([], SCHEMAS["last_hash"])
-    first = (version - 1) // FULL_EVERY * FULL_EVERY
-    written = [store.read("last_hash", v).withColumn("version", F.lit(v)) for v in range(first, version)]
-    rows = written[0]
-    for more in written[1:]:
-        rows = rows.unionByName(more)
-    return rows.groupBy(*KEY).agg(F.max_by("dhash", "version").alias("dhash"))
+from webfurrow.sources.snapshots import Snapshots
 
 
 def apply_fetches(store: Snapshots, version: int, fetches: DataFrame) -> None:
     """Write the feed of a batch and its last hashes. ``fetches``: spider, key, url, dhash, fetched_at.
 
     Fetches of a page in the batch are compared in the order of time, the first with the stored
-    hash; a missing hash counts as changed. What is written grows with the batch but for every
-    ``FULL_EVERY``-th version, and a repeated batch writes the same files.
+    hash; a missing hash counts as changed. Only the buckets of the batch's pages are read, only its pages
+    are written, and a repeated batch writes the same files.
     """
+    hashes = store.states["last_hash"]
+    if version == 0:
+        hashes.start(-1)
     rows = staged_under(store.path("_staging", version))(
         fetches.select("spider", "key", "url", "dhash", F.col("fetched_at").cast("timestamp").alias("fetched_at")), "fetches")
-    stored = last_hashes(store, version)
-    touched = stored.join(rows.select(*KEY).distinct(), KEY, "left_semi")
-    stepped = with_previous(rows).join(touched.withColumnRenamed("dhash", "_stored"), KEY, "left")
+    stored = hashes.around(version - 1, rows.select(*KEY))
+    stepped = with_previous(rows).join(stored.withColumnRenamed("dhash", "_stored"), KEY, "left")
     previous = F.when(F.col("_previous").isNotNull(), F.col("_previous.dhash")).otherwise(F.col("_stored"))
-    store.write("fetch_feed", version, stepped.filter(fingerprint.is_changed(F.col("dhash"), previous)))
-    ends = rows.groupBy(*KEY).agg(F.max_by("dhash", F.struct("fetched_at", "url")).alias("dhash"))
-    full = version > 0 and version % FULL_EVERY == 0
-    kept = stored.join(ends.select(*KEY), KEY, "left_anti").unionByName(ends) if full else ends
-    store.write("last_hash", version, kept)
+    store.write("fetch_feed", version, stepped.filter(fingerprint.is_changed(F.col("dhash"), previous)).select(*rows.columns))
+    hashes.write(version, rows.groupBy(*KEY).agg(F.max_by("dhash", F.struct("fetched_at", "url")).alias("dhash")))
+    hashes.retain(version)
     store.discard("_staging", version)
 
 
