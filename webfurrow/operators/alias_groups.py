@@ -107,10 +107,13 @@ def grouped(seen: DataFrame, stage: Stage) -> SeenGroups:
                     .withColumn("node", node(F.col("spider"), F.col("key"))), "members")
     labels = members.groupBy("spider", "grp").agg(F.min("node").alias("label"))
     # Only lists that share a name have to be brought together.
-    shared = members.groupBy(*KEY).agg(F.count("*").alias("lists")).filter("lists > 1").select(*KEY)
-    edges = members.join(shared, KEY, "left_semi").join(labels, ["spider", "grp"]).select(F.col("label").alias("a"), F.col("node").alias("b"))
-    joined = components(edges, stage).select(F.col("node").alias("label"), F.col("label").alias("comp"))
-    of_group = stage(labels.join(joined, ["label"], "left").select("spider", "grp", F.coalesce("comp", "label").alias("comp")), "comps")
+    shared = stage(members.groupBy(*KEY).agg(F.count("*").alias("lists")).filter("lists > 1").select(*KEY), "shared")
+    if shared.isEmpty():
+        of_group = labels.withColumnRenamed("label", "comp")
+    else:
+        edges = members.join(shared, KEY, "left_semi").join(labels, ["spider", "grp"]).select(F.col("label").alias("a"), F.col("node").alias("b"))
+        joined = components(edges, stage).select(F.col("node").alias("label"), F.col("label").alias("comp"))
+        of_group = stage(labels.join(joined, ["label"], "left").select("spider", "grp", F.coalesce("comp", "label").alias("comp")), "comps")
     own = rows.select(*KEY, F.col("grp").alias("own"), "count")
     aliases = members.join(own, KEY, "left").join(of_group, ["spider", "grp"]).select(
         *KEY, "comp", "grp", F.coalesce(F.col("own") == F.col("grp"), F.lit(False)).alias("live"),

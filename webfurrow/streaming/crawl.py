@@ -48,7 +48,7 @@ def apply_batch(store: Snapshots, version: int, log: DataFrame, config: DataFram
         old = store.read("frontier", before).filter(F.col("source") == PRIORITY)
         starts = remove_items(reset_start_urls(store.spark.createDataFrame([], FRONTIER), config), gone)
         puts, gone = puts.unionByName(starts).distinct(), gone.unionByName(old.select(*gone.columns)).distinct()
-    store.states["frontier"].write(version, stage(puts, "pushed"), stage(gone, "fetched"))
+    store.states["frontier"].write(version, puts, gone)
     store.write("change_feed", version, result.change_feed)
     store.retain(version)
     store.discard("_staging", version)
