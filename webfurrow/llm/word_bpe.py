@@ -148,6 +148,14 @@ def unpack(packed: bytes, kinds: int) -> np.ndarray:
     return np.frombuffer(packed, dtype="<u2", count=n) + (np.frombuffer(packed, dtype=high, offset=2 * n).astype(np.int64) << 16)
 
 
+class Numbers(dict):
+    """Numbers its keys in the order they are asked for."""
+
+    def __missing__(self, key: str) -> int:
+        number = self[key] = len(self)
+        return number
+
+
 def checksum(marks) -> int:
     """One number for the words of a block in their order, from a number for each."""
     return zlib.crc32(np.asarray(marks, dtype="<u4").tobytes())
@@ -163,7 +171,7 @@ def _block_rows(path: str, column: str, block_chars: int, lists: bool):
         split, part, made = splitter(path), TaskContext.get().partitionId(), 0
         held: list[pa.RecordBatch] = []
         numbers: list[np.ndarray] = []
-        known: dict[str, int] = {}
+        known = Numbers()
         texts_in, chars = 0, 0
 
         def flush():
@@ -194,9 +202,8 @@ def _block_rows(path: str, column: str, block_chars: int, lists: bool):
                     if i > start:
                         held.append(others.slice(start, i - start))
                     yield from flush()
-                    held, numbers, known, texts_in, chars, start, made = [], [], {}, 0, 0, i, made + 1
-                number = known.setdefault
-                own = np.fromiter((number(word, len(known)) for word in found), dtype=np.uint32, count=len(found))
+                    held, numbers, known, texts_in, chars, start, made = [], [], Numbers(), 0, 0, i, made + 1
+                own = np.array(list(map(known.__getitem__, found)), dtype=np.uint32)
                 texts_in, chars = texts_in + 1, chars + len(text or "")
                 if not lists:
                     numbers.append(own)
