@@ -219,10 +219,15 @@ EXAMPLES = {
 
 def examples(spark: SparkSession) -> DataFrame:
     """``kind, right, text, fold``: the written examples."""
-    rows = [(kind, right, f"{before}{value}{after}") for kind, (good, bad) in EXAMPLES.items() for right, groups in ((True, good), (False, bad))
-            for befores, values in groups for before in befores for value in values for after in ("", " today", ".\nNext")]
-    return spark.createDataFrame(rows, "kind string, right boolean, text string").withColumn(
-        "fold", F.pmod(F.xxhash64("text"), F.lit(4)))
+    each = lambda values: F.explode(F.array(*map(F.lit, values)))
+    parts = [spark.range(1).select(F.lit(kind).alias("kind"), F.lit(right).alias("right"), each(befores).alias("a"))
+             .select("kind", "right", "a", each(values).alias("b")).select("kind", "right", F.concat(
+                 F.col("a"), F.col("b"), each(["", " today", ".\nNext"])).alias("text"))
+             for kind, (good, bad) in EXAMPLES.items() for right, groups in ((True, good), (False, bad)) for befores, values in groups]
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+    return rows.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(4)))
 
 
 # ---- training
