@@ -229,7 +229,7 @@ def crawl_sink(spark, sf):
 
 # No page of an event has links or other names, so each is a sequence of its own.
 _tables_sql = f"""WITH {_fe}, {_cfg}, txt AS (SELECT event_id, lower(event_id || ':' || event_type) AS text FROM fe), {i.simhash_sql('txt', 'event_id', 'sim')},
-v AS (SELECT fe.spider, fe.key, fe.url, s.hash, epoch(fetched_at)::BIGINT AS tm, lag(s.hash) OVER w AS prev, row_number() OVER w AS n,
+v AS (SELECT fe.spider, fe.key, fe.url, s.hash, epoch_us(fetched_at) // 1000000 AS tm, lag(s.hash) OVER w AS prev, row_number() OVER w AS n,
   count(*) OVER (PARTITION BY fe.spider, fe.key) AS visits, c.strategy, c.refetching_delay AS d
   FROM fe JOIN sim s USING (event_id) JOIN config c USING (spider) WINDOW w AS (PARTITION BY fe.spider, fe.key ORDER BY fetched_at, fe.url)),
 j AS (SELECT *, tm + CASE WHEN strategy = 'base' THEN d ELSE 7200 END AS due, CASE WHEN strategy = 'base' THEN d ELSE 7200 END AS nd,
