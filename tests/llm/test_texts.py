@@ -139,6 +139,13 @@ def test_personal_data_keeps_every_base_span(docs):
     assert redacted.columns == docs.columns
 
 
+def test_written_examples_are_every_place_before_every_value(spark):
+    wanted = sorted((kind, right, before + value + after) for kind, sides in pii.EXAMPLES.items() for right, groups in zip((True, False), sides)
+                    for befores, values in groups for before in befores for value in values for after in ("", " today", ".\nNext"))
+    rows = pii.examples(spark).collect()
+    assert sorted((r["kind"], r["right"], r["text"]) for r in rows) == wanted and {r["fold"] for r in rows} == {0, 1, 2, 3}
+
+
 def test_long_secrets_are_redacted_whole(spark):
     models = {kind: pii.Boosted(0.0, [], 0.0) for kind in pii.KINDS}  # every proposal passes
     secret = "eyJhbGciOiJIUzI1NiJ9." + "Ab3_x-Z9" * 150 + ".Tail0"

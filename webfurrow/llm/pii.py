@@ -219,14 +219,13 @@ EXAMPLES = {
 
 def examples(spark: SparkSession) -> DataFrame:
     """``kind, right, text, fold``: the written examples."""
-    each = lambda values: F.explode(F.array(*map(F.lit, values)))
-    parts = [spark.range(1).select(F.lit(kind).alias("kind"), F.lit(right).alias("right"), each(befores).alias("a"))
-             .select("kind", "right", "a", each(values).alias("b")).select("kind", "right", F.concat(
-                 F.col("a"), F.col("b"), each(["", " today", ".\nNext"])).alias("text"))
-             for kind, (good, bad) in EXAMPLES.items() for right, groups in ((True, good), (False, bad)) for befores, values in groups]
-    rows = parts[0]
-    for more in parts[1:]:
-        rows = rows.unionByName(more)
+    array = lambda values: F.array(*map(F.lit, values))
+    groups = [F.struct(F.lit(kind).alias("kind"), F.lit(right).alias("right"), array(befores).alias("befores"), array(values).alias("values"))
+              for kind, (good, bad) in EXAMPLES.items() for right, pairs in ((True, good), (False, bad)) for befores, values in pairs]
+    rows = spark.range(1).select(F.inline(F.array(*groups)))
+    # One generator a step: Spark takes none inside another expression.
+    rows = rows.withColumn("before", F.explode("befores")).withColumn("value", F.explode("values"))
+    rows = rows.withColumn("after", F.explode(array(["", " today", ".\nNext"]))).select("kind", "right", F.concat("before", "value", "after").alias("text"))
     return rows.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(4)))
 
 
