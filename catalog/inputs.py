@@ -192,7 +192,9 @@ def site_url(number: Column) -> Column:
 
 
 def fetches(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events")
+    """One row per event. The given file is one row group, which one task would read, and sort before it
+    aggregates, so its rows are dealt by their number; Spark sets how many parts by their size."""
+    e = table(spark, sf, "events").repartition("event_id")
     eid, kind = F.col("event_id"), F.col("event_type")
     delay = F.element_at(F.array(*[F.lit(d).cast("bigint") for d in DELAYS]), (eid % 7 + 1).cast("int"))
     url = site_url(F.col("user_id"))

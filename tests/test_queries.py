@@ -40,3 +40,17 @@ def test_derived_tables_exercise_every_spider(spark):
     assert {r["spider"] for r in stored.select("spider").distinct().collect()} == {"s0", "s1", "s2"}
     fresh = new_urls(inputs.pages(spark, SF).select("spider", "url"), stored)
     assert {r["spider"] for r in fresh.select("spider").distinct().collect()} == {"s0", "s1", "s2"}
+
+
+@pytest.fixture
+def uncoalesced(spark):
+    """Small tables would share one task."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield spark
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_events_of_one_row_group_are_dealt_over_tasks(uncoalesced):
+    rows = inputs.fetches(uncoalesced, "/root/testdata/sf0.1").groupBy(F.spark_partition_id()).count().collect()
+    counts = [r["count"] for r in rows]
+    assert sum(counts) == 100_000 and max(counts) < 80_000
