@@ -36,19 +36,22 @@ def change_feed(spark, sf):
 
 
 def _written(spark, df, name):
-    """The rows as files, week after week, the way a log arrives."""
+    """The rows as files, week after week, the way a log arrives, and how many files two weeks have at least.
+
+    A week has as many files as ``df`` has parts, so that no task writes, or later reads, a whole week.
+    """
     path = staging_path(spark, name)
     week = F.least(F.floor((F.dayofmonth("fetched_at") - 1) / 8), F.lit(3))
     for number in range(4):
-        df.filter(week == number).coalesce(1).write.mode("append").parquet(path)
-    return path
+        df.filter(week == number).write.mode("append").parquet(path)
+    return path, -(-len(spark.read.schema(df.schema).parquet(path).inputFiles()) // 2)
 
 
 def change_feed_stream(spark, sf):
     """The fetches as a stream against the last hash of each page, its output read back."""
     rows = i.fetches(spark, sf).select("spider", "key", "url", "dhash", "fetched_at")
-    path = _written(spark, rows, "fetches")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    path, files = _written(spark, rows, "fetches")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
     store = Snapshots(spark, staging_path(spark, "feed"))
     query = start_change_feed(stream, store)
     query.awaitTermination()
@@ -190,11 +193,11 @@ def _event_crawl(spark, sf, name, **options):
         F.lit("utf-8").alias("encoding"), "fetched_at", F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("delay"),
         F.lit(3).cast("tinyint").alias("source"), F.unix_micros("fetched_at").alias("score"))
     log = log.select(*[F.col(f.name).cast(f.dataType) for f in FETCH_LOG.fields])
-    path = _written(spark, log, "fetch-log")
+    path, files = _written(spark, log, "fetch-log")
     config = i.config(spark).withColumn("allowed_domains", F.array().cast("array<string>"))
     store = Snapshots(spark, staging_path(spark, name))
     start_tables(store, config, spark.createDataFrame([], "spider string, url string, depth string"))
-    query = start_crawl(stream_fetch_log(spark, path, 2), store, config, i.robots_rules(spark, sf), **options)
+    query = start_crawl(stream_fetch_log(spark, path, files), store, config, i.robots_rules(spark, sf), **options)
     query.awaitTermination()
     return store, query.lastProgress["batchId"]
 

@@ -54,3 +54,14 @@ def test_events_of_one_row_group_are_dealt_over_tasks(uncoalesced):
     rows = inputs.fetches(uncoalesced, "/root/testdata/sf0.1").groupBy(F.spark_partition_id()).count().collect()
     counts = [r["count"] for r in rows]
     assert sum(counts) == 100_000 and max(counts) < 80_000
+
+
+def test_a_week_of_a_log_has_many_files(uncoalesced):
+    from catalog.crawl_queries import _written
+
+    rows = inputs.fetches(uncoalesced, "/root/testdata/sf0.1").select("event_id", "fetched_at")
+    path, files = _written(uncoalesced, rows, "fetches")
+    back = uncoalesced.read.parquet(path)
+    of_file = back.groupBy(F.input_file_name()).count().collect()
+    assert len(of_file) > 4 and files == (len(of_file) + 1) // 2 and max(r["count"] for r in of_file) < 20_000
+    assert back.exceptAll(rows).isEmpty() and rows.exceptAll(back).isEmpty()
