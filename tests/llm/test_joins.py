@@ -189,3 +189,31 @@ def test_pipeline_equals_plain_stages(spark):
     assert any(r["text"] != rows[r["doc_id"]] for r in redacted)
     ran = {r["doc_id"] for r in corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()}
     assert ran == first & clean
+
+
+def test_pipeline_rows_equal_the_library_on_redacted_texts(spark, tmp_path):
+    import corpus_pipeline
+    import public_tokenizers
+    import tiktoken
+
+    from webfurrow.llm import byte_bpe, queries
+
+    item = "which of the two rivers that meet below the old bridge is the longer one"
+    kept = {1: ("mail a.b@c.org or +1 (555) 123-4567 before noon \U0001F600 10.0.0.1", "mail [EMAIL] or [PHONE] before noon \U0001F600 [IP]"),
+            2: ("her password: hunter2 and his e-mail: jane [at] mail [dot] org", "her password: [SECRET] and his e-mail: [EMAIL]"),
+            3: ("write to 1.2.3.4@5.6.7.8 today, $1 \\1 [EMAIL]", "write to [EMAIL] today, $1 \\1 [EMAIL]"),
+            4: ("<|endoftext|> is three words here",) * 2, None: ("a row without id",) * 2}
+    lost = [(5, kept[1][0]), (6, f"she asks: {item}?"), (7, None), (8, "12 34"), (9, "")]
+    rows = [(d, text, "en", "s", len(text or "")) for d, text in [*[(d, texts[0]) for d, texts in kept.items()], *lost]]
+    sf = str(tmp_path / "sf")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([("i1", item), ("i2", None)], "item_id string, text string").write.parquet(f"{sf}/benchmark.parquet")
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, special_tokens={}, mergeable_ranks=byte_bpe.load_ranks(queries.RANKS))
+    want = {}
+    for d, (_, text) in kept.items():
+        ids = library.encode_ordinary(text)
+        want[d] = (len(ids), brute.sha(np.array(ids, dtype="<u4").tobytes()), brute.sha(text))
+    got = corpus_pipeline.run(spark, sf)
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    found = got.collect()
+    assert len(found) == len(want) and {r[0]: tuple(r)[1:] for r in found} == want
