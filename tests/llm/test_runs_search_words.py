@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,6 +177,38 @@ def test_search_without_documents_or_items(spark):
         plain_search([(1, "one two")], [(5, "one two")])
 
 
+def test_a_task_holds_one_of_its_ranges_at_a_time(spark, monkeypatch):
+    staged, stage = {}, lexical_search.stage
+
+    def kept(df, name, *args, **kw):
+        staged[name] = stage(df, name, *args, **kw)
+        return staged[name]
+
+    monkeypatch.setattr(lexical_search, "stage", kept)
+    rnd = random.Random(2)
+    docs = [(i, " ".join(f"{rnd.randrange(10**12):x}" for _ in range(20))) for i in range(3 * 4096)]  # one part, three ranges
+    index, n_docs = lexical_search.build_index(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1))
+    for name in ("postings", "treaps"):  # a row group is what is written, and read, at once
+        files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in staged[name].inputFiles()]
+        assert [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)] == [1, 1, 1]
+    items = [(f"i{k}", " ".join(rnd.choice(docs[rnd.randrange(len(docs))][1].split(" ")) for _ in range(6))) for k in range(20)]
+    got = lexical_search.search(index, n_docs, spark.createDataFrame(items, "item_id string, text string"))
+    assert sorted(map(tuple, got.collect()), key=repr) == plain_search(docs, items)
+
+
+def test_ranges_of_the_same_ids_are_searched_each(spark):
+    docs = [(5, f"w{i % 7} x{i} " * (1 + i % 3)) for i in range(40)]
+    index, n_docs = lexical_search.build_index(spark.createDataFrame(docs, "doc_id long, text string").repartition(40))
+    items = [("a", "w1 w2 x3"), ("b", "x17 x38"), ("c", " ".join(f"w{i}" for i in range(7)))]
+    got = lexical_search.search(index, n_docs, spark.createDataFrame(items, "item_id string, text string"))
+    assert sorted(map(tuple, got.collect()), key=repr) == plain_search(docs, items)
+
+
+def test_squeezed_numbers_come_back():
+    for numbers in (np.arange(1000, dtype="<i8")[::-3], np.zeros(0, dtype="<i4"), np.array([255, 0], dtype="u1")):
+        assert lexical_search.unsqueeze(lexical_search.squeeze(numbers), numbers.dtype.str).tolist() == numbers.tolist()
+
+
 def test_treap_keeps_maxima_of_every_cell():
     rng = np.random.default_rng(3)
     places = np.unique(rng.integers(0, 50, (200, 2)), axis=0)

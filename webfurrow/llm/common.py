@@ -32,11 +32,11 @@ def lower_ascii(text: Column) -> Column:
         F.translate(text, ASCII_UPPER, ASCII_LOWER))
 
 
-def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+def stage(df: DataFrame, name: str, compression: str = "snappy", **options) -> DataFrame:
     """Writes ``df`` below the shared folder and reads it back: lineage is cut, and a lost
-    executor costs nothing, since the files are shared."""
+    executor costs nothing, since the files are shared. ``options`` are the writer's."""
     path = staging_path(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
+    df.write.options(compression=compression, **options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,9 +32,24 @@ TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 JVM_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 IMPACT, SLOPE, BASE, TILT = 1_000_000_000, 1000, 20, 50
 
-POSTINGS = ("ids binary, lengths binary, n_docs long, n_terms long, terms array<string>, sizes array<int>, "
+# Numbers are squeezed; terms stand in lines, with a blank between two, and their sizes in lists alike.
+POSTINGS = ("ids binary, lengths binary, n_docs long, n_terms long, terms array<string>, sizes array<array<int>>, "
             "columns binary, counts binary")
-INDEX = "ids binary, terms array<string>, sizes array<int>, height int, masks binary, drops binary, top long"
+INDEX = "ids binary, terms array<string>, sizes array<array<int>>, height int, masks binary, drops binary, top long"
+#: Terms of one line: what an explode holds at once.
+LINE_TERMS = 4096
+#: A row group ends with the range that fills it, so that tasks write and read ranges one by one, however many
+#: they have. Spark's writer else looks at its memory after 100 rows, and its reader takes 4,096 rows at once.
+GROUPS = {"parquet.block.size": 1 << 20, "parquet.page.size.row.check.min": 1}
+
+
+def squeeze(numbers: np.ndarray) -> bytes:
+    """An array's bytes, compressed, after how many they are: Spark copies a row several times on its way."""
+    return numbers.nbytes.to_bytes(8, "little") + pa.compress(pa.py_buffer(np.ascontiguousarray(numbers)), codec="zstd", asbytes=True)
+
+
+def unsqueeze(squeezed: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(pa.decompress(pa.py_buffer(squeezed)[8:], int.from_bytes(squeezed[:8], "little"), codec="zstd"), dtype=kind)
 
 
 class RangeWriter:
@@ -71,12 +87,14 @@ class RangeWriter:
         place = np.empty(len(by_size), dtype=np.int32)
         place[by_size] = np.arange(len(by_size))
         sort = np.argsort(place[rows], kind="stable")
-        terms = list(self.number)
-        return {"ids": np.array([self.ids[d] for d in order], dtype="<i8").tobytes(),
-                "lengths": np.array([self.lengths[d] for d in order], dtype="<i8").tobytes(),
-                "n_docs": len(order), "n_terms": int(sum(self.lengths)), "terms": [terms[i] for i in by_size],
-                "sizes": sizes[by_size].astype(np.int32), "columns": columns[sort].astype("<i4").tobytes(),
-                "counts": counts[sort].astype("<i4").tobytes()}
+        terms, sizes = list(self.number), sizes[by_size].astype(np.int32)
+        lines = range(0, len(terms), LINE_TERMS)
+        return {"ids": squeeze(np.array([self.ids[d] for d in order], dtype="<i8")),
+                "lengths": squeeze(np.array([self.lengths[d] for d in order], dtype="<i8")),
+                "n_docs": len(order), "n_terms": int(sum(self.lengths)),
+                "terms": [" ".join([terms[i] for i in by_size[a:a + LINE_TERMS]]) for a in lines],
+                "sizes": [sizes[a:a + LINE_TERMS] for a in lines], "columns": squeeze(columns[sort].astype("<i4")),
+                "counts": squeeze(counts[sort].astype("<i4"))}
 
 
 def terms_of(text: str) -> list[str]:
@@ -140,10 +158,10 @@ class Treap:
         self.row = {term: i for i, term in enumerate(terms)}
         self.height = height
         self.masks = np.frombuffer(masks, dtype=np.uint8)
-        quarters = np.array([bin(m).count("1") for m in range(16)], dtype=np.int64)
+        quarters = np.array([bin(m).count("1") for m in range(16)], dtype=np.uint8)
         self.below = np.array([[bin(m & ((1 << q) - 1)).count("1") for q in range(4)] for m in range(16)], dtype=np.int64)
         children = quarters[self.masks]
-        self.child = (1 + np.cumsum(children) - children).astype(np.int32)
+        self.child = 1 + np.cumsum(children, dtype=np.int32) - children
         drops = np.frombuffer(drops, dtype="<i4")
         self.best = np.empty(1 + len(drops), dtype=np.int32)
         self.best[0] = top
@@ -226,28 +244,30 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", column: str = "text") -
     given = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{column}`").cast("string").alias("text"))
     spark = docs.sparkSession
     with arrow_rows(spark, BATCH_ROWS):
-        ranges = stage(given.filter("id IS NOT NULL AND text IS NOT NULL").mapInPandas(document_ranges, POSTINGS), "postings", "zstd")
+        ranges = stage(given.filter("id IS NOT NULL AND text IS NOT NULL").mapInPandas(document_ranges, POSTINGS), "postings", "zstd", **GROUPS)
     total = ranges.agg(F.sum("n_docs").alias("docs"), F.sum("n_terms").alias("terms")).first()
     n_docs, n_terms = int(total["docs"] or 0), int(total["terms"] or 0)
 
     def build(batches):
         for batch in batches:
             for r in batch.itertuples(index=False):
-                sizes, lengths = np.asarray(r.sizes), np.frombuffer(r.lengths, "<i8")
-                counts, columns = (np.frombuffer(x, "<i4").astype(np.int64) for x in (r.counts, r.columns))
+                sizes, lengths = np.concatenate(list(r.sizes)), unsqueeze(r.lengths, "<i8")
+                counts, columns = unsqueeze(r.counts, "<i4").astype(np.int64), unsqueeze(r.columns, "<i4")
                 height = max(1, (max(len(sizes), len(lengths)) - 1).bit_length())
-                masks, drops, top = build_treap(np.repeat(np.arange(len(sizes)), sizes), columns,
-                                                impacts_of(counts, lengths, columns, n_docs, n_terms), height)
-                yield pd.DataFrame([{"ids": r.ids, "terms": r.terms, "sizes": r.sizes, "height": height, "masks": masks.tobytes(),
-                                     "drops": drops.astype("<i4").tobytes(), "top": top}])
+                masks, drops, top = build_treap(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), columns,
+                                                impacts_of(counts, lengths, columns, n_docs, n_terms).astype("<i4"), height)
+                yield pd.DataFrame([{"ids": r.ids, "terms": r.terms, "sizes": r.sizes, "height": height, "masks": squeeze(masks),
+                                     "drops": squeeze(drops), "top": top}])
 
     with arrow_rows(spark, 1):
-        return stage(ranges.mapInPandas(build, INDEX), "treaps", "zstd"), n_docs
+        return stage(ranges.select("ids", "lengths", "terms", "sizes", "columns", "counts").mapInPandas(build, INDEX),
+                     "treaps", "zstd", **GROUPS), n_docs
 
 
 def term_weights(index: DataFrame, n_docs: int, wanted: DataFrame) -> DataFrame:
     """``term, weight`` of the terms of ``wanted`` that occur: ``floor(1000 ln((2 N + 2) / (2 df + 1)))``."""
-    sizes = index.select(F.explode(F.arrays_zip("terms", "sizes")).alias("t")).select(F.col("t.terms").alias("term"), F.col("t.sizes").alias("df"))
+    lines = index.select(F.explode(F.arrays_zip("terms", "sizes")).alias("l")).select(F.split("l.terms", " ").alias("terms"), "l.sizes")
+    sizes = lines.select(F.explode(F.arrays_zip("terms", "sizes")).alias("t")).select(F.col("t.terms").alias("term"), F.col("t.sizes").alias("df"))
     found = sizes.join(wanted.select("term").distinct(), ["term"]).groupBy("term").agg(F.sum("df").alias("df"))
     weight = F.floor(1000 * F.log(F.lit(2.0 * n_docs + 2) / (2.0 * F.col("df") + 1)))
     return found.select("term", weight.cast("bigint").alias("weight"))
@@ -281,10 +301,13 @@ def search(index: DataFrame, n_docs: int, items: DataFrame, size: int = 50, item
         held, treap = None, None
         for batch in batches:
             for r in batch.itertuples(index=False):
-                if held != r.ids or treap is None:  # the blocks of a range come one after another
-                    held, treap = r.ids, Treap(r.ids, r.terms, r.height, r.masks, r.drops, r.top)
-                for item, own, weights in zip(r.items, r.item_terms, r.weights, strict=True):
-                    treap.search(own, weights, best.setdefault(item, TopDocuments(size)))
+                own = (r.ids, list(r.terms), r.masks, r.drops, r.top)
+                if held != own:  # the blocks of a range come one after another
+                    treap = None  # gone before the next is there
+                    held, treap = own, Treap(unsqueeze(r.ids, "<i8"), " ".join(r.terms).split(" "), r.height,
+                                             unsqueeze(r.masks, "u1"), unsqueeze(r.drops, "<i4"), r.top)
+                for item, words, weights in zip(r.items, r.item_terms, r.weights, strict=True):
+                    treap.search(words, weights, best.setdefault(item, TopDocuments(size)))
         for item, top in best.items():
             if len(top.docs):
                 yield pd.DataFrame({"item": item, "doc_id": top.docs, "score": top.scores})
